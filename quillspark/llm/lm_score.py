@@ -9,14 +9,15 @@ A frequent n-gram enters a partition once a block, so frequency causes no skew.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, gram_hashes, mix, word_hashes, words_of, written
+from .common import WordHash, gram_hashes, word_hashes, words_of, written
 
 ORDER = 3
 #: What a step down to a shorter n-gram costs.
@@ -24,54 +25,89 @@ BACKOFF = 0.4
 #: Characters of text in a block, and characters of corpus per hash partition.
 BLOCK_CHARS = 6_000_000
 LEAST_BLOCKS = 12
+#: n-grams are told apart by a hash of the corpus size's bits and so many more: two agree with probability 2**-20.
+SPARE_BITS = 20
 ASKED = "block int, part int, keys binary, counts binary"
 
 
-def _grams(texts: pd.Series) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order the n-gram hash that ends at each token (0 where the document is too young), and token counts."""
+def _grams(texts: pd.Series, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-gram keys [order, token] of `bits` bits (of the n-gram that ends there), which of them exist, token counts."""
     seen = WordHash()
     hashed = [word_hashes(words_of(t), seen) for t in texts]
     lengths = np.array([len(h) for h in hashed], np.int64)
     flat = np.concatenate([np.zeros(0, np.uint64), *hashed])
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    orders = []
+    keys = np.zeros((ORDER, len(flat)), np.uint64)
     for n in range(1, ORDER + 1):
-        out = np.zeros(len(flat), np.uint64)
         if len(flat) >= n:
-            out[n - 1 :] = np.maximum(gram_hashes(flat, n) if n > 1 else mix(flat + np.uint64(1)), np.uint64(1))
-        out[place < n - 1] = 0
-        orders.append(out)
-    return orders, lengths
-
-
-def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(keys) % np.uint64(parts)).astype(np.int64)
-
-
-def _asked(orders: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of a block in the order (partition, key), their counts, partitions, and how to sort them by key."""
-    keys, counts = np.unique(np.concatenate(orders), return_counts=True)
-    counts, keys = counts[keys > 0], keys[keys > 0]
-    part = _parts(keys, parts)
-    order = np.argsort(part, kind="stable")
-    return keys, counts, part, order
-
-
-def score_block(orders: list[np.ndarray], lengths: np.ndarray, keys: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
-    """n_tokens, logsum without the corpus size, and how many tokens fell to the unigram level or below it."""
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    left, index = [], []
-    for grams in orders:
-        k = np.searchsorted(keys, grams) if len(keys) else np.zeros(len(grams), np.int64)
-        k = np.where(grams > 0, np.minimum(k, max(0, len(keys) - 1)), 0)
-        pair = np.where(grams > 0, k.astype(np.int64) * len(lengths) + owner, -1)
-        _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
-        rest = (totals[k] if len(keys) else np.zeros(len(grams), np.int64)) - own[back]
-        left.append(np.where(grams > 0, rest, 0))
-        index.append(k)
+            keys[n - 1, n - 1 :] = gram_hashes(flat, n)
+    return keys >> np.uint64(64 - bits), place >= np.arange(ORDER)[:, None], lengths
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal neighbours begin."""
+    return np.flatnonzero(np.append(len(x) > 0, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def _edges(parts: int, bits: int) -> np.ndarray:
+    """Smallest key of each hash partition, and the end."""
+    return np.array([-(-(p << bits) // parts) for p in range(parts + 1)], np.uint64)
+
+
+def packed_keys(keys: np.ndarray, low: int) -> bytes:
+    """Sorted distinct keys as differences, byte plane by byte plane; only the highest plane is worth compressing."""
+    gaps = np.diff(np.concatenate([np.array([low], np.uint64), keys]))
+    wide = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(gaps).view(np.uint8).reshape(-1, 8)[:, :wide].T
+    return bytes([wide]) + len(keys).to_bytes(4, "little") + planes[: wide - 1].tobytes() + zlib.compress(planes[wide - 1].tobytes(), 1)
+
+
+def unpacked_keys(data: bytes, low: int) -> np.ndarray:
+    wide, n = data[0], int.from_bytes(data[1:5], "little")
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, : wide - 1] = np.frombuffer(data, np.uint8, n * (wide - 1), 5).reshape(wide - 1, n).T
+    planes[:, wide - 1] = np.frombuffer(zlib.decompress(data[5 + n * (wide - 1) :]), np.uint8)
+    return np.cumsum(planes.view(np.uint64)[:, 0], dtype=np.uint64) + np.uint64(low)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts as a byte each, those from 255 on in full behind."""
+    small = zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
+    return len(small).to_bytes(4, "little") + small + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpacked_counts(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    counts = np.frombuffer(zlib.decompress(data[4 : 4 + n]), np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data[4 + n :], np.int64)
+    return counts
+
+
+def score_block(keys: np.ndarray, real: np.ndarray, lengths: np.ndarray, bits: int, totals: np.ndarray) -> pd.DataFrame:
+    """n_tokens, logsum without the corpus size, and how many tokens fell to the unigram level.
+
+    totals are the corpus counts of the block's distinct keys, in their order.
+    """
+    owner = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key, doc = keys[real], np.tile(owner, (ORDER, 1))[real]
+    if len(lengths) <= 1 << (64 - bits):  # key and document fit one word: equal ones needn't keep their order
+        both = (key << np.uint64(64 - bits)) | doc
+        order = np.argsort(both)
+        both = both[order]
+        start, first = _runs(both), _runs(both >> np.uint64(64 - bits))
+    else:
+        order = np.lexsort((doc, key))
+        first = _runs(key[order])
+        start = np.union1d(first, _runs(doc[order]))
+    spread = lambda starts, values: np.repeat(values, np.diff(np.append(starts, len(order))))
+    rest = spread(first, totals) - spread(start, np.diff(np.append(start, len(order))))
+    left = np.zeros((ORDER, len(owner)), np.int64)
+    back = np.empty(len(order), np.int64)
+    back[order] = rest
+    left[real] = back
     one, two, three = left
     before = lambda x: np.append(np.zeros(min(1, len(x)), np.int64), x[:-1])
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     top = np.minimum(place, ORDER - 1)  # steps down from the longest n-gram that the place allows
     safe = lambda a, b: np.log(np.maximum(a, 1)) - np.log(np.maximum(b, 1))
     # a context's own count, without this document, is at least that of the n-grams that begin with it
@@ -81,8 +117,8 @@ def score_block(orders: list[np.ndarray], lengths: np.ndarray, keys: np.ndarray,
     low = ~use3 & ~use2
     step = np.log(BACKOFF)
     score = np.where(use3, log3, np.where(use2, log2 + step * (top - 1), log1 + step * top))
-    total = lambda x: np.bincount(owner, weights=x, minlength=len(lengths))
-    return pd.DataFrame({"n_tokens": lengths, "logsum": total(score), "low": total(low).astype(np.int64), "unseen": total(low & (one <= 0)).astype(np.int64)})
+    total = lambda x: np.bincount(owner.astype(np.int64), weights=x, minlength=len(lengths))
+    return pd.DataFrame({"n_tokens": lengths, "logsum": total(score), "low": total(low).astype(np.int64)})
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,36 +132,41 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kind = dict(docs.dtypes)[id_col]
     chars = docs.select(F.sum(F.length(text_col).cast("double"))).head()[0] or 0
     blocks = max(LEAST_BLOCKS, int(chars // BLOCK_CHARS) + 1)
+    bits = min(62, SPARE_BITS + max(20, int(ORDER * chars / 4 + 1).bit_length()))
+    edges = _edges(blocks, bits)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("lm")), F.lit(blocks)).cast("int").alias("block"))
 
     def ask(block: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        orders, _ = _grams(group.sort_values("id")["text"])
-        keys, counts, part, order = _asked(orders, blocks)
-        ends = np.searchsorted(part[order], np.arange(blocks + 1))
-        out = [(int(block[0]), p, keys[o].tobytes(), counts[o].astype(np.uint32).tobytes()) for p in range(blocks) if len(o := order[ends[p] : ends[p + 1]])]
+        keys, real, _ = _grams(group["text"], bits)
+        keys = np.sort(keys[real])
+        first = _runs(keys)
+        counts, keys = np.diff(np.append(first, len(keys))), keys[first]
+        ends = np.searchsorted(keys, edges)
+        out = [(int(block[0]), p, packed_keys(keys[i:j], edges[p]), packed_counts(counts[i:j])) for p, (i, j) in enumerate(itertools.pairwise(ends)) if j > i]
         return pd.DataFrame(out, columns=["block", "part", "keys", "counts"])
 
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in group["keys"]]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]])
-        _, back = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(back, weights=counts).astype(np.int64)[back]
+    def answer(part: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpacked_keys(x, edges[part[0]]) for x in group["keys"]]
         ends = np.cumsum([len(k) for k in keys])[:-1]
-        return pd.DataFrame({"block": group["block"], "part": group["part"], "totals": [t.tobytes() for t in np.split(totals, ends)]})
+        flat = np.concatenate(keys)
+        del keys
+        order = np.argsort(flat)
+        first = _runs(flat[order])
+        del flat
+        counts = np.concatenate([unpacked_counts(x) for x in group["counts"]])
+        sums = np.add.reduceat(counts[order], first)
+        counts[order] = np.repeat(sums, np.diff(np.append(first, len(order))))
+        return pd.DataFrame({"block": group["block"], "part": group["part"], "totals": [packed_counts(t) for t in np.split(counts, ends)]})
 
     def look_up(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        orders, lengths = _grams(group["text"])
-        keys, _, _, order = _asked(orders, blocks)
-        totals = np.zeros(len(keys), np.int64)
-        if len(keys):
-            totals[order] = np.concatenate([np.frombuffer(x, np.int64) for x in answers.sort_values("part")["totals"]])
-        out = score_block(orders, lengths, keys, totals)
+        keys, real, lengths = _grams(group["text"], bits)
+        totals = np.concatenate([np.zeros(0, np.int64), *map(unpacked_counts, answers.sort_values("part")["totals"])])
+        out = score_block(keys, real, lengths, bits, totals)
         out.insert(0, "id", group["id"].to_numpy())
         return out
 
     answers = slim.groupBy("block").applyInPandas(ask, ASKED).groupBy("part").applyInPandas(answer, "block int, part int, totals binary")
-    scored = slim.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, f"id {kind}, n_tokens long, logsum double, low long, unseen long")
+    scored = slim.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, f"id {kind}, n_tokens long, logsum double, low long")
     scored = written(scored, "lm")
     n = scored.agg(F.sum("n_tokens")).head()[0] or 0
     rest = F.greatest(F.lit(n) - F.col("n_tokens"), F.lit(1)).cast("double")
