@@ -2,12 +2,13 @@
 
 A page may hold the text `WARC/1.1` anywhere, so a reader that splits at that magic is wrong. Here tasks emit every
 candidate (offset of a header that parses -> offset of its successor), true or not; pointer jumping from offset 0 of
-each file then marks what the chain reaches, and only those records are returned.
+each file (offsets count unpacked bytes) then marks what the chain reaches, and only those records are returned.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -52,7 +53,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def write_warc(pages: DataFrame, folder: str, **columns: str) -> None:
-    """One record per row of pages into text files under folder, by Spark's committed writer.
+    """One record per row of pages into gzip files under folder, by Spark's committed writer.
 
     Null html is an empty payload, null url an empty target. Repeated identifiers with equal payloads are all
     responses. A null identifier is written as an empty record id. An empty table writes a folder without records.
@@ -71,13 +72,15 @@ def write_warc(pages: DataFrame, folder: str, **columns: str) -> None:
     ]
     record = F.concat(F.concat_ws(CRLF, F.lit("WARC/1.1"), *fields), F.lit(CRLF * 2), body)
     most = max(1, FILE_BYTES // (16 << 10))
-    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(folder)
+    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).option("compression", "gzip").text(folder)
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in CANDIDATE.split(", ")]
     for batch in batches:
         for file, data in zip(batch["path"], batch["content"], strict=True):
+            if data[:2] == b"\x1f\x8b":
+                data = gzip.decompress(data)
             out = []
             for m in HEAD.finditer(data):
                 head = dict(x.split(": ", 1) for x in m[1].decode("utf-8", "replace").split(CRLF) if ": " in x)
