@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, discard, lookup_spread, mix, shingle_set, written
 
-#: Counters of shingle frequencies by hash: 2**SKETCH_BITS, so the order of lists costs 1 MB whatever the corpus.
-SKETCH_BITS = 18
+#: Counters of shingle frequencies by hash: 2**SKETCH_BITS of 16 bits that saturate, so the order of lists costs 2 MB
+#: whatever the corpus.
+SKETCH_BITS = 20
+#: Bits that say which rows' sets are computed again; more rows than that cost time, not results.
+WANTED_BITS = 23
 #: No set larger than this is joined by subsets.
 LIGHT_MOST = 40
 #: Members of a list that meet in one tile.
@@ -93,36 +96,47 @@ def list_keys(a: np.ndarray, light: int, sim: Similarity, sketch: np.ndarray) ->
 
 
 def histogram(a: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((a >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype(np.uint16)
+    """Elements by their top bits, saturating: a difference of two saturated counts is never above the true one."""
+    return np.minimum(np.bincount((a >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
+def _summed(parts: DataFrame, column: str, start: np.ndarray, how) -> np.ndarray:
+    """The per-partition arrays of a column brought together by `how`, in groups first: 8 of them reach the driver."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = start.copy()
+        for x in group[column]:
+            total = how(total, np.frombuffer(x, start.dtype))
+        return pd.DataFrame({column: [total.tobytes()]})
+
+    total = start.copy()
+    grouped = parts.select(column).groupBy(F.pmod(F.xxhash64(column), F.lit(8))).applyInPandas(add, f"{column} binary")
+    for r in grouped.toLocalIterator():
+        total = how(total, np.frombuffer(r[column], start.dtype))
+    return total
+
+
+def _saturating(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.minimum(x.astype(np.uint32) + y, 65535).astype(np.uint16)
 
 
 def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """A table of (id, cls, n) for all rows (n = 0: no words), and the frequency counters of all shingles."""
+    """A table of (id, cls, n, bins) for all rows (n = 0: no words), and the frequency counters of all shingles."""
     kind = dict(docs.dtypes)["id"]
+    width = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, sketch = WordHash(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        seen, sketch = WordHash(), np.zeros(width, np.uint32)
         for b in batches:
             sets = [shingle_set(t, k, seen) for t in b["text"]]
             if sets:
-                every = np.concatenate(sets)
-                sketch += np.bincount((every & np.uint64(len(sketch) - 1)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-            yield pd.DataFrame({"id": b["id"], "cls": [class_id(a) if len(a) else None for a in sets], "n": [len(a) for a in sets], "sketch": None}).astype({"cls": "Int64"})
+                np.add.at(sketch, (np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64), np.uint32(1))
+            yield pd.DataFrame({"id": b["id"], "cls": [class_id(a) if len(a) else None for a in sets], "n": [len(a) for a in sets], "bins": [histogram(a).tobytes() if len(a) else None for a in sets], "sketch": None}).astype({"cls": "Int64"})
         if sketch.any():
-            yield pd.DataFrame({"id": [None], "cls": pd.array([None], "Int64"), "n": [-1], "sketch": [sketch.tobytes()]})
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for x in group["sketch"]:
-            total += np.frombuffer(x, np.uint32)
-        return pd.DataFrame({"sketch": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+            yield pd.DataFrame({"id": [None], "cls": pd.array([None], "Int64"), "n": [-1], "bins": [None], "sketch": [np.minimum(sketch, 65535).astype(np.uint16).tobytes()]})
 
-    table = written(docs.mapInPandas(run, f"id {kind}, cls long, n int, sketch binary"), "sets")
-    parts = table.where("n < 0").select("sketch").withColumn("g", F.pmod(F.xxhash64("sketch"), F.lit(8)))
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in parts.groupBy("g").applyInPandas(add, "sketch binary").toLocalIterator():  # 8 rows at most
-        total += np.frombuffer(r["sketch"], np.uint32)
-    return table.where("n >= 0").drop("sketch"), total
+    table = written(docs.mapInPandas(run, f"id {kind}, cls long, n int, bins binary, sketch binary"), "sets")
+    return table.where("n >= 0").drop("sketch"), _summed(table.where("n < 0"), "sketch", np.zeros(width, np.uint16), _saturating)
 
 
 def light_boundary(sizes: dict[int, int], sketch: np.ndarray, sim: Similarity) -> int:
@@ -145,8 +159,6 @@ def light_boundary(sizes: dict[int, int], sketch: np.ndarray, sim: Similarity) -
 
 
 def _postings(docs: DataFrame, k: int, light: int, sim: Similarity, sketch: np.ndarray) -> DataFrame:
-    small = np.minimum(sketch, 2**32 - 1).astype(np.uint32)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, done = WordHash(), {}
         for b in batches:
@@ -158,7 +170,7 @@ def _postings(docs: DataFrame, k: int, light: int, sim: Similarity, sketch: np.n
                 if len(done) > 200_000:
                     done.clear()
                 done[c] = True
-                own = np.concatenate([subset_keys(a, light, sim), list_keys(a, light, sim, small)])
+                own = np.concatenate([subset_keys(a, light, sim), list_keys(a, light, sim, sketch)])
                 keys.append(own)
                 classes.append(np.full(len(own), c, np.int64))
                 sizes.append(np.full(len(own), len(a), np.int32))
@@ -168,8 +180,55 @@ def _postings(docs: DataFrame, k: int, light: int, sim: Similarity, sketch: np.n
     return docs.select("text").mapInPandas(run, "key long, cls long, n int")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar. A class in very many pairs is looked up with salt."""
+def _pruned(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs (a, b) that sizes and histograms don't rule out. A class in very many pairs is looked up with salt."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, BINS).astype(np.int32) for c in ("bins_a", "bins_b"))
+                n, m = b["n_a"].to_numpy(np.int64), b["n_b"].to_numpy(np.int64)
+                ok = np.abs(x - y).sum(axis=1) * (sim.num + sim.den) <= (sim.den - sim.num) * (n + m)
+                ok &= np.minimum(n, m) * sim.den >= sim.num * np.maximum(n, m)
+                yield b.loc[ok, ["a", "b"]]
+
+    own = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}"))
+    both = lookup_spread(pairs.join(own("b"), "b"), own("a"), ["a"], ["b"], fan=16, how="inner")
+    return both.select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInPandas(run, "a long, b long")
+
+
+def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(cls, items) of the classes in pairs, computed again from one row each.
+
+    A bitmap of fixed size says which rows may be wanted, so no text is shuffled.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    asked = written(asked.join(classes.select("cls", F.xxhash64("least").alias("h")), "cls"), "asked")
+    width = 1 << WANTED_BITS
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(width, bool)
+        for b in batches:
+            bits[b["h"].to_numpy(np.int64) & (width - 1)] = True
+        if bits.any():
+            yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+    bits = np.unpackbits(_summed(asked.select("h").mapInPandas(mark, "bits binary"), "bits", np.zeros(width // 8, np.uint8), np.bitwise_or)).astype(bool)
+    packed = np.packbits(bits)
+
+    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, wanted = WordHash(), np.unpackbits(packed).astype(bool)
+        for b in batches:
+            own = b["text"][wanted[b["h"].to_numpy(np.int64) & (width - 1)]]
+            sets = [a for t in own if len(a := shingle_set(t, k, seen))]
+            yield pd.DataFrame({"cls": pd.Series([class_id(a) for a in sets], dtype="int64"), "items": [a.tobytes() for a in sets]})
+
+    found = docs.select(F.xxhash64("id").alias("h"), "text").mapInPandas(items, "cls long, items binary")
+    return written(found.join(asked.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "items")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar, as a table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -180,9 +239,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
                 ok.append(sim.holds(shared, len(x), len(y)))
             yield b.loc[ok, ["a", "b"]]
 
+    pairs = written(pairs, "pairs")
+    sets = _sets_of(pairs, classes, docs, k)
     own = lambda s: sets.select(F.col("cls").alias(s), F.col("items").alias(f"set_{s}"))
     both = lookup_spread(pairs.join(own("b"), "b"), own("a"), ["a"], ["b"], fan=16, how="inner")
-    return both.select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long")
+    links = written(both.select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long"), "links")
+    discard(pairs, sets)
+    return links
 
 
 def _tiled(members: DataFrame, sim: Similarity) -> DataFrame:
@@ -200,7 +263,7 @@ def _tiled(members: DataFrame, sim: Similarity) -> DataFrame:
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
         cls, n, label, own = (g[c].to_numpy() for c in ("cls", "n", "label", "own"))
         cross = g["i"].iloc[0] != g["j"].iloc[0]
-        bins = np.stack([np.frombuffer(x, np.uint16) for x in g["bins"]]).astype(np.int32)
+        bins = np.frombuffer(b"".join(g["bins"]), np.uint8).reshape(-1, BINS).astype(np.int32)
         out = []
         for x in range(len(g) - 1):
             y = np.arange(x + 1, len(g))
@@ -275,37 +338,26 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     rows, sketch = _sets(docs, k)
     sizes = {r["n"]: r["count"] for r in rows.where(F.col("n").between(1, 2 * LIGHT_MOST)).groupBy("n").count().collect()}
     light = light_boundary(sizes, sketch, sim)
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.first("n").alias("n"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bins").alias("bins"))
+    classes = written(classes, "classes")
 
     postings = written(_postings(docs, k, light, sim, sketch).dropDuplicates(["key", "cls"]), "postings")
-    lists = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("pivot"), F.min("n").alias("low"), F.max("n").alias("high")).where("m > 1"), "lists")
-    members = written(postings.join(lists.select("key", "m", "pivot"), "key"), "members")
+    lists = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("pivot")).where("m > 1"), "lists")
+    members = written(postings.join(lists, "key"), "members")
     discard(postings, lists)
 
-    # the sets of the classes that have a list in common with another: computed again from one document each
-    wanted = members.select("cls").distinct().join(classes, "cls").select(F.col("least").alias("id")).distinct()
-
-    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = WordHash()
-        for b in batches:
-            sets = [a for t in b["text"] if len(a := shingle_set(t, k, seen))]
-            yield pd.DataFrame({"cls": [class_id(a) for a in sets], "items": [a.tobytes() for a in sets], "bins": [histogram(a).tobytes() for a in sets]})
-
-    sets = docs.join(wanted, "id", "left_semi").select("text").mapInPandas(items, "cls long, items binary, bins binary")
-    sets = written(sets, "items")
-    first = sets.groupBy("cls").agg(F.first("items").alias("items"), F.first("bins").alias("bins")) if _repeats(sets) else sets
-
     stars = members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    found = written(_verify(stars, first, sim), "found")
+    found = _verified(_pruned(stars, classes, sim), classes, docs, k, sim)
     labels = components(found)
-    # lists whose members are not all in one component yet
-    tagged = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    # lists whose members are not all in one component yet; in a list of two the pivot has met the other
+    tagged = members.where("m > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     tagged = written(tagged.select("key", "cls", "n", "m", "label"), "tagged")
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m2")).where("x <> y AND m2 > 2").select("key")
-    open_ = tagged.join(mixed, "key", "left_semi").join(first.select("cls", "bins"), "cls")
-    more = written(_verify(_tiled(open_, sim), first, sim), "found")
+    mixed = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    open_ = tagged.join(mixed, "key", "left_semi").join(classes.select("cls", "bins"), "cls")
+    more = _verified(_tiled(open_, sim), classes, docs, k, sim)
     if not more.isEmpty():
         labels = components(found.unionByName(more))
+    discard(members, tagged)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = written(named.select("cls", "least", "label"), "named")
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -314,11 +366,6 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     return out.select(F.col("id").cast(kind).alias("id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _repeats(sets: DataFrame) -> bool:
-    """Whether a class came twice, as it does where an identifier is repeated."""
-    return bool(sets.groupBy("cls").count().where("count > 1").head(1))
-
-
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest doc_id; all columns stay."""
     gone = jaccard_groups(docs, k, num, den).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_gone_id"))
