@@ -33,8 +33,11 @@ WANTED_BITS = 23
 LIGHT_MOST = 40
 #: Members of a list that meet in one tile.
 TILE = 512
-#: Bins of the histogram that rules pairs out: sets closer than t differ in few elements, so in few bins' counts.
-BINS = 64
+#: What rules pairs out: a histogram of BINS counts and PARITIES parity bits of a set's elements. An element that only one
+#: of two sets has moves one count by one and flips one bit, so neither distance exceeds the number of such elements.
+BINS, PARITIES = 64, 1024
+DIGEST_BYTES = BINS + PARITIES // 8
+_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
 class Similarity:
@@ -95,9 +98,23 @@ def list_keys(a: np.ndarray, light: int, sim: Similarity, sketch: np.ndarray) ->
     return a[np.lexsort((a, often))[: sim.prefix(len(a))]]
 
 
-def histogram(a: np.ndarray) -> np.ndarray:
-    """Elements by their top bits, saturating: a difference of two saturated counts is never above the true one."""
-    return np.minimum(np.bincount((a >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+def set_digest(a: np.ndarray) -> bytes:
+    """Counts of elements by their top bits, saturating (which never widens a difference), then parities."""
+    bins = np.minimum(np.bincount((a >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    odd = np.bincount(((a >> np.uint64(40)) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return bins.tobytes() + np.packbits(odd.astype(bool)).tobytes()
+
+
+def digests(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, DIGEST_BYTES)
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, sim: Similarity) -> np.ndarray:
+    """False only where sizes n, m and digests x, y prove two sets too far apart."""
+    most = (sim.den - sim.num) * (n + m)
+    ok = np.minimum(n, m) * sim.den >= sim.num * np.maximum(n, m)
+    ok &= _ONES[x[:, BINS:] ^ y[:, BINS:]].sum(axis=1, dtype=np.int64) * (sim.num + sim.den) <= most
+    return ok & (np.abs(x[:, :BINS].astype(np.int16) - y[:, :BINS]).sum(axis=1, dtype=np.int64) * (sim.num + sim.den) <= most)
 
 
 def _summed(parts: DataFrame, column: str, start: np.ndarray, how) -> np.ndarray:
@@ -129,9 +146,9 @@ def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         seen, sketch = WordHash(), np.zeros(width, np.uint32)
         for b in batches:
             sets = [shingle_set(t, k, seen) for t in b["text"]]
-            if sets:
-                np.add.at(sketch, (np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64), np.uint32(1))
-            yield pd.DataFrame({"id": b["id"], "cls": [class_id(a) if len(a) else None for a in sets], "n": [len(a) for a in sets], "bins": [histogram(a).tobytes() if len(a) else None for a in sets], "sketch": None}).astype({"cls": "Int64"})
+            for a in sets:
+                np.add.at(sketch, (a & np.uint64(width - 1)).astype(np.int64), np.uint32(1))
+            yield pd.DataFrame({"id": b["id"], "cls": [class_id(a) if len(a) else None for a in sets], "n": [len(a) for a in sets], "bins": [set_digest(a) if len(a) else None for a in sets], "sketch": None}).astype({"cls": "Int64"})
         if sketch.any():
             yield pd.DataFrame({"id": [None], "cls": pd.array([None], "Int64"), "n": [-1], "bins": [None], "sketch": [np.minimum(sketch, 65535).astype(np.uint16).tobytes()]})
 
@@ -181,15 +198,12 @@ def _postings(docs: DataFrame, k: int, light: int, sim: Similarity, sketch: np.n
 
 
 def _pruned(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) that sizes and histograms don't rule out. A class in very many pairs is looked up with salt."""
+    """The pairs (a, b) that sizes and digests don't rule out. A class in very many pairs is looked up with salt."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, BINS).astype(np.int32) for c in ("bins_a", "bins_b"))
-                n, m = b["n_a"].to_numpy(np.int64), b["n_b"].to_numpy(np.int64)
-                ok = np.abs(x - y).sum(axis=1) * (sim.num + sim.den) <= (sim.den - sim.num) * (n + m)
-                ok &= np.minimum(n, m) * sim.den >= sim.num * np.maximum(n, m)
+                ok = may_be_similar(digests(b["bins_a"]), digests(b["bins_b"]), b["n_a"].to_numpy(np.int64), b["n_b"].to_numpy(np.int64), sim)
                 yield b.loc[ok, ["a", "b"]]
 
     own = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}"))
@@ -262,19 +276,21 @@ def _tiled(members: DataFrame, sim: Similarity) -> DataFrame:
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
         cls, n, label, own = (g[c].to_numpy() for c in ("cls", "n", "label", "own"))
-        cross = g["i"].iloc[0] != g["j"].iloc[0]
-        bins = np.frombuffer(b"".join(g["bins"]), np.uint8).reshape(-1, BINS).astype(np.int32)
-        out = []
-        for x in range(len(g) - 1):
-            y = np.arange(x + 1, len(g))
-            y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * sim.den >= sim.num * np.maximum(n[y], n[x]))]
-            if cross:
-                y = y[own[y] != own[x]]
-            if len(y):
-                apart = np.abs(bins[y] - bins[x]).sum(axis=1)
-                y = y[apart * (sim.num + sim.den) <= (sim.den - sim.num) * (n[y].astype(np.int64) + n[x])]
-            out += [(min(cls[x], cls[z]), max(cls[x], cls[z])) for z in y]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        n = n.astype(np.int64)
+        bins = digests(g["bins"])
+        out = [np.zeros((0, 2), np.int64)]
+        step = max(1, 100_000 // len(g))
+        for top in range(0, len(g), step):  # so many rows of the tile against all later ones
+            x, y = np.nonzero(np.arange(top, min(top + step, len(g)))[:, None] < np.arange(len(g))[None, :])
+            x += top
+            keep = label[x] != label[y]
+            if g["i"].iloc[0] != g["j"].iloc[0]:
+                keep &= own[x] != own[y]
+            keep &= np.minimum(n[x], n[y]) * sim.den >= sim.num * np.maximum(n[x], n[y])
+            x, y = x[keep], y[keep]
+            ok = may_be_similar(bins[x], bins[y], n[x], n[y], sim)
+            out.append(np.sort(np.column_stack([cls[x[ok]], cls[y[ok]]]), axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
