@@ -71,6 +71,8 @@ def fit_budget(out: dict, most: int) -> dict:
         return out
     body = out.pop("body", None)
     out["response_truncated"] = True
+    if body is not None:
+        out |= {"body": "", "body_truncated": True}
     for part in ("backlinks", "links", "headings", "sections", "errors", "custom"):
         while out.get(part) and size() > most:
             out[part].popitem() if isinstance(out[part], dict) else out[part].pop()
@@ -79,9 +81,7 @@ def fit_budget(out: dict, most: int) -> dict:
         while low < high:
             out["body"] = body[: (low + high + 1) // 2]
             low, high = (len(out["body"]), high) if size() <= most else (low, len(out["body"]) - 1)
-        out |= {"body": body[:low], "body_truncated": True}
-        if size() > most:
-            del out["body"]
+        out["body"] = body[:low]
     return out
 
 

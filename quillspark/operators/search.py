@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,6 +101,7 @@ def score_query(index: Index, text: str, weights: dict | None = None, k1: float
     weights = weights or WEIGHTS
     phrases, tree = parse_query(text, stem if index.stem else lambda t: t)
     found = [_occurrences(index, p) for p in phrases]
+    alone = list(found)  # a phrase's document count doesn't depend on its neighbours
     for g in {p.near for p in phrases if p.near > 0}:
         at = [i for i, p in enumerate(phrases) if p.near == g]
         if len(at) > 1:
@@ -114,6 +116,9 @@ def score_query(index: Index, text: str, weights: dict | None = None, k1: float
         parts = one if parts is None else parts.unionByName(one)
     hits = parts.groupBy("path", "i").agg(F.sum("w").alias("f"))
     seen = hits.groupBy("i").agg(F.count(F.lit(1)).alias("n_i"))
+    if any(p.near > 0 for p in phrases):
+        every = [df.select("path", F.lit(i).alias("i")) for i, df in enumerate(alone)]
+        seen = reduce(DataFrame.unionByName, every).groupBy("i").agg(F.count_distinct("path").alias("n_i"))
     idf = F.log((F.col("n") - F.col("n_i") + 0.5) / (F.col("n_i") + 0.5))
     seen = seen.crossJoin(index.totals).withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf))  # one row a phrase
     part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
