@@ -174,7 +174,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     each. Empty tables: nothing is contaminated. One map over the documents per block of the benchmark.
     """
     kind = dict(docs.dtypes)[id_col]
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     parts = []
     for block in list(_blocks(bench, item_col, "text")) or [[]]:
         index = Index(block)
@@ -185,7 +185,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
                 items = [",".join(f"{i}:{e}:{s}:{z}" for i, (e, s, z) in sorted(x.items())) for x in found]
                 yield pd.DataFrame({"id": b["id"], "n_items": [len(x) for x in found], "items": items})
 
-        parts.append(slim.mapInPandas(run, f"id {kind}, n_items long, items string"))
+        parts.append(slim.mapInPandas(run, "id string, n_items long, items string"))
     if len(parts) == 1:
         whole = parts[0]
     else:
@@ -193,7 +193,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
         for p in parts[1:]:
             whole = whole.unionByName(p)
         whole = whole.groupBy("id").agg(F.sum("n_items").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.nullif("items", F.lit("")))), ",").alias("items"))
-    return whole.select("id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "items")
+    return whole.select(F.col("id").cast(kind).alias("id"), (F.col("n_items") > 0).alias("contaminated"), "n_items", "items")
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:

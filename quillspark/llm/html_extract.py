@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Common function words of the languages that are read.
 STOP_WORDS = frozenset(
@@ -30,7 +31,7 @@ SKIP_TAGS = frozenset("head nav footer aside form button select dialog menu ifra
 SKIP_NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations widget toolbar pager pagination copyright legal disclaimer contentinfo complementary search skip hidden".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|template|textarea|xmp|title)\b(?>[^>]*)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?))(?:/?>|\Z)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|template|textarea|xmp|title)\b(?>[^>]*)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:/?>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
@@ -181,8 +182,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             text = [extract(h) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    slim = pages.selectExpr(f"`{id_col}` AS page_id", f"`{url_col}` AS url", f"`{html_col}` AS html")
-    return slim.mapInPandas(run, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
+    slim = pages.selectExpr(f"CAST(`{id_col}` AS string) AS page_id", f"`{url_col}` AS url", f"`{html_col}` AS html")
+    out = slim.mapInPandas(run, f"page_id string, url {kinds[url_col]}, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast(kinds[id_col]))
 
 
 def op7_html_extraction(spark, sf_dir: str) -> DataFrame:

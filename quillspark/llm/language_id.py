@@ -106,7 +106,7 @@ def features(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 out.append((kind, i, host, ".".join(labels[-2:]), suffix, _class(declared), _class(SUFFIXES.get(suffix, "other") if suffix else None), grams, best, scores.tolist()))
             yield pd.DataFrame(out, columns=["kind", "id", "host", "domain", "suffix", "declared", "address", "grams", "best", "scores"])
 
-    return rows.mapInPandas(run, "kind string, id long, host string, domain string, suffix string, declared int, address int, grams long, best int, scores array<double>")
+    return rows.mapInPandas(run, "kind string, id string, host string, domain string, suffix string, declared int, address int, grams long, best int, scores array<double>")
 
 
 def _counts(rows: DataFrame, key: str) -> DataFrame:
@@ -127,7 +127,8 @@ def identify(rows: DataFrame, model: np.ndarray) -> DataFrame:
     Null and empty texts, and texts that the flat model explains best, are 'und'. Null hosts share one empty host.
     Repeated rows are answered each. An empty table gives an empty result.
     """
-    slim = written(features(rows, model), "language")
+    kind = dict(rows.dtypes)["id"]
+    slim = written(features(rows.withColumn("id", F.col("id").cast("string")), model), "language")  # pandas rounds longs beside nulls
     declared, address = _evidence(slim, "declared"), _evidence(slim, "address")
     whole = np.ones(len(LANGS))
     for r in slim.where(F.col("best") < len(LANGS)).groupBy("best").count().collect():
@@ -159,7 +160,8 @@ def identify(rows: DataFrame, model: np.ndarray) -> DataFrame:
             classes = np.array([*LANGS, "other", None], object)
             yield pd.DataFrame({"kind": b["kind"], "id": b["id"], "lang": names[p.argmax(axis=1)], "probability": p.max(axis=1), "text_lang": names[b["best"]], "declared": classes[b["declared"]], "grams": b["grams"]})
 
-    return joined.mapInPandas(fuse, "kind string, id long, lang string, probability double, text_lang string, declared string, grams long")
+    out = joined.mapInPandas(fuse, "kind string, id string, lang string, probability double, text_lang string, declared string, grams long")
+    return out.withColumn("id", F.col("id").cast(kind))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

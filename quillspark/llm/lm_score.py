@@ -134,7 +134,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     blocks = max(LEAST_BLOCKS, int(chars // BLOCK_CHARS) + 1)
     bits = min(62, SPARE_BITS + max(20, int(ORDER * chars / 4 + 1).bit_length()))
     edges = _edges(blocks, bits)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("lm")), F.lit(blocks)).cast("int").alias("block"))
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("lm")), F.lit(blocks)).cast("int").alias("block"))
 
     def ask(block: tuple, group: pd.DataFrame) -> pd.DataFrame:
         keys, real, _ = _grams(group["text"], bits)
@@ -166,12 +166,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return out
 
     answers = slim.groupBy("block").applyInPandas(ask, ASKED).groupBy("part").applyInPandas(answer, "block int, part int, totals binary")
-    scored = slim.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, f"id {kind}, n_tokens long, logsum double, low long")
+    scored = slim.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, "id string, n_tokens long, logsum double, low long")
     scored = written(scored, "lm")
     n = scored.agg(F.sum("n_tokens")).head()[0] or 0
     rest = F.greatest(F.lit(n) - F.col("n_tokens"), F.lit(1)).cast("double")
     score = F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.col("logsum") - F.col("low") * F.log(rest))
-    scored = scored.select("id", "n_tokens", score.alias("log_score"))
+    scored = scored.select(F.col("id").cast(kind).alias("id"), "n_tokens", score.alias("log_score"))
     return scored.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
 
 

@@ -220,6 +220,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     kind = dict(docs.dtypes)[id_col]
     held = lambda c: F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # pandas rounds longs beside nulls
     train = labels.select(F.col(id_col).alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("id").isNotNull() & ~held(F.col("id")))
     rows = train.orderBy(F.xxhash64("id"), "id", "toxic").limit(SAMPLE_ROWS).collect()  # ids and labels only
     picked = docs.sparkSession.createDataFrame(rows, train.schema)
@@ -244,7 +245,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             p = 1 / (1 + np.exp(-np.clip(model[0] + ((x - mean) / scale) @ model[1:], -30, 30)))
             yield pd.DataFrame({"id": b["id"], "score": p})
 
-    out = slim.mapInPandas(scored, f"id {kind}, score double")
+    out = texts.mapInPandas(scored, "id string, score double").withColumn("id", F.col("id").cast(kind))
     return out.select("id", held(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
