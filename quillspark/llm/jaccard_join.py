@@ -6,7 +6,7 @@ does any larger set that may be its partner. Heavy sets are joined by scanning i
 of its rarest shingles, as many as no similar set can miss all of. The boundary minimises subsets enumerated plus list
 entries scanned, estimated from the size histogram and the list lengths of the whole corpus.
 
-Equal sets are one class and joined once. Within a list, all members are first verified against one pivot; then only
+Equal sets are one class and joined once. Members of lists are first verified against the pivot that they share most lists with; then only
 members that are still in different components meet, in tiles of bounded size. Components are contracted in rounds.
 """
 
@@ -139,7 +139,7 @@ def _saturating(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     """A table of (id, cls, n, bins) for all rows (n = 0: no words), and the frequency counters of all shingles."""
-    kind = dict(docs.dtypes)["id"]
+    kind, docs = dict(docs.dtypes)["id"], docs.select(F.col("id").cast("string").alias("id"), "text")
     width = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,12 +148,13 @@ def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             sets = [shingle_set(t, k, seen) for t in b["text"]]
             for a in sets:
                 np.add.at(sketch, (a & np.uint64(width - 1)).astype(np.int64), np.uint32(1))
-            yield pd.DataFrame({"id": b["id"], "cls": [class_id(a) if len(a) else None for a in sets], "n": [len(a) for a in sets], "bins": [set_digest(a) if len(a) else None for a in sets], "sketch": None}).astype({"cls": "Int64"})
+            yield pd.DataFrame({"id": b["id"], "cls": pd.array([class_id(a) if len(a) else None for a in sets], "Int64"), "n": [len(a) for a in sets], "bins": [set_digest(a) if len(a) else None for a in sets], "sketch": None})
         if sketch.any():
             yield pd.DataFrame({"id": [None], "cls": pd.array([None], "Int64"), "n": [-1], "bins": [None], "sketch": [np.minimum(sketch, 65535).astype(np.uint16).tobytes()]})
 
-    table = written(docs.mapInPandas(run, f"id {kind}, cls long, n int, bins binary, sketch binary"), "sets")
-    return table.where("n >= 0").drop("sketch"), _summed(table.where("n < 0"), "sketch", np.zeros(width, np.uint16), _saturating)
+    table = written(docs.mapInPandas(run, "id string, cls long, n int, bins binary, sketch binary"), "sets")
+    rows = table.where("n >= 0").select(F.col("id").cast(kind).alias("id"), "cls", "n", "bins")
+    return rows, _summed(table.where("n < 0"), "sketch", np.zeros(width, np.uint16), _saturating)
 
 
 def light_boundary(sizes: dict[int, int], sketch: np.ndarray, sim: Similarity) -> int:
@@ -262,9 +263,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, sim
     return links
 
 
-def _tiled(members: DataFrame, sim: Similarity) -> DataFrame:
+def _tiled(members: DataFrame, sim: Similarity, single: bool) -> DataFrame:
     """Pairs of members(key, cls, n, label, bins, m) of one list that may be similar and differ in label, by tiles.
 
+    single: only the first of each member's pairs in a tile.
+
     A list of m members is cut into blocks of TILE by a hash, and every two blocks meet in one tile; a tile holds about
     2 * TILE rows however long the list is.
     """
@@ -274,35 +277,45 @@ def _tiled(members: DataFrame, sim: Similarity) -> DataFrame:
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "label", "bins")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        cls, n, label, own = (g[c].to_numpy() for c in ("cls", "n", "label", "own"))
-        n = n.astype(np.int64)
-        bins = digests(g["bins"])
-        out = [np.zeros((0, 2), np.int64)]
-        step = max(1, 100_000 // len(g))
-        for top in range(0, len(g), step):  # so many rows of the tile against all later ones
-            x, y = np.nonzero(np.arange(top, min(top + step, len(g)))[:, None] < np.arange(len(g))[None, :])
+    def pairs(cls: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray | None, bins: np.ndarray) -> np.ndarray:
+        """own: the members' blocks where two blocks meet, else None."""
+        out, step = [], max(1, 100_000 // len(cls))
+        for top in range(0, len(cls), step):  # so many rows of the tile against all later ones
+            x, y = np.nonzero(np.arange(top, min(top + step, len(cls)))[:, None] < np.arange(len(cls))[None, :])
             x += top
-            keep = label[x] != label[y]
-            if g["i"].iloc[0] != g["j"].iloc[0]:
+            keep = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * sim.den >= sim.num * np.maximum(n[x], n[y]))
+            if own is not None:
                 keep &= own[x] != own[y]
-            keep &= np.minimum(n[x], n[y]) * sim.den >= sim.num * np.maximum(n[x], n[y])
             x, y = x[keep], y[keep]
-            ok = may_be_similar(bins[x], bins[y], n[x], n[y], sim)
-            out.append(np.sort(np.column_stack([cls[x[ok]], cls[y[ok]]]), axis=1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+            if len(x):
+                ok = np.flatnonzero(may_be_similar(bins[x], bins[y], n[x], n[y], sim))
+                if single:
+                    ok = ok[np.unique(x[ok], return_index=True)[1]]
+                out.append(np.sort(np.column_stack([cls[x[ok]], cls[y[ok]]]), axis=1))
+        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        rest: pd.DataFrame | None = None
+
+        def done(b: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+            """The pairs of all tiles that b holds whole, and the rows of the tile that may go on."""
             tile = b[["key", "i", "j"]].to_numpy()
             starts = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]).any(axis=1)))
-            for s, e in itertools.pairwise(starts):
-                yield pairs(b.iloc[s:e])
-            rest = b.iloc[starts[-1] :] if len(b) else None
-        if rest is not None and len(rest):
-            yield pairs(rest)
+            ends = np.append(starts[1:], len(b)) if last else starts[1:]
+            cls, label, own, n, bins = b["cls"].to_numpy(), b["label"].to_numpy(), b["own"].to_numpy(), b["n"].to_numpy(np.int64), digests(b["bins"])
+            found = [np.zeros((0, 2), np.int64)]
+            for s, e in zip(starts, ends, strict=False):
+                if e - s > 1:
+                    found.append(pairs(cls[s:e], n[s:e], label[s:e], own[s:e] if tile[s, 1] != tile[s, 2] else None, bins[s:e]))
+            out = np.unique(np.concatenate(found), axis=0)
+            return pd.DataFrame(out, columns=["a", "b"]), None if last else b.iloc[starts[-1] :]
+
+        for b in batches:
+            if len(b):
+                out, rest = done(b if rest is None else pd.concat([rest, b], ignore_index=True), False)
+                yield out
+        if rest is not None:
+            yield done(rest, True)[0]
 
     return rows.mapInPandas(run, "a long, b long").distinct()
 
@@ -348,7 +361,7 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     own id. Fewer words than k make one shingle. Repeated rows are linked with each other. A null id is no smallest id
     unless its component has no other. An empty table gives an empty result; other columns aren't read.
     """
-    sim = Similarity(num, den)
+    sim, spark = Similarity(num, den), docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows, sketch = _sets(docs, k)
@@ -357,23 +370,32 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bins").alias("bins"))
     classes = written(classes, "classes")
 
-    postings = written(_postings(docs, k, light, sim, sketch).dropDuplicates(["key", "cls"]), "postings")
-    lists = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("pivot")).where("m > 1"), "lists")
-    members = written(postings.join(lists, "key"), "members")
+    # a list is worth reading where two classes are in it; m counts a class once a task at most, so 2 means two classes
+    postings = written(_postings(docs, k, light, sim, sketch), "postings")
+    lists = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot <> last").drop("last"), "lists")
+    members = written(postings.join(lists, "key").dropDuplicates(["key", "cls"]), "members")
     discard(postings, lists)
 
-    stars = members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    found = _verified(_pruned(stars, classes, sim), classes, docs, k, sim)
+    # Lists of two are settled by their pair. Else a class first meets the pivot that it has most lists in common with.
+    met = members.where("cls <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("m"))
+    best = met.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    best = best.unionByName(met.where("m = 2").select("a", "b")).distinct()
+    found = _verified(_pruned(best, classes, sim), classes, docs, k, sim)
     labels = components(found)
-    # lists whose members are not all in one component yet; in a list of two the pivot has met the other
-    tagged = members.where("m > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    tagged = written(tagged.select("key", "cls", "n", "m", "label"), "tagged")
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    open_ = tagged.join(mixed, "key", "left_semi").join(classes.select("cls", "bins"), "cls")
-    more = _verified(_tiled(open_, sim), classes, docs, k, sim)
-    if not more.isEmpty():
-        labels = components(found.unionByName(more))
-    discard(members, tagged)
+    # Lists whose members are not all in one component yet: first each class meets one likely member of another component
+    # in each tile, which joins most of what belongs together; then all pairs that are still apart are settled.
+    for single in (True, False):
+        tagged = members.where("m > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        tagged = written(tagged.select("key", "cls", "n", "m", "label"), "tagged")
+        mixed = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        open_ = tagged.join(mixed, "key", "left_semi").join(classes.select("cls", "bins"), "cls")
+        more = _verified(_tiled(open_, sim, single), classes, docs, k, sim)
+        discard(tagged)
+        if more.isEmpty():
+            break  # the second pass would find what the first has found
+        found = found.unionByName(more)
+        labels = components(found)
+    discard(members)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = written(named.select("cls", "least", "label"), "named")
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
