@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, discard, lookup_spread, mix, shingle_set, written
@@ -27,12 +28,14 @@ from .common import WordHash, discard, lookup_spread, mix, shingle_set, written
 #: Counters of shingle frequencies by hash: 2**SKETCH_BITS of 16 bits that saturate, so the order of lists costs 2 MB
 #: whatever the corpus.
 SKETCH_BITS = 20
-#: Bits that say which rows' sets are computed again; more rows than that cost time, not results.
+#: Bits that say which rows' texts are needed; more rows than that cost time, not results.
 WANTED_BITS = 23
 #: No set larger than this is joined by subsets.
 LIGHT_MOST = 40
 #: Members of a list that meet in one tile.
 TILE = 512
+#: Classes that are verified against one other in one group.
+GROUP = 64
 #: What rules pairs out: a histogram of BINS counts and PARITIES parity bits of a set's elements. An element that only one
 #: of two sets has moves one count by one and flips one bit, so neither distance exceeds the number of such elements.
 BINS, PARITIES = 64, 1024
@@ -137,9 +140,14 @@ def _saturating(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(x.astype(np.uint32) + y, 65535).astype(np.uint16)
 
 
+def _row_hash() -> Column:
+    """Tells rows of docs(id, text) apart; equal only for repeated rows, but for chance."""
+    return F.xxhash64(F.col("id").cast("string"), "text")
+
+
 def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """A table of (id, cls, n, bins) for all rows (n = 0: no words), and the frequency counters of all shingles."""
-    kind, docs = dict(docs.dtypes)["id"], docs.select(F.col("id").cast("string").alias("id"), "text")
+    """A table of (id, h, cls, n, bins) for all rows (n = 0: no words), and the frequency counters of all shingles."""
+    kind, docs = dict(docs.dtypes)["id"], docs.select(F.col("id").cast("string").alias("id"), _row_hash().alias("h"), "text")
     width = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,12 +156,12 @@ def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             sets = [shingle_set(t, k, seen) for t in b["text"]]
             for a in sets:
                 np.add.at(sketch, (a & np.uint64(width - 1)).astype(np.int64), np.uint32(1))
-            yield pd.DataFrame({"id": b["id"], "cls": pd.array([class_id(a) if len(a) else None for a in sets], "Int64"), "n": [len(a) for a in sets], "bins": [set_digest(a) if len(a) else None for a in sets], "sketch": None})
+            yield pd.DataFrame({"id": b["id"], "h": b["h"], "cls": pd.array([class_id(a) if len(a) else None for a in sets], "Int64"), "n": [len(a) for a in sets], "bins": [set_digest(a) if len(a) else None for a in sets], "sketch": None})
         if sketch.any():
-            yield pd.DataFrame({"id": [None], "cls": pd.array([None], "Int64"), "n": [-1], "bins": [None], "sketch": [np.minimum(sketch, 65535).astype(np.uint16).tobytes()]})
+            yield pd.DataFrame({"id": [None], "h": [0], "cls": pd.array([None], "Int64"), "n": [-1], "bins": [None], "sketch": [np.minimum(sketch, 65535).astype(np.uint16).tobytes()]})
 
-    table = written(docs.mapInPandas(run, "id string, cls long, n int, bins binary, sketch binary"), "sets")
-    rows = table.where("n >= 0").select(F.col("id").cast(kind).alias("id"), "cls", "n", "bins")
+    table = written(docs.mapInPandas(run, "id string, h long, cls long, n int, bins binary, sketch binary"), "sets")
+    rows = table.where("n >= 0").select(F.col("id").cast(kind).alias("id"), "h", "cls", "n", "bins")
     return rows, _summed(table.where("n < 0"), "sketch", np.zeros(width, np.uint16), _saturating)
 
 
@@ -212,13 +220,11 @@ def _pruned(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInPandas(run, "a long, b long")
 
 
-def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(cls, items) of the classes in pairs, computed again from one row each.
+def _texts_of(routes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(h, packed) of the rows that routes(h) name: their whole texts, compressed, which is far less than their sets.
 
-    A bitmap of fixed size says which rows may be wanted, so no text is shuffled.
+    A bitmap of fixed size says which rows may be wanted, so no other text is shuffled. A task gives a repeated row once.
     """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    asked = written(asked.join(classes.select("cls", F.xxhash64("least").alias("h")), "cls"), "asked")
     width = 1 << WANTED_BITS
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,38 +234,58 @@ def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> D
         if bits.any():
             yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
 
-    bits = np.unpackbits(_summed(asked.select("h").mapInPandas(mark, "bits binary"), "bits", np.zeros(width // 8, np.uint8), np.bitwise_or)).astype(bool)
-    packed = np.packbits(bits)
+    packed = _summed(routes.select("h").mapInPandas(mark, "bits binary"), "bits", np.zeros(width // 8, np.uint8), np.bitwise_or)
 
-    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, wanted = WordHash(), np.unpackbits(packed).astype(bool)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, done, press = np.unpackbits(packed).astype(bool), set(), zstandard.ZstdCompressor(level=3)
         for b in batches:
-            own = b["text"][wanted[b["h"].to_numpy(np.int64) & (width - 1)]]
-            sets = [a for t in own if len(a := shingle_set(t, k, seen))]
-            yield pd.DataFrame({"cls": pd.Series([class_id(a) for a in sets], dtype="int64"), "items": [a.tobytes() for a in sets]})
+            own, texts = [], []
+            b = b[wanted[b["h"].to_numpy(np.int64) & (width - 1)]]
+            for h, text in zip(b["h"], b["text"], strict=True):
+                if text and h not in done:
+                    if len(done) > 200_000:
+                        done.clear()
+                    done.add(h)
+                    own.append(h)
+                    texts.append(press.compress(text.encode("utf-8", "surrogatepass")))
+            yield pd.DataFrame({"h": pd.Series(own, dtype="int64"), "packed": texts})
 
-    found = docs.select(F.xxhash64("id").alias("h"), "text").mapInPandas(items, "cls long, items binary")
-    return written(found.join(asked.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "items")
+    return docs.select(_row_hash().alias("h"), "text").mapInPandas(pack, "h long, packed binary")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar, as a table."""
+    """Those of the pairs (a, b) whose sets are similar, as a table.
+
+    The b of one a form groups of GROUP, or of the root of their number where that is more, so that neither a group nor
+    the copies of a grow with a's pairs. One row's text of each class goes to its groups, where a's set is built once
+    and each b's is held against it as it comes by.
+    """
+    pairs = written(pairs, "pairs")
+    c = F.col("c")
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(c > GROUP).select("a", F.ceil(c / F.greatest(F.lit(float(GROUP)), F.sqrt("c"))).alias("many"))
+    dealt = lookup_spread(pairs, hot, ["a"], ["b"]).withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("many", F.lit(1))).cast("int"))
+    routes = dealt.select("a", "part", F.explode(F.array("a", "b")).alias("cls")).distinct()
+    routes = written(routes.join(classes.select("cls", "h"), "cls"), "routes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, unpack = WordHash(), zstandard.ZstdDecompressor()
+        at, pivot = None, np.zeros(0, np.uint64)
         for b in batches:
-            ok = []
-            for x, y in zip(b["set_a"], b["set_b"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(sim.holds(shared, len(x), len(y)))
-            yield b.loc[ok, ["a", "b"]]
-
-    pairs = written(pairs, "pairs")
-    sets = _sets_of(pairs, classes, docs, k)
-    own = lambda s: sets.select(F.col("cls").alias(s), F.col("items").alias(f"set_{s}"))
-    both = lookup_spread(pairs.join(own("b"), "b"), own("a"), ["a"], ["b"], fan=16, how="inner")
-    links = written(both.select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long"), "links")
-    discard(pairs, sets)
+            links = []
+            for a, part, cls, packed in zip(b["a"], b["part"], b["cls"], b["packed"], strict=True):
+                own = shingle_set(unpack.decompress(packed).decode("utf-8", "surrogatepass"), k, seen)
+                if class_id(own) != cls:
+                    continue  # another row of the same hash
+                if cls == a:
+                    at, pivot = (a, part), own
+                elif at == (a, part) and sim.holds(len(np.intersect1d(pivot, own, assume_unique=True)), len(pivot), len(own)):
+                    links.append((a, cls))
+            yield pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    met = _texts_of(routes, docs).join(routes, "h").select("a", "part", "cls", "packed")
+    met = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("cls") != F.col("a"))
+    links = written(met.mapInPandas(run, "a long, b long"), "links")
+    discard(pairs, routes)
     return links
 
 
@@ -367,7 +393,7 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     rows, sketch = _sets(docs, k)
     sizes = {r["n"]: r["count"] for r in rows.where(F.col("n").between(1, 2 * LIGHT_MOST)).groupBy("n").count().collect()}
     light = light_boundary(sizes, sketch, sim)
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bins").alias("bins"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.min("h").alias("h"))
     classes = written(classes, "classes")
 
     # a list is worth reading where two classes are in it; m counts a class once a task at most, so 2 means two classes
