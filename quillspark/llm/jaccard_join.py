@@ -413,7 +413,9 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     for single in (True, False):
         tagged = members.where("m > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         tagged = written(tagged.select("key", "cls", "n", "m", "label"), "tagged")
-        mixed = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        h = F.xxhash64("cls")
+        lists = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), *[F.sum(p).alias(f"p{i}") for i, p in enumerate((F.shiftrightunsigned(h, 34), F.pmod(h, F.lit(1 << 30))))])
+        mixed = lists.where("x <> y").groupBy("x", "y", "c", "p0", "p1").agg(F.min("key").alias("key")).select("key")  # lists with the same members are read once
         open_ = tagged.join(mixed, "key", "left_semi").join(classes.select("cls", "bins"), "cls")
         more = _verified(_tiled(open_, sim, single), classes, docs, k, sim)
         discard(tagged)
