@@ -290,9 +290,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, sim
 
 
 def _tiled(members: DataFrame, sim: Similarity, single: bool) -> DataFrame:
-    """Pairs of members(key, cls, n, label, bins, m) of one list that may be similar and differ in label, by tiles.
+    """Pairs (a, b) of members(key, cls, n, label, bins, m) of one list that may be similar and differ in label, by tiles.
 
-    single: only the first of each member's pairs in a tile.
+    single: only the first of each member's pairs in a tile; a list of which that left out pairs is named by a row with
+    unsettled, its key in a.
 
     A list of m members is cut into blocks of TILE by a hash, and every two blocks meet in one tile; a tile holds about
     2 * TILE rows however long the list is.
@@ -303,9 +304,9 @@ def _tiled(members: DataFrame, sim: Similarity, single: bool) -> DataFrame:
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "label", "bins")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs(cls: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray | None, bins: np.ndarray) -> np.ndarray:
-        """own: the members' blocks where two blocks meet, else None."""
-        out, step = [], max(1, 100_000 // len(cls))
+    def pairs(cls: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray | None, bins: np.ndarray) -> tuple[np.ndarray, bool]:
+        """The pairs, and whether there are others. own: the members' blocks where two blocks meet, else None."""
+        out, others, step = [], False, max(1, 100_000 // len(cls))
         for top in range(0, len(cls), step):  # so many rows of the tile against all later ones
             x, y = np.nonzero(np.arange(top, min(top + step, len(cls)))[:, None] < np.arange(len(cls))[None, :])
             x += top
@@ -316,9 +317,11 @@ def _tiled(members: DataFrame, sim: Similarity, single: bool) -> DataFrame:
             if len(x):
                 ok = np.flatnonzero(may_be_similar(bins[x], bins[y], n[x], n[y], sim))
                 if single:
-                    ok = ok[np.unique(x[ok], return_index=True)[1]]
+                    first = np.unique(x[ok], return_index=True)[1]
+                    others |= len(first) < len(ok)
+                    ok = ok[first]
                 out.append(np.sort(np.column_stack([cls[x[ok]], cls[y[ok]]]), axis=1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return np.concatenate(out) if out else np.zeros((0, 2), np.int64), others
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -329,12 +332,17 @@ def _tiled(members: DataFrame, sim: Similarity, single: bool) -> DataFrame:
             starts = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]).any(axis=1)))
             ends = np.append(starts[1:], len(b)) if last else starts[1:]
             cls, label, own, n, bins = b["cls"].to_numpy(), b["label"].to_numpy(), b["own"].to_numpy(), b["n"].to_numpy(np.int64), digests(b["bins"])
-            found = [np.zeros((0, 2), np.int64)]
+            found, unsettled = [np.zeros((0, 2), np.int64)], set()
             for s, e in zip(starts, ends, strict=False):
                 if e - s > 1:
-                    found.append(pairs(cls[s:e], n[s:e], label[s:e], own[s:e] if tile[s, 1] != tile[s, 2] else None, bins[s:e]))
-            out = np.unique(np.concatenate(found), axis=0)
-            return pd.DataFrame(out, columns=["a", "b"]), None if last else b.iloc[starts[-1] :]
+                    some, others = pairs(cls[s:e], n[s:e], label[s:e], own[s:e] if tile[s, 1] != tile[s, 2] else None, bins[s:e])
+                    found.append(some)
+                    if others:
+                        unsettled.add(tile[s, 0])
+            out = pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"]).assign(unsettled=False)
+            if unsettled:
+                out = pd.concat([out, pd.DataFrame({"a": np.array(sorted(unsettled), np.int64), "b": 0, "unsettled": True})], ignore_index=True)
+            return out, None if last else b.iloc[starts[-1] :]
 
         for b in batches:
             if len(b):
@@ -343,7 +351,7 @@ def _tiled(members: DataFrame, sim: Similarity, single: bool) -> DataFrame:
         if rest is not None:
             yield done(rest, True)[0]
 
-    return rows.mapInPandas(run, "a long, b long").distinct()
+    return rows.mapInPandas(run, "a long, b long, unsettled boolean").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -409,20 +417,27 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     found = _verified(_pruned(best, classes, sim), classes, docs, k, sim)
     labels = components(found)
     # Lists whose members are not all in one component yet: first each class meets one likely member of another component
-    # in each tile, which joins most of what belongs together; then all pairs that are still apart are settled.
+    # in each tile, which joins most of what belongs together; then, in lists of which that left out pairs, all pairs
+    # that are still apart are settled.
+    lists = members.where("m > 2")
     for single in (True, False):
-        tagged = members.where("m > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        tagged = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         tagged = written(tagged.select("key", "cls", "n", "m", "label"), "tagged")
         h = F.xxhash64("cls")
-        lists = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), *[F.sum(p).alias(f"p{i}") for i, p in enumerate((F.shiftrightunsigned(h, 34), F.pmod(h, F.lit(1 << 30))))])
-        mixed = lists.where("x <> y").groupBy("x", "y", "c", "p0", "p1").agg(F.min("key").alias("key")).select("key")  # lists with the same members are read once
+        prints = [F.sum(p).alias(f"p{i}") for i, p in enumerate((F.shiftrightunsigned(h, 34), F.pmod(h, F.lit(1 << 30))))]
+        mixed = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), *prints).where("x <> y")
+        mixed = mixed.groupBy("x", "y", "c", "p0", "p1").agg(F.min("key").alias("key")).select("key")  # of lists with the same members one is read
         open_ = tagged.join(mixed, "key", "left_semi").join(classes.select("cls", "bins"), "cls")
-        more = _verified(_tiled(open_, sim, single), classes, docs, k, sim)
+        tiles = written(_tiled(open_, sim, single), "tiles")
         discard(tagged)
-        if more.isEmpty():
-            break  # the second pass would find what the first has found
-        found = found.unionByName(more)
-        labels = components(found)
+        more = _verified(tiles.where("NOT unsettled").select("a", "b"), classes, docs, k, sim)
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            labels = components(found)
+        unsettled = tiles.where("unsettled").select(F.col("a").alias("key"))
+        if unsettled.isEmpty():
+            break
+        lists = members.join(unsettled, "key", "left_semi")
     discard(members)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = written(named.select("cls", "least", "label"), "named")

@@ -66,6 +66,24 @@ def test_jaccard_join(spark, k, num, den):
     assert [got[i] for i in range(len(texts))] == brute_groups(texts, k, num, den)
 
 
+def test_jaccard_join_finds_links_behind_failed_ones(spark, monkeypatch):
+    """Many texts just below the threshold share lists with a few that reach it; tiles and groups are small."""
+    monkeypatch.setattr(jaccard_join, "TILE", 4)
+    monkeypatch.setattr(jaccard_join, "GROUP", 2)
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.integers(9000)}" for _ in range(120)]
+        for edits in (1, 2, 3, 4, 4, 5, 5, 6, 6, 7, 8, 9) * 2:
+            t = list(base)
+            for at in rng.choice(120, edits, replace=False):
+                t[at] = f"e{rng.integers(10**9)}"
+            texts.append(" ".join(t))
+    texts += texts[:5]
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(docs(spark, texts), 3, 90, 100).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(texts, 3, 90, 100)
+
+
 def test_jaccard_light_and_heavy_find_the_same():
     rng = np.random.default_rng(1)
     sim = jaccard_join.Similarity(8, 10)
