@@ -24,6 +24,8 @@ SAMPLE_ROWS = 8000
 LEARNED_TERMS = 64
 STEM_LENGTHS = range(4, 9)
 THRESHOLD = 0.3
+#: Pairs (trie node, edits) in the automaton states that a worker remembers, about 100 bytes each.
+MOST_PAIRS = 2_000_000
 #: Tokens to each side of a find that are looked at.
 CONTEXT = 6
 WORD = re.compile(r"[^\W\d_]+(?:[*@$!0134][^\W\d_]+)*")
@@ -43,32 +45,46 @@ def budget(term: str) -> int:
 class Automaton:
     """Levenshtein automata of all terms at once, over the lexicon's trie.
 
-    A misspelled word keeps its first letter, so no edit is spent at the root and most words die at once. Stems
-    (word beginnings) must be spelled right and are looked up by length.
+    A misspelled word keeps its first letter, so no edit is spent at the root and most words die at once. A stem is
+    found where some beginning of the word is within its budget; a find of a whole word goes before that of a stem.
     """
 
     def __init__(self, words: list[str], stems: list[str]):
+        whole, beginnings = set(words), set(stems)
         self.children: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
+        self.stem: list[str | None] = [None]
         self.allowed = [0]
-        for term in words:
+        for term in dict.fromkeys([*words, *stems]):
             node = 0
             for c in term:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.word.append(None)
+                    self.stem.append(None)
                     self.allowed.append(0)
                 node = self.children[node][c]
                 self.allowed[node] = max(self.allowed[node], budget(term))
-            self.word[node] = term
-        self.longest = max([0, *(len(t) + budget(t) for t in words)])
-        self.stems, self.stem_sizes = set(stems), sorted({len(t) for t in stems})
+            if term in whole:
+                self.word[node] = term
+            if term in beginnings:
+                self.stem[node] = term
+        self._forget()
+
+    def _forget(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
+        #: (edits, term) of the closest word that ends and of the closest stem that is complete in a state.
+        self.ends: list[tuple[int, str] | None] = []
+        self.begun: list[tuple[int, str] | None] = []
+        self.pairs = 0
         self.start = self._state({(0, 0)})
 
+    def _closest(self, key: frozenset, terms: list[str | None]) -> tuple[int, str] | None:
+        return min(((edits, t) for node, edits in key if (t := terms[node]) and edits <= budget(t)), default=None)
+
     def _state(self, pairs: set[tuple[int, int]]) -> int:
         todo, seen = list(pairs), set(pairs)
         while todo:  # a term's letter may be missing from the word
@@ -87,6 +103,9 @@ class Automaton:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
+            self.ends.append(self._closest(key, self.word))
+            self.begun.append(self._closest(key, self.stem))
+            self.pairs += len(key)
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -103,23 +122,21 @@ class Automaton:
 
     def match(self, word: str) -> tuple[str, int, bool] | None:
         """(term, edits, whether it is a stem) that the word is closest to, or nothing."""
-        stem = next((word[:n] for n in self.stem_sizes if word[:n] in self.stems), None)
-        if stem or len(word) > self.longest:
-            return (stem, 0, True) if stem else None
-        state = self.start
+        if self.pairs > MOST_PAIRS:  # bound what a worker remembers
+            self._forget()
+        state, stem = self.start, None
         for c in word:
             at = self.steps[state].get(c)
             if at is None:
-                if len(self.sets) > 200_000:  # bound what a worker remembers
-                    self.ids, self.sets, self.steps = {}, [], []
-                    self.start = self._state({(0, 0)})
-                    return self.match(word)
                 at = self.steps[state][c] = self._step(state, c)
             state = at
             if not self.sets[state]:
-                return None
-        ends = [(edits, self.word[node]) for node, edits in self.sets[state] if self.word[node] and edits <= budget(self.word[node])]
-        return (min(ends)[1], min(ends)[0], False) if ends else None
+                break
+            if (begun := self.begun[state]) and (stem is None or begun < stem):
+                stem = begun
+        if end := self.ends[state]:
+            return end[1], end[0], False
+        return (stem[1], stem[0], True) if stem else None
 
 
 def _terms(text: str) -> set[str]:
@@ -147,7 +164,7 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
         return {}
     odds = F.log(((F.col("toxic") + 0.5) / (t + 1)) / ((F.col("clean") + 0.5) / (c + 1)))
     best = sums.where((F.col("term") != "") & (F.col("toxic") >= 4)).withColumn("odds", odds).where("odds > 1.0")
-    best = best.withColumn("gain", F.col("toxic") * F.col("odds")).orderBy(F.desc("gain"), F.length("term"), "term").limit(20 * LEARNED_TERMS)
+    best = best.withColumn("gain", F.col("toxic") * F.col("odds")).orderBy(F.desc("gain"), F.desc(F.length(F.rtrim("term", F.lit("*")))), "term").limit(20 * LEARNED_TERMS)  # of equal gain the longest
     out: dict[str, float] = {}
     for r in best.collect():
         stem = r["term"].rstrip("*")
@@ -180,12 +197,12 @@ def text_features(text: str | None, auto: Automaton, weight: dict[str, float], k
             left = int(np.searchsorted(marks, places[i]))
             inside = left % 2 == 1 and left < len(marks) and marks[left] - marks[left - 1] < 200
             aimed += bool(ADDRESS.intersection(near))
-            if stem:
-                stems += 1
-            elif inside or REPORTING.intersection(near):
+            if inside or REPORTING.intersection(near):
                 quoted += 1
             elif edits:
                 fuzzy += 1
+            elif stem:
+                stems += 1
             else:
                 exact += 1
     weighted = sum(weight.get(t + "*" * s, 2.0) * math.log1p(n) for (t, s), n in per.items())

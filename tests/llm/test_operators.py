@@ -135,6 +135,31 @@ def test_automaton_is_exact():
     assert auto.match("achlichkeit") == ("achlich", 0, True)
 
 
+def test_learned_terms_are_whole_words_and_quoted_stems_count_as_quoted(spark):
+    rows = [(f"filler{i} you absolute clownface number {i}", 1) for i in range(20)] + [(f"filler{i} a calm text number {i}", 0) for i in range(60)]
+    assert "clownface" in toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    auto = toxicity.Automaton(["trash"], ["achlich", "tras"])
+    at = {name: i for i, name in enumerate(toxicity.FEATURES)}
+    seen = lambda text: {name for name in ("exact", "quoted", "fuzzy", "stems") if toxicity.text_features(text, auto, {}, {})[at[name]]}
+    assert seen("so: achlichkeit of it") == {"stems"} and seen("he said achlichkeit of it") == {"quoted"} == seen('the "achlichkeit" here')
+    assert seen("what trash here") == {"exact"} and seen("what atrocious aclichkeit here") == {"fuzzy"}
+
+
+def test_stems_allow_the_edits_of_words():
+    stems = ["achlich", "moronical", "wort"]
+    auto = toxicity.Automaton([], stems)
+    rng = np.random.default_rng(5)
+    for _ in range(2000):
+        w = list(stems[rng.integers(3)] + "keiten"[: rng.integers(7)])
+        for _ in range(rng.integers(4)):
+            at = int(rng.integers(1, len(w) + 1))
+            w[at : at + int(rng.integers(2))] = ["abcdehilort"[rng.integers(11)]] * int(rng.integers(2))
+        w = "".join(w)
+        near = [(min(levenshtein(w[:n], t) for n in range(1, len(w) + 1) if w[:1] == t[0]), t) for t in stems if w[:1] == t[0]]
+        near = [(e, t) for e, t in near if e <= toxicity.budget(t)]
+        assert auto.match(w) == ((min(near)[1], min(near)[0], True) if near else None), w
+
+
 def test_toxicity_held_out(spark):
     d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score_toxicity(d, l).join(l.withColumnRenamed("doc_id", "id"), "id").where("held_out").toPandas()
