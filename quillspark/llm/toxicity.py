@@ -2,8 +2,7 @@
 
 The lexicon holds fixed abusive words and terms (words or word beginnings) that a bounded sample of labelled
 training rows singles out. Its trie is intersected with Levenshtein automata: a state is a set of (trie node, edits
-spent), made deterministic lazily and shared by all words, so a word runs through at one step a character and most
-words die after a few. Finds inside quotation marks or next to reporting words count apart from those that are
+spent), made deterministic lazily and shared by all words, so a word runs through at one step a character. Finds inside quotation marks or next to reporting words count apart from those that are
 aimed at somebody. A logistic model over these counts, fitted on the same sample, gives the score.
 """
 
@@ -28,7 +27,9 @@ THRESHOLD = 0.3
 MOST_PAIRS = 2_000_000
 #: Tokens to each side of a find that are looked at.
 CONTEXT = 6
-WORD = re.compile(r"[^\W\d_]+(?:[*@$!0134][^\W\d_]+)*")
+#: Signs that may stand for letters; a word is letters and such signs in any order, with a letter among them.
+MASKS = "*@$!0134"
+WORD = re.compile(rf"[{MASKS}]*+[^\W\d_](?:[^\W\d_]|[{MASKS}])*+")
 #: Abusive words, reporting words, words that address somebody, quotation marks.
 ABUSIVE = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile cretin bastard dumbass jackass retard vermin imbécile crétin connard abruti salaud débile dummkopf arschloch trottel mistkerl imbécil estúpido cretino payaso gilipollas".split()
 REPORTING = frozenset("said says saying called calls call word words term quote quoted quotes quoting wrote writes phrase mot terme dit wort sagte genannt palabra término dijo llamó".split())
@@ -45,8 +46,8 @@ def budget(term: str) -> int:
 class Automaton:
     """Levenshtein automata of all terms at once, over the lexicon's trie.
 
-    A misspelled word keeps its first letter, so no edit is spent at the root and most words die at once. A stem is
-    found where some beginning of the word is within its budget; a find of a whole word goes before that of a stem.
+    Edits may be anywhere, the first letter included. A stem is found where some beginning of the word is within its
+    budget; a find of a whole word goes before that of a stem.
     """
 
     def __init__(self, words: list[str], stems: list[str]):
@@ -66,6 +67,7 @@ class Automaton:
                     self.allowed.append(0)
                 node = self.children[node][c]
                 self.allowed[node] = max(self.allowed[node], budget(term))
+            self.allowed[0] = max(self.allowed[0], budget(term))
             if term in whole:
                 self.word[node] = term
             if term in beginnings:
@@ -89,8 +91,6 @@ class Automaton:
         todo, seen = list(pairs), set(pairs)
         while todo:  # a term's letter may be missing from the word
             node, edits = todo.pop()
-            if node == 0:
-                continue
             for child in self.children[node].values():
                 if edits < self.allowed[child] and (child, edits + 1) not in seen:
                     seen.add((child, edits + 1))
@@ -114,7 +114,7 @@ class Automaton:
             for letter, child in self.children[node].items():
                 if letter == c:
                     out.add((child, edits))
-                elif node and edits < self.allowed[child]:
+                elif edits < self.allowed[child]:
                     out.add((child, edits + 1))
             if edits < self.allowed[node]:  # a letter too many
                 out.add((node, edits + 1))
@@ -139,8 +139,14 @@ class Automaton:
         return (stem[1], stem[0], True) if stem else None
 
 
+def find(token: str, auto: Automaton) -> tuple[str, int, bool] | None:
+    """The closest match of a token, whose outer signs may be letters or punctuation: idio*, but idiot! as well."""
+    forms = {token, token.lstrip(MASKS), token.rstrip(MASKS), token.strip(MASKS)}
+    return min(filter(None, map(auto.match, forms)), key=lambda m: (m[2], m[1], m[0]), default=None)
+
+
 def _terms(text: str) -> set[str]:
-    words = set(WORD.findall(text.lower()))
+    words = {w.strip(MASKS) for w in WORD.findall(text.lower())}
     return words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n}
 
 
@@ -178,20 +184,21 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
 def text_features(text: str | None, auto: Automaton, weight: dict[str, float], known: dict[str, tuple | None]) -> list[float]:
     """Counts of one text in the order of FEATURES."""
     low = (text or "").lower()
-    words = WORD.findall(low)
+    tokens = WORD.findall(low)
     if len(known) > 500_000:
         known.clear()
-    for w in {*words}:
+    for w in {*tokens}:
         if w not in known:
-            known[w] = auto.match(w)
-    finds = [i for i, w in enumerate(words) if known[w]]
+            known[w] = find(w, auto)
+    finds = [i for i, w in enumerate(tokens) if known[w]]
     exact = quoted = fuzzy = stems = aimed = 0.0
     per: Counter = Counter()
     if finds:
         places = [m.start() for m in WORD.finditer(low)]
         marks = np.array([m.start() for m in QUOTES.finditer(low)], np.int64)
+        words = [w.strip(MASKS) for w in tokens]
         for i in finds:
-            term, edits, stem = known[words[i]]
+            term, edits, stem = known[tokens[i]]
             per[(term, stem)] += 1
             near = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
             left = int(np.searchsorted(marks, places[i]))
@@ -206,7 +213,7 @@ def text_features(text: str | None, auto: Automaton, weight: dict[str, float], k
             else:
                 exact += 1
     weighted = sum(weight.get(t + "*" * s, 2.0) * math.log1p(n) for (t, s), n in per.items())
-    return [math.log1p(exact), math.log1p(quoted), math.log1p(fuzzy), math.log1p(stems), weighted, float(min(6, len(per))), 10 * math.log1p(len(finds)) / math.sqrt(len(words) + 10), math.log1p(aimed), math.log1p(len(words)) / 5]
+    return [math.log1p(exact), math.log1p(quoted), math.log1p(fuzzy), math.log1p(stems), weighted, float(min(6, len(per))), 10 * math.log1p(len(finds)) / math.sqrt(len(tokens) + 10), math.log1p(aimed), math.log1p(len(tokens)) / 5]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

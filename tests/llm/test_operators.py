@@ -160,6 +160,23 @@ def test_stems_allow_the_edits_of_words():
         assert auto.match(w) == ((min(near)[1], min(near)[0], True) if near else None), w
 
 
+def test_edits_and_masking_signs_anywhere():
+    auto = toxicity.Automaton(toxicity.ABUSIVE, [])
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        w = list(toxicity.ABUSIVE[rng.integers(len(toxicity.ABUSIVE))])
+        for _ in range(rng.integers(4)):
+            at = int(rng.integers(0, len(w) + 1))
+            w[at : at + int(rng.integers(2))] = ["abcdeiotu@*1"[rng.integers(12)]] * int(rng.integers(2))
+        w = "".join(w)
+        near = [(e, t) for t in toxicity.ABUSIVE if (e := levenshtein(w, t)) <= toxicity.budget(t)]
+        assert auto.match(w) == ((min(near)[1], min(near)[0], False) if near else None), w
+    for token, want in {"ldiot": ("idiot", 1), "1diot": ("idiot", 1), "diot": ("idiot", 1), "xstupid": ("stupid", 1), "idio*": ("idiot", 1), "idiot!": ("idiot", 0), "*idiot*": ("idiot", 0), "p**hetic": ("pathetic", 2), "**thetic!!!": ("pathetic", 2)}.items():
+        assert toxicity.WORD.findall(f"so {token} it") == ["so", token, "it"]
+        assert toxicity.find(token, auto) == (*want, False), token
+    assert toxicity.WORD.findall("i**t 2 ** 10 a_b 4th") == ["i**t", "a", "b", "4th"]
+
+
 def test_toxicity_held_out(spark):
     d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score_toxicity(d, l).join(l.withColumnRenamed("doc_id", "id"), "id").where("held_out").toPandas()
