@@ -25,13 +25,11 @@ BACKOFF = 0.4
 #: Characters of text in a block, and characters of corpus per hash partition.
 BLOCK_CHARS = 6_000_000
 LEAST_BLOCKS = 12
-#: n-grams are told apart by a hash of the corpus size's bits and so many more: two agree with probability 2**-20.
-SPARE_BITS = 20
 ASKED = "block int, part int, keys binary, counts binary"
 
 
-def _grams(texts: pd.Series, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram keys [order, token] of `bits` bits (of the n-gram that ends there), which of them exist, token counts."""
+def _grams(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit n-gram keys [order, token] (of the n-gram that ends there), which of them exist, token counts."""
     seen = WordHash()
     hashed = [word_hashes(words_of(t), seen) for t in texts]
     lengths = np.array([len(h) for h in hashed], np.int64)
@@ -41,7 +39,7 @@ def _grams(texts: pd.Series, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     for n in range(1, ORDER + 1):
         if len(flat) >= n:
             keys[n - 1, n - 1 :] = gram_hashes(flat, n)
-    return keys >> np.uint64(64 - bits), place >= np.arange(ORDER)[:, None], lengths
+    return keys, place >= np.arange(ORDER)[:, None], lengths
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -49,9 +47,9 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(len(x) > 0, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
-def _edges(parts: int, bits: int) -> np.ndarray:
-    """Smallest key of each hash partition, and the end."""
-    return np.array([-(-(p << bits) // parts) for p in range(parts + 1)], np.uint64)
+def _edges(parts: int) -> np.ndarray:
+    """Smallest key of each hash partition."""
+    return np.array([-(-(p << 64) // parts) for p in range(parts)], np.uint64)
 
 
 def packed_keys(keys: np.ndarray, low: int) -> bytes:
@@ -83,7 +81,7 @@ def unpacked_counts(data: bytes) -> np.ndarray:
     return counts
 
 
-def score_block(keys: np.ndarray, real: np.ndarray, lengths: np.ndarray, bits: int, totals: np.ndarray) -> pd.DataFrame:
+def score_block(keys: np.ndarray, real: np.ndarray, lengths: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
     """n_tokens, logsum without the corpus size, and how many tokens fell to the unigram level.
 
     totals are the corpus counts of the block's distinct keys, in their order.
@@ -91,15 +89,9 @@ def score_block(keys: np.ndarray, real: np.ndarray, lengths: np.ndarray, bits: i
     owner = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     key, doc = keys[real], np.tile(owner, (ORDER, 1))[real]
-    if len(lengths) <= 1 << (64 - bits):  # key and document fit one word: equal ones needn't keep their order
-        both = (key << np.uint64(64 - bits)) | doc
-        order = np.argsort(both)
-        both = both[order]
-        start, first = _runs(both), _runs(both >> np.uint64(64 - bits))
-    else:
-        order = np.lexsort((doc, key))
-        first = _runs(key[order])
-        start = np.union1d(first, _runs(doc[order]))
+    order = np.argsort(key, kind="stable")  # an n-gram's documents stay in their order
+    first = _runs(key[order])
+    start = np.union1d(first, _runs(doc[order]))
     spread = lambda starts, values: np.repeat(values, np.diff(np.append(starts, len(order))))
     rest = spread(first, totals) - spread(start, np.diff(np.append(start, len(order))))
     left = np.zeros((ORDER, len(owner)), np.int64)
@@ -132,16 +124,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kind = dict(docs.dtypes)[id_col]
     chars = docs.select(F.sum(F.length(text_col).cast("double"))).head()[0] or 0
     blocks = max(LEAST_BLOCKS, int(chars // BLOCK_CHARS) + 1)
-    bits = min(62, SPARE_BITS + max(20, int(ORDER * chars / 4 + 1).bit_length()))
-    edges = _edges(blocks, bits)
+    edges = _edges(blocks)
     slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("lm")), F.lit(blocks)).cast("int").alias("block"))
 
     def ask(block: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        keys, real, _ = _grams(group["text"], bits)
+        keys, real, _ = _grams(group["text"])
         keys = np.sort(keys[real])
         first = _runs(keys)
         counts, keys = np.diff(np.append(first, len(keys))), keys[first]
-        ends = np.searchsorted(keys, edges)
+        ends = np.append(np.searchsorted(keys, edges), len(keys))
         out = [(int(block[0]), p, packed_keys(keys[i:j], edges[p]), packed_counts(counts[i:j])) for p, (i, j) in enumerate(itertools.pairwise(ends)) if j > i]
         return pd.DataFrame(out, columns=["block", "part", "keys", "counts"])
 
@@ -159,9 +150,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return pd.DataFrame({"block": group["block"], "part": group["part"], "totals": [packed_counts(t) for t in np.split(counts, ends)]})
 
     def look_up(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        keys, real, lengths = _grams(group["text"], bits)
+        keys, real, lengths = _grams(group["text"])
         totals = np.concatenate([np.zeros(0, np.int64), *map(unpacked_counts, answers.sort_values("part")["totals"])])
-        out = score_block(keys, real, lengths, bits, totals)
+        out = score_block(keys, real, lengths, totals)
         out.insert(0, "id", group["id"].to_numpy())
         return out
 

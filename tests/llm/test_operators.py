@@ -6,11 +6,12 @@ import html
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, lm_score, mixing, secret_scan, toxicity, warc
-from quillspark.llm.common import lookup_spread
+from quillspark.llm.common import WordHash, gram_hashes, lookup_spread, word_hashes
 
 SF = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, lang string, source string, keep_id long, _salt int, h string"
@@ -112,6 +113,17 @@ def test_lm_scores_edge_cases(spark):
     assert (lm_score.unpacked_counts(lm_score.packed_counts(counts)) == counts).all()
 
 
+def test_lm_keys_keep_all_bits():
+    """n-grams whose hashes differ in the last bit alone are different n-grams, through packing and back."""
+    keys, real, _ = lm_score._grams(pd.Series(["a b c", "a b d"]))
+    flat = word_hashes([b"a", b"b", b"c"], WordHash())
+    assert keys[2, 2] == gram_hashes(flat, 3)[0] and keys[0, 0] == gram_hashes(flat, 1)[0] and real.sum() == 12
+    edges = lm_score._edges(12)
+    assert len(edges) == 12 and edges[0] == 0 and (edges[1:] > edges[:-1]).all()
+    near = np.array([edges[11], edges[11] + np.uint64(1), 2**64 - 2, 2**64 - 1], np.uint64)
+    assert (lm_score.unpacked_keys(lm_score.packed_keys(near, edges[11]), edges[11]) == near).all()
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
