@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,16 +72,17 @@ def traverse(catalog: Catalog, starts: DataFrame, depth: int = 3, max_nodes: int
     return kept.select("start", "path", "title", "type", "depth"), both.distinct()
 
 
-def reachable(links: DataFrame, start: str, most_steps: int = 64) -> DataFrame:
-    """path of everything that links lead to from start (start itself only by a cycle)."""
+def reachable(links: DataFrame, start: str) -> DataFrame:
+    """path of everything that links lead to from start (start itself only by a cycle), a round for each link of the way."""
     step = links.where(F.col("dst").isNotNull()).select(F.col("src").alias("path"), F.col("dst").alias("next")).distinct().cache()
     seen = frontier = step.where(F.col("path") == start).select(F.col("next").alias("path")).distinct()
-    for _ in range(most_steps):
+    for round_ in itertools.count(1):
         frontier = _cut(frontier.join(step, "path").select(F.col("next").alias("path")).distinct().join(seen, "path", "left_anti"))
         if not frontier.head(1):
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        if round_ % 16 == 0:
+            seen = _cut(seen)
 
 
 def would_create_cycle(links: DataFrame, source: str, target: str) -> bool:

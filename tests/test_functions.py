@@ -10,6 +10,7 @@ from quillspark.errors import ConfigError, ParseError, ValidationError
 from quillspark.functions import paths, text
 from quillspark.functions.distance import osa
 from quillspark.functions.porter import stem
+from quillspark.operators import graph
 from quillspark.operators.document import fit_budget, unsafe_query
 from quillspark.operators.ftsquery import parse_query
 from quillspark.operators.metadata import check_filters, parse_filters
@@ -127,3 +128,8 @@ def test_budget_and_hints():
 
     assert len(json.dumps(out)) <= 900 and out["body_truncated"]
     assert all(map(unsafe_query, ("", "../a", "./a", "/x", "C:\\a", "file://a"))) and not unsafe_query("a/b.md")
+
+
+def test_reachable_has_no_bound(spark):
+    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(68)] + [("x", "n3"), ("n5", None)], "src string, dst string")
+    assert {r["path"] for r in graph.reachable(links, "n0").collect()} == {f"n{i}" for i in range(1, 69)}
