@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes A-Z to a-z, all else unchanged.
@@ -56,6 +56,37 @@ def lookup_spread(rows: DataFrame, table: DataFrame, keys: list[str], spread_by:
     return salted.join(asked, ["_salt", *keys], how).drop("_salt")
 
 
+def row_key(docs: DataFrame, *columns: str) -> Column:
+    """A string that tells rows apart by doc_id and columns (128 bits of hash) and sorts by doc_id, null last.
+
+    Equal rows share it. It is computed alike wherever docs is read, so nothing has to be numbered or stored.
+    """
+    own = F.col("doc_id")
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        name = F.lpad(F.hex(own.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    else:
+        name = F.concat(own.cast("string"), F.lit("\0"))
+    parts = [p for c in columns for p in (F.col(c).isNull(), F.col(c))]  # the hash passes over nulls
+    prints = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in ("one", "two")]
+    return F.concat(F.coalesce(name, F.lit("\U0010ffff")), *prints)
+
+
+def drop_keys(docs: DataFrame, key: Column, gone: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose key is in gone(key), and with one row for each key in again(key); all columns stay."""
+    if again is None or again.isEmpty():
+        return docs.join(gone.select(F.col("key").alias("_gone_key")).distinct(), key == F.col("_gone_key"), "left_anti")
+    rest = drop_keys(docs, key, gone.unionByName(again))
+    twice = docs.withColumn("_row_key", key).join(again.select(F.col("key").alias("_row_key")), "_row_key", "left_semi")
+    return rest.unionByName(twice.dropDuplicates(["_row_key"]).drop("_row_key"))
+
+
+def keep_ones(docs: DataFrame, key: Column, found: DataFrame, label: str) -> DataFrame:
+    """docs with the rows that found(key, kept, copies) keeps; where copies, only one of the rows of a key."""
+    odd = found.groupBy("key").agg(F.first("kept").alias("kept"), F.first("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+    odd = written(odd.where("NOT kept OR (copies AND n > 1)").select("key", "kept"), label)
+    return drop_keys(docs, key, odd.where("NOT kept").select("key"), odd.where("kept").select("key"))
+
+
 class WordHash(dict):
     """64-bit hash of a word, remembered; xxhash is stable across workers and machines."""
 

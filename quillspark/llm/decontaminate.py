@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_keys, row_key
+
 Q = 10
 #: Characters of an item that must be found again (all of a shorter item, if it has LEAST at least).
 WINDOW = 100
@@ -198,8 +200,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
 
 def drop_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark passage; all columns stay."""
-    gone = find_leaks(docs, bench).where("contaminated").select(F.col("id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    key = row_key(docs, "text")
+    return drop_keys(docs, key, find_leaks(docs.select(key.alias("doc_id"), "text"), bench).where("contaminated").select(F.col("id").alias("key")))
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_spread, written
+from .common import keep_ones, lookup_spread, row_key, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 FAN_IN = 16
@@ -53,9 +53,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text equals that of a row with a smaller doc_id; all columns stay."""
-    gone = exact_groups(docs).where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    """docs with one row of each group of equal texts, one with the smallest doc_id (null last); all columns stay."""
+    key = row_key(docs, "text")
+    found = exact_groups(docs.select(key.alias("doc_id"), "text"))
+    found = found.select(F.col("id").alias("key"), (F.col("id") == F.col("keep_id")).alias("kept"), F.lit(True).alias("copies"))
+    return keep_ones(docs, key, found, "copies")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

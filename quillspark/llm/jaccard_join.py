@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, discard, lookup_spread, mix, shingle_set, written
+from .common import WordHash, discard, keep_ones, lookup_spread, mix, row_key, shingle_set, written
 
 #: Counters of shingle frequencies by hash: 2**SKETCH_BITS of 16 bits that saturate, so the order of lists costs 2 MB
 #: whatever the corpus.
@@ -448,9 +448,14 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs with one row of each group of near copies, the one with the smallest doc_id; all columns stay."""
-    gone = jaccard_groups(docs, k, num, den).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    """docs with one row of each group of near copies, one with the smallest doc_id (null last); all columns stay.
+
+    Rows without words are no copies of each other.
+    """
+    key = row_key(docs, "text")
+    found = jaccard_groups(docs.select(key.alias("doc_id"), "text"), k, num, den)
+    found = found.select(F.col("id").alias("key"), (F.col("id") == F.col("component_id")).alias("kept"), (F.col("n_shingles") > 0).alias("copies"))
+    return keep_ones(docs, key, found, "near-copies")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_spread, written
+from .common import drop_keys, lookup_spread, row_key, written
 
 LANGS = ("en", "fr", "de", "es")
 #: Rows that the trigram models are fitted on, in expectation.
@@ -164,9 +164,10 @@ def identify(rows: DataFrame, model: np.ndarray) -> DataFrame:
     return out.withColumn("id", F.col("id").cast(kind))
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
+def document_rows(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """Documents have no markup: their lang column is what is declared, and their source stands for the host."""
-    return docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), "text", F.lit(False).alias("markup"), F.col("lang").alias("declared"), F.col("source").cast("string").alias("host"))
+    own = F.col("doc_id").cast("long") if key is None else key
+    return docs.select(F.lit("document").alias("kind"), own.alias("id"), "text", F.lit(False).alias("markup"), F.col("lang").alias("declared"), F.col("source").cast("string").alias("host"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -176,9 +177,9 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def keep_languages(docs: DataFrame) -> DataFrame:
     """docs without the rows that have no identified language; all columns stay."""
-    found = identify(document_rows(docs), fit(docs.select("text", "lang")))
-    gone = found.where(F.col("lang") == "und").select(F.col("id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    key = row_key(docs, "text", "lang", "source")  # all that the decision on a row depends on
+    found = identify(document_rows(docs, key), fit(docs.select("text", "lang")))
+    return drop_keys(docs, key, found.where(F.col("lang") == "und").select(F.col("id").alias("key")))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

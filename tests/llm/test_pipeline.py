@@ -23,6 +23,21 @@ def test_stages_survive_odd_rows(spark):
         assert stage(spark, d.where("false"), SF).count() == 0
 
 
+def test_stages_drop_rows_not_ids(spark):
+    """Null and repeated ids: of the rows of one id only those go that have to, and equal rows are copies."""
+    say = lambda seed: " ".join(f"the {seed}{i} of and that with" for i in range(12))
+    kind = "doc_id long, text string, lang string, source string"
+    left = lambda n, rows: sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.STAGES[n][1](spark, spark.createDataFrame([(i, t, "en", "s") for i, t in rows], kind), SF).collect()), key=str)
+    want = lambda *rows: sorted(rows, key=str)
+    a, b, c = say("a"), say("b"), say("c")
+    assert left(0, [(None, a), (None, ""), (7, b), (7, "12 %%")]) == want((None, a), (7, b))
+    assert left(1, [(None, a), (None, b), (None, b), (1, a), (7, a), (7, c), (7, c)]) == want((1, a), (None, b), (7, c))
+    near = c + " end"
+    assert left(2, [(None, a), (None, b), (None, b), (1, a), (7, a), (7, c), (7, near), (9, ""), (9, "")]) in (want((1, a), (None, b), (7, x), (9, ""), (9, "")) for x in (c, near))
+    leak = max((r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    assert left(3, [(None, a), (None, leak), (7, b), (7, leak)]) == want((None, a), (7, b))
+
+
 def test_oracles(spark):
     con = duckdb.connect()
     for t in ("documents", "pages"):
