@@ -21,9 +21,11 @@ def display_title(title: Column, path: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), F.concat(F.upper(words.substr(1, 1)), words.substr(F.lit(2), F.length(words))))
 
 
-def content_hash(content: Column) -> Column:
-    """64 hex digits over all content; of large content over head, strided samples, tail and length."""
+def content_hash(content: Column, sampled: bool = False) -> Column:
+    """64 hex digits over all content; sampled: of large content over head, strided samples, tail and length."""
     data = content.cast("binary")
+    if not sampled:
+        return F.sha2(data, 256)
     n = F.octet_length(data)
     stride = F.floor((n - SAMPLE) / (SAMPLES - 1)).cast("int")
     pieces = [F.substring(data, stride * i + 1, F.lit(SAMPLE)) for i in range(SAMPLES - 1)] + [F.substring(data, n - SAMPLE + 1, F.lit(SAMPLE))]

@@ -133,3 +133,9 @@ def test_budget_and_hints():
 def test_reachable_has_no_bound(spark):
     links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(68)] + [("x", "n3"), ("n5", None)], "src string, dst string")
     assert {r["path"] for r in graph.reachable(links, "n0").collect()} == {f"n{i}" for i in range(1, 69)}
+
+
+def test_content_hash_covers_whole_long_texts(spark):
+    row = spark.range(1).select(F.repeat(F.lit("a"), 1 << 21).alias("t")).select("t", F.concat(F.substring("t", 1, 5000), F.lit("b"), F.substring("t", 5002, 1 << 21)).alias("u"))
+    got = row.select(text.content_hash(F.col("t")).alias("t"), text.content_hash(F.col("u")).alias("u"), text.content_hash(F.col("t"), sampled=True).alias("s"), text.content_hash(F.col("u"), sampled=True).alias("v"), F.sha2("t", 256).alias("want")).head()
+    assert got["t"] == got["want"] != got["u"] and got["s"] == got["v"]
