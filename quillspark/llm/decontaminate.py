@@ -8,6 +8,7 @@ regions that reach the bound are verified by a banded edit-distance alignment.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -176,6 +177,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     each. Empty tables: nothing is contaminated. One map over the documents per block of the benchmark.
     """
     kind = dict(docs.dtypes)[id_col]
+    prints = F.concat(*[F.hex(F.xxhash64(F.lit(seed), F.col(text_col).isNull(), F.col(text_col))) for seed in ("one", "two")])
     slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     parts = []
     for block in list(_blocks(bench, item_col, "text")) or [[]]:
@@ -185,16 +187,19 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
             for b in batches:
                 found = [index.leaks(normal(t)) for t in b["text"]]
                 items = [",".join(f"{i}:{e}:{s}:{z}" for i, (e, s, z) in sorted(x.items())) for x in found]
-                yield pd.DataFrame({"id": b["id"], "n_items": [len(x) for x in found], "items": items})
+                yield b.drop(columns="text").assign(n_items=[len(x) for x in found], items=items)
 
-        parts.append(slim.mapInPandas(run, "id string, n_items long, items string"))
+        parts.append(run)
     if len(parts) == 1:
-        whole = parts[0]
-    else:
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        whole = whole.groupBy("id").agg(F.sum("n_items").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.nullif("items", F.lit("")))), ",").alias("items"))
+        whole = slim.mapInPandas(parts[0], "id string, n_items long, items string")
+    else:  # rows of one id and text have the same answer, which is given as often as they occur
+        marked = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), prints.alias("print"))
+        answers = [marked.mapInPandas(run, "id string, print string, n_items long, items string").withColumn("block", F.lit(i)) for i, run in enumerate(parts)]
+        whole = functools.reduce(DataFrame.unionByName, answers)
+        whole = whole.groupBy("id", "print", "block").agg(F.first("n_items").alias("n_items"), F.first("items").alias("items"), F.count(F.lit(1)).alias("rows"))
+        found = F.collect_list(F.when(F.col("items") != "", F.struct("block", "items")))
+        whole = whole.groupBy("id", "print").agg(F.sum("n_items").alias("n_items"), F.array_join(F.sort_array(found)["items"], ",").alias("items"), F.first("rows").alias("rows"))
+        whole = whole.select("id", "n_items", "items", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
     return whole.select(F.col("id").cast(kind).alias("id"), (F.col("n_items") > 0).alias("contaminated"), "n_items", "items")
 
 

@@ -214,6 +214,18 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(docs(spark, texts), bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_by_blocks_answers_each_row(spark, monkeypatch):
+    items = ["".join(f"{w}{i} " for i in range(20)) for w in ("alpha", "beta", "gamma")]
+    rows = [(None, items[0]), (None, "calm"), (7, items[1] + " " + items[2]), (7, items[1] + " " + items[2]), (7, None), (8, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(zip((2, 10, 11), items, strict=True)), "item_id long, text string")
+    answers = lambda: sorted((tuple(r) for r in decontaminate.find_leaks(d, bench).collect()), key=str)
+    whole = answers()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 1)
+    assert answers() == whole and len(whole) == 6
+    assert [r[2] for r in whole if r[0] == 7 and r[1]] == [2, 2]
+
+
 def test_html_on_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {}
