@@ -2,7 +2,7 @@
 
 Documents are dealt to `runs` runs. Each run is reduced to one row per digest, and runs are then merged
 `FAN_IN` at a time in ceil(log(runs) / log(FAN_IN)) rounds; run r meets its partners in round k where
-r div FAN_IN**k agrees. Every merge keeps, per digest, the smallest identifier and the size so far. A digest only
+r div FAN_IN**k agrees. Runs are not sorted: hash aggregation by (run, digest) stands in for merging sorted runs. Every merge keeps, per digest, the smallest identifier and the size so far. A digest only
 counts as equal where the text's length and an independent 64-bit hash are equal too, so an identifier is
 verified at every level. A text that holds a third of all rows is spread over all runs by its identifiers, and
 enters each merge as at most FAN_IN rows.
