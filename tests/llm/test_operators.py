@@ -38,6 +38,19 @@ def test_exact_dedup(spark):
     assert [r["group_size"] for r in exact_dedup.exact_groups(repeated).collect()] == [2, 2]
 
 
+def test_exact_dedup_merges_runs_in_rounds(spark, monkeypatch):
+    """Three rounds of merging, with hot, repeated and null identifiers: the smallest identifier of each text stays."""
+    monkeypatch.setattr(exact_dedup, "FAN_IN", 2)
+    monkeypatch.setattr(exact_dedup, "runs_for", lambda df: 5)
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 400)) if rng.integers(9) else None, "hot" if rng.integers(3) == 0 else f"t{rng.integers(60)}") for _ in range(300)]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    want = {hashlib.sha256(t.encode()).digest(): (min((i for i, x in rows if x == t and i is not None), default=None), sum(x == t for _, x in rows)) for _, t in rows}
+    assert len(got) == len(rows) and all(want[bytes(r.digest)] == (None if pd.isna(r.keep_id) else r.keep_id, r.group_size) for r in got.itertuples())
+    plan = exact_dedup.merged(spark.createDataFrame([(0, b"x", 1, 1, (False, 1), 1)], "run int, digest binary, n int, proof long, first struct<none:boolean,id:long>, size long"), 2, 2, F.col("run"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "HashAggregate" not in plan
+
+
 def brute_groups(texts, k, num, den):
     sets = []
     for t in texts:
