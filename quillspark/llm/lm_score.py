@@ -1,19 +1,24 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Documents are dealt to blocks. Each block explodes its texts into 1- to 3-grams and sends every distinct n-gram with
-its count once to the n-gram's hash partition (two packed columns, sorted, not a row an n-gram); the partition merges
-the count tables of all blocks and answers each block with the corpus counts in the order in which it asked. The
-block then looks its n-grams up, leaves each document's own occurrences out, and sums log scores per document.
-A frequent n-gram enters a partition once a block, so frequency causes no skew.
+Each task packs its documents into blocks, compressed. A block explodes its texts into 1- to 3-grams and sends every
+distinct n-gram with its count once to the n-gram's hash partition (two packed columns, sorted, not a row an n-gram); the
+partition merges the count tables of all blocks and answers each block with the corpus counts in the order in which it
+asked. The block then looks its n-grams up, leaves each document's own occurrences out, and sums log scores per document.
+A frequent n-gram enters a partition once a block, so frequency causes no skew; blocks are filled in the order of rows,
+so repeated and null identifiers cause none either.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +27,58 @@ from .common import WordHash, gram_hashes, word_hashes, words_of, written
 ORDER = 3
 #: What a step down to a shorter n-gram costs.
 BACKOFF = 0.4
-#: Characters of text in a block, and characters of corpus per hash partition.
+#: Characters of text in a block and of corpus per hash partition, at least.
 BLOCK_CHARS = 6_000_000
-LEAST_BLOCKS = 12
-ASKED = "block int, part int, keys binary, counts binary"
+#: Keys that a message from a block to a partition holds on average, at least.
+MESSAGE_KEYS = 50
+LEAST_PARTS = 12
+PACKED = "block long, ids array<string>, sizes binary, texts binary"
+ASKED = "block long, part int, keys binary, counts binary"
 
 
-def _grams(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_chars(chars: float) -> int:
+    """Blocks times partitions is the number of messages; with blocks as the root of the corpus it grows as the corpus.
+
+    A text gives about a key for 3 characters. 6 million characters up to 240 GB of text, 120 million at 100 TB.
+    """
+    return max(BLOCK_CHARS, int(math.sqrt(3 * MESSAGE_KEYS * chars)))
+
+
+def packed_texts(texts: list[str | None]) -> tuple[bytes, bytes]:
+    """Bytes of each text (null: 0), and all of them compressed together."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return np.array([len(x) for x in raw], np.int64).tobytes(), zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+
+
+def unpacked_texts(sizes: bytes, texts: bytes) -> list[str]:
+    ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+    raw = zstandard.ZstdDecompressor().decompress(texts)
+    return [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def pack_blocks(docs: DataFrame, chars: int) -> DataFrame:
+    """docs(id string, text) as a row per block of about so many characters; a longer text is a block of its own.
+
+    Blocks are numbered by partition and place in it, so a task that is run again makes the same ones.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for b in batches:
+            for i, t in zip(b["id"], b["text"], strict=True):
+                ids.append(i)
+                texts.append(t)
+                size += len(t or "") + 8
+                if size >= chars:
+                    yield pd.DataFrame([(block, ids, *packed_texts(texts))], columns=["block", "ids", "sizes", "texts"])
+                    block, ids, texts, size = block + 1, [], [], 0
+        if ids:
+            yield pd.DataFrame([(block, ids, *packed_texts(texts))], columns=["block", "ids", "sizes", "texts"])
+
+    return docs.mapInPandas(run, PACKED)
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit n-gram keys [order, token] (of the n-gram that ends there), which of them exist, token counts."""
     seen = WordHash()
     hashed = [word_hashes(words_of(t), seen) for t in texts]
@@ -119,16 +169,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Counts come from all rows but the scored one: with N tokens
     in all others, a trigram scores c3/c2, else 0.4 times the bigram's c2/c1, else 0.4 times c1/N, and a word that no
     other row has counts as one occurrence. Null and empty texts: 0 tokens, score 0, mean null. Repeated rows see each
-    other. A document is one task's unit, so its tokens must fit a worker (about 100 bytes each).
+    other. An empty table gives an empty result; other columns aren't read. A document is one task's unit, so its tokens
+    must fit a worker (about 100 bytes each).
     """
     kind = dict(docs.dtypes)[id_col]
     chars = docs.select(F.sum(F.length(text_col).cast("double"))).head()[0] or 0
-    blocks = max(LEAST_BLOCKS, int(chars // BLOCK_CHARS) + 1)
-    edges = _edges(blocks)
-    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("lm")), F.lit(blocks)).cast("int").alias("block"))
+    size = block_chars(chars)
+    edges = _edges(max(LEAST_PARTS, int(chars // size) + 1))
+    blocks = pack_blocks(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")), size)
 
     def ask(block: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        keys, real, _ = _grams(group["text"])
+        keys, real, _ = _grams(unpacked_texts(group["sizes"][0], group["texts"][0]))
         keys = np.sort(keys[real])
         first = _runs(keys)
         counts, keys = np.diff(np.append(first, len(keys))), keys[first]
@@ -150,14 +201,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return pd.DataFrame({"block": group["block"], "part": group["part"], "totals": [packed_counts(t) for t in np.split(counts, ends)]})
 
     def look_up(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        keys, real, lengths = _grams(group["text"])
+        keys, real, lengths = _grams(unpacked_texts(group["sizes"][0], group["texts"][0]))
         totals = np.concatenate([np.zeros(0, np.int64), *map(unpacked_counts, answers.sort_values("part")["totals"])])
         out = score_block(keys, real, lengths, totals)
-        out.insert(0, "id", group["id"].to_numpy())
+        out.insert(0, "id", group["ids"][0])
         return out
 
-    answers = slim.groupBy("block").applyInPandas(ask, ASKED).groupBy("part").applyInPandas(answer, "block int, part int, totals binary")
-    scored = slim.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, "id string, n_tokens long, logsum double, low long")
+    answers = blocks.groupBy("block").applyInPandas(ask, ASKED).groupBy("part").applyInPandas(answer, "block long, part int, totals binary")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, "id string, n_tokens long, logsum double, low long")
     scored = written(scored, "lm")
     n = scored.agg(F.sum("n_tokens")).head()[0] or 0
     rest = F.greatest(F.lit(n) - F.col("n_tokens"), F.lit(1)).cast("double")

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -126,9 +127,42 @@ def test_lm_scores_edge_cases(spark):
     assert (lm_score.unpacked_counts(lm_score.packed_counts(counts)) == counts).all()
 
 
+def brute_scores(texts):
+    """Stupid-backoff score of each text by the counts of all others, from plain counters."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    own = [grams(w) for w in words]
+    whole, out = sum(own, Counter()), []
+    for k, w in enumerate(words):
+        c = lambda g, k=k: whole[tuple(g)] - own[k][tuple(g)]
+        n, score = sum(map(len, words)) - len(w), 0.0
+        for i in range(len(w)):
+            top = min(i, 2)
+            for m in range(top, -1, -1):
+                if m and c(w[i - m : i + 1]):
+                    score += np.log(c(w[i - m : i + 1]) / c(w[i - m : i])) + np.log(0.4) * (top - m)
+                    break
+                if not m:
+                    score += np.log(max(1, c(w[i : i + 1])) / max(1, n)) + np.log(0.4) * top
+        out.append((len(w), pytest.approx(score)))
+    return out
+
+
+def test_lm_scores_of_many_blocks(spark, monkeypatch):
+    """Blocks of a few words each, repeated and null ids, a text longer than a block: as by brute force."""
+    monkeypatch.setattr(lm_score, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(lm_score, "MESSAGE_KEYS", 0)
+    rng = np.random.default_rng(6)
+    texts = [*ODD[:7], *(" ".join(f"w{rng.integers(12)}" for _ in range(rng.integers(1, 60))) for _ in range(25))]
+    rows = [(None if i % 3 == 0 else 7, t, f"{i}") for i, t in enumerate(texts)]
+    got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, block string"))
+    assert sorted((r["n_tokens"], r["log_score"]) for r in got.collect()) == sorted(brute_scores(texts), key=lambda x: (x[0], x[1].expected))
+    assert lm_score.lm_scores(docs(spark, [])).count() == 0
+
+
 def test_lm_keys_keep_all_bits():
     """n-grams whose hashes differ in the last bit alone are different n-grams, through packing and back."""
-    keys, real, _ = lm_score._grams(pd.Series(["a b c", "a b d"]))
+    keys, real, _ = lm_score._grams(["a b c", "a b d"])
     flat = word_hashes([b"a", b"b", b"c"], WordHash())
     assert keys[2, 2] == gram_hashes(flat, 3)[0] and keys[0, 0] == gram_hashes(flat, 1)[0] and real.sum() == 12
     edges = lm_score._edges(12)
