@@ -8,7 +8,7 @@ added where their value is owner-specific.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lookup_spread, written
@@ -71,11 +71,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     known = lookup_spread(spans, ownership(spans), ["key"], ["rid", "start"], how="left")
     live = (F.col("n_owners") < SHARED_OWNERS) & ~F.col("value").rlike(PLACEHOLDER)
     known = known.withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
+    # a bare token that touches a base span is that span's own value; the nearest ends and starts tell, in one pass each
+    base = F.col("kind") < 3
+    before, after = (Window.partitionBy("rid").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col("start"), -F.col("start")))
+    known = known.withColumn("reach", F.max(F.when(base, F.col("end"))).over(before)).withColumn("next", F.min(F.when(base, F.col("start"))).over(after))
+    touches = (F.coalesce("reach", F.lit(0)) > F.col("start")) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    known = known.where(base | ~touches)
     lists = known.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "n_repos", "n_owners", "live"))).alias("spans"))
-    # a bare token that touches a base span is that span's own value
-    base = F.filter("spans", lambda s: s["kind"] < 3)
-    lists = lists.withColumn("base", base)
-    lists = lists.select("rid", F.expr("filter(spans, s -> s.kind < 3 OR NOT exists(base, b -> b.start < s.end AND s.start < b.end))").alias("spans"))
     return rows.select("rid", F.col("repo").alias("id")).join(lists, "rid", "left").drop("rid")
 
 
