@@ -24,8 +24,10 @@ CRLF = "\r\n"
 HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[A-Za-z0-9-]+:[^\r\n]*\r\n)+)\r\n")
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_FROM = 0
-#: Payload bytes that one archive file is planned to hold: a file is one task's unit when it is read.
+#: Bytes that one archive file holds at most (a larger record is a file of its own): a file is one task's unit when it is read.
 FILE_BYTES = 32 << 20
+#: Headers of a record take fewer bytes than this beside its address.
+HEAD_BYTES = 512
 CANDIDATE = "file string, start long, succ long, size long, record_id string, record_type string, refers_to string, digest string, body_bytes long, body_digest string, stated_bytes long"
 
 
@@ -57,6 +59,9 @@ def write_warc(pages: DataFrame, folder: str, **columns: str) -> None:
 
     Null html is an empty payload, null url an empty target. Repeated identifiers with equal payloads are all
     responses. A null identifier is written as an empty record id. An empty table writes a folder without records.
+
+    Records are dealt to files by size class (powers of 4) and by their row in the task, so many that even if all were
+    as large as their class allows a file has FILE_BYTES at most.
     """
     rows = plan_records(pages, **columns)
     revisit = F.col("first").isNotNull()
@@ -71,8 +76,11 @@ def write_warc(pages: DataFrame, folder: str, **columns: str) -> None:
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws(CRLF, F.lit("WARC/1.1"), *fields), F.lit(CRLF * 2), body)
-    most = max(1, FILE_BYTES // (16 << 10))
-    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).option("compression", "gzip").text(folder)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    size = F.pow(F.lit(4.0), F.ceil(F.log(4.0, F.octet_length(body) + F.octet_length("url") + F.lit(HEAD_BYTES))))
+    chunk = F.floor(row * size / F.lit(FILE_BYTES))
+    out = rows.select(record.alias("value"), size.cast("long").alias("size"), chunk.alias("chunk"))
+    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").partitionBy("size", "chunk").text(folder)
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,9 +127,9 @@ def _chain(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def read_warc(spark, folder: str) -> DataFrame:
-    """The true records of all files under folder. A file is bounded by the writer (FILE_BYTES planned, 2 GB at most);
+    """The true records of all files under folder. A file is bounded by the writer (FILE_BYTES, or one larger record);
     one row per candidate header, without payloads, is what meets per file for the jumps."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("path", "content")
     found = files.mapInPandas(_candidates, CANDIDATE)
     return found.groupBy("file").applyInPandas(_chain, CANDIDATE)
 
