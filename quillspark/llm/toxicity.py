@@ -2,8 +2,8 @@
 
 The lexicon holds fixed abusive words and terms (words or word beginnings) that a bounded sample of labelled
 training rows singles out. Its trie is intersected with Levenshtein automata: a state is a set of (trie node, edits
-spent), made deterministic lazily and shared by all words, so a word runs through at one step a character. Finds inside quotation marks or next to reporting words count apart from those that are
-aimed at somebody. A logistic model over these counts, fitted on the same sample, gives the score.
+spent), made deterministic lazily and shared by all words, so a word runs through at one step a character. Finds inside
+quotation marks or next to reporting words count apart from those that are aimed at somebody. A logistic model over these counts, fitted on the same sample, gives the score.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Labelled training rows that lexicon and model are fitted on at most, by a hash of the identifier.
 SAMPLE_ROWS = 8000
 LEARNED_TERMS = 64
@@ -237,8 +239,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted per row of docs.
 
-    labels(id, toxic) teach only where crc32(id as text) mod 4 isn't 2; null labels are ignored, contradicting rows of
-    one id all count. Null and empty texts get the model's score for no words. A null id is never held out. Without
+    labels(id, toxic) teach only where crc32(id as text) mod 4 isn't 2; null labels are ignored, contradicting labels of
+    one id both count, and of documents that share an id the smallest text teaches. Null and empty texts get the model's score for no words. A null id is never held out. Without
     labels of both kinds, fixed weights apply. Repeated rows are answered each; an empty table gives an empty result.
     """
     kind = dict(docs.dtypes)[id_col]
@@ -246,9 +248,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # pandas rounds longs beside nulls
     train = labels.select(F.col(id_col).alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("id").isNotNull() & ~held(F.col("id")))
-    rows = train.orderBy(F.xxhash64("id"), "id", "toxic").limit(SAMPLE_ROWS).collect()  # ids and labels only
+    rows = train.distinct().orderBy(F.xxhash64("id"), "id", "toxic").limit(SAMPLE_ROWS).collect()  # ids and labels only
     picked = docs.sparkSession.createDataFrame(rows, train.schema)
-    sample = slim.join(F.broadcast(picked), "id")  # SAMPLE_ROWS rows at most
+    sample = slim.join(F.broadcast(picked), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    sample = written(sample, "labelled")  # SAMPLE_ROWS rows at most, read three times
     terms = learn_terms(sample)
     words = sorted({*ABUSIVE, *(t for t in terms if t[-1] != "*")})
     stems = sorted(t[:-1] for t in terms if t[-1] == "*")
