@@ -9,6 +9,7 @@ regions that reach the bound are verified by a banded edit-distance alignment.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_keys, row_key
+from .common import drop_keys, lookup_spread, row_key, written
 
 Q = 10
 #: Characters of an item that must be found again (all of a shorter item, if it has LEAST at least).
@@ -158,48 +159,56 @@ class Index:
 
 
 def _blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """Items in order of their identifier; those of one identifier stay together."""
     block, size = [], 0
-    for r in bench.select(id_col, text_col).orderBy(id_col).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size >= BLOCK_CHARS:
+    for r in bench.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
+        if size >= BLOCK_CHARS and r[0] != block[-1][0]:
             yield block
             block, size = [], 0
+        block.append((r[0], r[1]))
+        size += len(r[1] or "")
     if block:
         yield block
 
 
+def _scanner(block: list[tuple[int, str]], only_hits: bool):
+    """A map that puts n_items and items in the place of text."""
+    index = Index(block)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [index.leaks(normal(t)) for t in b["text"]]
+            items = [",".join(f"{i}:{e}:{s}:{z}" for i, (e, s, z) in sorted(x.items(), key=lambda y: (y[0] is not None, y[0]))) for x in found]
+            out = b.drop(columns="text").assign(n_items=[len(x) for x in found], items=items)
+            yield out[out["n_items"] > 0] if only_hits else out
+
+    return run
+
+
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per row of docs: id, contaminated, n_items, items ("item:edits:start:end" by item, joined by commas).
 
     Text is lower-cased and its white space runs are one space; offsets count code points of that form. Null and
-    empty texts, and items of fewer than LEAST characters, are never part of a leak. Repeated rows are answered
-    each. Empty tables: nothing is contaminated. One map over the documents per block of the benchmark.
+    empty texts, and items of fewer than LEAST characters, are never part of a leak. Items that share an identifier (null
+    too, which comes first) count as one. Repeated rows are answered each. Empty tables: nothing is contaminated. One map
+    over the documents per block of the benchmark, one block at a time on the driver.
     """
     kind = dict(docs.dtypes)[id_col]
     prints = F.concat(*[F.hex(F.xxhash64(F.lit(seed), F.col(text_col).isNull(), F.col(text_col))) for seed in ("one", "two")])
     slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    parts = []
-    for block in list(_blocks(bench, item_col, "text")) or [[]]:
-        index = Index(block)
-
-        def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                found = [index.leaks(normal(t)) for t in b["text"]]
-                items = [",".join(f"{i}:{e}:{s}:{z}" for i, (e, s, z) in sorted(x.items())) for x in found]
-                yield b.drop(columns="text").assign(n_items=[len(x) for x in found], items=items)
-
-        parts.append(run)
-    if len(parts) == 1:
-        whole = slim.mapInPandas(parts[0], "id string, n_items long, items string")
-    else:  # rows of one id and text have the same answer, which is given as often as they occur
-        marked = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), prints.alias("print"))
-        answers = [marked.mapInPandas(run, "id string, print string, n_items long, items string").withColumn("block", F.lit(i)) for i, run in enumerate(parts)]
-        whole = functools.reduce(DataFrame.unionByName, answers)
-        whole = whole.groupBy("id", "print", "block").agg(F.first("n_items").alias("n_items"), F.first("items").alias("items"), F.count(F.lit(1)).alias("rows"))
-        found = F.collect_list(F.when(F.col("items") != "", F.struct("block", "items")))
-        whole = whole.groupBy("id", "print").agg(F.sum("n_items").alias("n_items"), F.array_join(F.sort_array(found)["items"], ",").alias("items"), F.first("rows").alias("rows"))
-        whole = whole.select("id", "n_items", "items", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
+    blocks = _blocks(bench, item_col, "text")
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        whole = slim.mapInPandas(_scanner(first, False), "id string, n_items long, items string")
+    else:  # an answer depends on the text alone
+        marked, parts = docs.select(prints.alias("print"), F.col(text_col).alias("text")), []
+        for n, block in enumerate(itertools.chain([first, second], blocks)):
+            hits = written(marked.mapInPandas(_scanner(block, True), "print string, n_items long, items string"), "leaks")
+            parts.append(hits.dropDuplicates(["print"]).withColumn("block", F.lit(n)))
+        found = functools.reduce(DataFrame.unionByName, parts).groupBy("print")
+        found = found.agg(F.sum("n_items").alias("n_items"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "items"))), lambda x: x["items"]), ",").alias("items"))
+        rows = docs.select(F.col(id_col).cast("string").alias("id"), prints.alias("print"))
+        whole = lookup_spread(rows, found, ["print"], ["id"]).select("id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"))
     return whole.select(F.col("id").cast(kind).alias("id"), (F.col("n_items") > 0).alias("contaminated"), "n_items", "items")
 
 
