@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, discard, keep_ones, lookup_spread, mix, row_key, shingle_set, written
+from .common import WordHash, discard, keep_ones, lookup_spread, mix, row_key, shingle_set, summed, written
 
 #: Counters of shingle frequencies by hash: 2**SKETCH_BITS of 16 bits that saturate, so the order of lists costs 2 MB
 #: whatever the corpus.
@@ -120,22 +120,6 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, s
     return ok & (np.abs(x[:, :BINS].astype(np.int16) - y[:, :BINS]).sum(axis=1, dtype=np.int64) * (sim.num + sim.den) <= most)
 
 
-def _summed(parts: DataFrame, column: str, start: np.ndarray, how) -> np.ndarray:
-    """The per-partition arrays of a column brought together by `how`, in groups first: 8 of them reach the driver."""
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = start.copy()
-        for x in group[column]:
-            total = how(total, np.frombuffer(x, start.dtype))
-        return pd.DataFrame({column: [total.tobytes()]})
-
-    total = start.copy()
-    grouped = parts.select(column).groupBy(F.pmod(F.xxhash64(column), F.lit(8))).applyInPandas(add, f"{column} binary")
-    for r in grouped.toLocalIterator():
-        total = how(total, np.frombuffer(r[column], start.dtype))
-    return total
-
-
 def _saturating(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(x.astype(np.uint32) + y, 65535).astype(np.uint16)
 
@@ -162,7 +146,7 @@ def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
     table = written(docs.mapInPandas(run, "id string, h long, cls long, n int, bins binary, sketch binary"), "sets")
     rows = table.where("n >= 0").select(F.col("id").cast(kind).alias("id"), "h", "cls", "n", "bins")
-    return rows, _summed(table.where("n < 0"), "sketch", np.zeros(width, np.uint16), _saturating)
+    return rows, summed(table.where("n < 0"), "sketch", np.zeros(width, np.uint16), _saturating)
 
 
 def light_boundary(sizes: dict[int, int], sketch: np.ndarray, sim: Similarity) -> int:
@@ -234,7 +218,7 @@ def _texts_of(routes: DataFrame, docs: DataFrame) -> DataFrame:
         if bits.any():
             yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
 
-    packed = _summed(routes.select("h").mapInPandas(mark, "bits binary"), "bits", np.zeros(width // 8, np.uint8), np.bitwise_or)
+    packed = summed(routes.select("h").mapInPandas(mark, "bits binary"), "bits", np.zeros(width // 8, np.uint8), np.bitwise_or)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted, done, press = np.unpackbits(packed).astype(bool), set(), zstandard.ZstdCompressor(level=3)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_keys, lookup_spread, row_key, written
+from .common import drop_keys, lookup_spread, row_key, summed, written
 
 LANGS = ("en", "fr", "de", "es")
 #: Rows that the trigram models are fitted on, in expectation.
@@ -38,24 +38,45 @@ NOT_LETTER = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(
 
 
 def gram_counts(text: str) -> np.ndarray:
-    """Hashed counts of byte trigrams of the lower-cased text, letters and single gaps only; pieces bound memory."""
-    out = np.zeros(BUCKETS, np.int64)
+    """Hashed counts of byte trigrams of the lower-cased text, letters and single gaps only.
+
+    The text is taken in pieces, which bounds memory; the last two bytes of each go before the next, so no trigram is lost.
+    """
+    out, kept = np.zeros(BUCKETS, np.int64), b" "
     for i in range(0, len(text), PIECE):
         raw = text[i : i + PIECE].lower().encode("utf-8", "replace").translate(NOT_LETTER)
-        x = np.frombuffer(b" " + b" ".join(raw.split()) + b" ", np.uint8).astype(np.uint32)
-        if len(x) < 4:
+        words = b" ".join(raw.split())
+        if not words:
+            kept = kept if kept[-1:] == b" " else kept + b" "
             continue
-        h = (x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA77)) ^ (x[2:] * np.uint32(0xC2B2AE3D))
-        out += np.bincount((h * np.uint32(0x27D4EB2F)) >> np.uint32(18), minlength=BUCKETS)
-    return out
+        gap = b" " if raw[:1].isspace() and kept[-1:] != b" " else b""
+        piece = kept + gap + words + b" " * raw[-1:].isspace()
+        out += _gram_buckets(piece)
+        kept = piece[-2:]
+    if kept[-1:] != b" ":
+        out += _gram_buckets(kept + b" ")
+    elif len(kept) > 2:  # the gap came with an empty piece
+        out += _gram_buckets(kept)
+    return out if out.sum() > 1 else np.zeros(BUCKETS, np.int64)  # a single letter is no evidence
+
+
+def _gram_buckets(data: bytes) -> np.ndarray:
+    x = np.frombuffer(data, np.uint8).astype(np.uint32)
+    if len(x) < 3:
+        return np.zeros(BUCKETS, np.int64)
+    h = (x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA77)) ^ (x[2:] * np.uint32(0xC2B2AE3D))
+    return np.bincount((h * np.uint32(0x27D4EB2F)) >> np.uint32(18), minlength=BUCKETS)
 
 
 def fit(labelled: DataFrame, langs: tuple[str, ...] = LANGS) -> np.ndarray:
-    """Log probabilities [language, bucket] from labelled(text, lang); the last row is the flat model of no language."""
+    """Log probabilities [language, bucket] from labelled(text, lang); the last row is the flat model of no language.
+
+    SAMPLE_ROWS rows in expectation, drawn by a hash of their place, so of a text that many rows hold a share is drawn.
+    """
     n = labelled.count()
     if n > SAMPLE_ROWS:
         share = int(SAMPLE_ROWS / n * (1 << 20))
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
+        labelled = labelled.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) < share)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((len(langs), BUCKETS), np.int64)
@@ -63,11 +84,11 @@ def fit(labelled: DataFrame, langs: tuple[str, ...] = LANGS) -> np.ndarray:
             for text, lang in zip(b["text"], b["lang"], strict=True):
                 if text and lang in langs:
                     sums[langs.index(lang)] += gram_counts(text)
-        yield pd.DataFrame({"sums": [sums.astype(np.int32).tobytes()]})
+        if sums.any():
+            yield pd.DataFrame({"sums": [sums.tobytes()]})
 
     total = np.zeros((len(langs) + 1, BUCKETS))
-    for r in labelled.select("text", "lang").mapInPandas(count, "sums binary").toLocalIterator():
-        total[:-1] += np.frombuffer(r["sums"], np.int32).reshape(len(langs), BUCKETS)
+    total[:-1] = summed(labelled.select("text", "lang").mapInPandas(count, "sums binary"), "sums", np.zeros((len(langs), BUCKETS), np.int64), np.add)
     total += 0.5
     return np.log(total / total.sum(axis=1, keepdims=True))
 
