@@ -23,8 +23,8 @@ BLOCK_DOCS = 16
 QUANTA = 4096
 #: Without given weights, a source's weight follows its size to this power.
 TEMPERATURE = 0.5
-#: Hash ranges of a source that are ranked by themselves.
-RANGES = 4096
+#: Rows of a hash range on average, at most, and ranges at least: each range of a source is ranked by itself.
+RANGE_ROWS, LEAST_RANGES = 50_000, 4096
 #: The schedule is only broadcast up to this size.
 BROADCAST_BYTES = 16 << 20
 
@@ -40,8 +40,8 @@ def quanta(weights: dict, total: int) -> dict:
     return shares
 
 
-def period(shares: dict) -> dict:
-    """source -> its slots in one period of sum(shares) slots."""
+def period(shares: dict, blocks: dict | None = None) -> dict:
+    """source -> its slots in one period of sum(shares) slots, or up to the slot that serves the last of a source's blocks."""
     total = sum(shares.values())
     names = sorted(shares, key=str)
     future = [(0, i, 0) for i in range(len(names))]
@@ -53,25 +53,33 @@ def period(shares: dict) -> dict:
             heapq.heappush(ready, (-(-(j + 1) * total // shares[names[i]]), i, j))
         _, i, j = heapq.heappop(ready)
         slots[names[i]].append(t)
+        if blocks and len(slots[names[i]]) == blocks[names[i]]:
+            break
         if j + 1 < shares[names[i]]:
             heapq.heappush(future, ((j + 1) * total // shares[names[i]], i, j + 1))
     return slots
 
 
 def schedule(blocks: dict, weights: dict) -> list[tuple]:
-    """Rows (source, first block, end block, slot of the phase, D, slots in its period), phase by phase."""
+    """Rows (source, first block, end block, slot of the phase, D, share of D, slots in a period), phase by phase.
+
+    A period is only simulated as far as the phase reaches."""
     left, done, at, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
     while left:
         total = QUANTA
         while total < 16 * len(left):
             total *= 2
         shares = quanta({s: weights[s] for s in left}, total)
-        slots = period(shares)
-        length = min((n - 1) // shares[s] * total + slots[s][(n - 1) % shares[s]] for s, n in left.items()) + 1
+        slots = period(shares, left)
+        ended = [s for s, n in left.items() if n <= shares[s] and len(slots[s]) == n]  # within the first period
+        if ended:
+            length = slots[ended[0]][-1] + 1
+        else:
+            length = min((n - 1) // shares[s] * total + slots[s][(n - 1) % shares[s]] for s, n in left.items()) + 1
         full, rest = divmod(length, total)
         for s in list(left):
             n = full * shares[s] + sum(x < rest for x in slots[s])
-            out.append((s, done[s], done[s] + n, at, total, slots[s]))
+            out.append((s, done[s], done[s] + n, at, total, shares[s], slots[s]))
             done[s] += n
             left[s] -= n
             if not left[s]:
@@ -85,18 +93,39 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", so
 
     Sources are read in the order of a hash of the identifier. Null is a source of its own. Sources that weights
     doesn't name get its smallest weight; names without rows are ignored. Repeated rows take places of their own.
-    An empty table gives an empty result. Only the list of sources with their sizes comes to the driver.
+    An empty table gives an empty result. Only the list of sources with their sizes comes to the driver, and the schedule
+    is made there: a period for each source that runs out, so sources are meant to be thousands at most (not hosts).
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(id_col), F.lit("mix")).alias("h"))
+    out = _placed(written(rows, "mix"), weights, block_docs)
+    return out.select(F.col("id").alias(id_col), F.col("source").cast("string").alias("source"), "block", "slot", "place")
+
+
+def mix_rows(docs: DataFrame, weights: dict | None = None, source_col: str = "source", block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """docs with block, slot and place of each row; all columns stay as they are.
+
+    Where docs has a column of such a name, ours is called block_mix, slot_mix or place_mix. Rows are told apart by all
+    their columns, so repeated and null identifiers take places of their own. Else as in mix.
     """
-    kind = dict(docs.dtypes)[id_col]
-    name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    hashed = F.xxhash64(F.col(id_col), F.lit("mix"))
-    rows = docs.select(F.col(id_col).alias("id"), name.alias("source"), hashed.alias("h"))
-    rows = rows.withColumn("part", F.pmod(F.shiftright("h", 40), F.lit(RANGES)))
-    rows = written(rows, "mix")
-    counts = rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
-    sofar = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("source", "part", "n", F.coalesce(F.sum("n").over(sofar), F.lit(0)).alias("before"))
-    sizes = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    parts = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    rows = docs.select(whole.alias("id"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(*parts, F.lit("mix")).alias("h"))
+    taken = {c.lower() for c in docs.columns}
+    own = [F.col(c).alias(c if c not in taken else f"{c}_mix") for c in ("block", "slot", "place")]
+    return _placed(rows, weights, block_docs).select("id.*", *own)
+
+
+def _placed(rows: DataFrame, weights: dict | None, block_docs: int) -> DataFrame:
+    """rows(id, source, h) with block, slot and place; one shuffle of the rows, by source and range of h."""
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    rows = rows.select("id", "source", name.alias("name"), "h")
+    n = rows.count()
+    ranges = max(LEAST_RANGES, 1 << (n // RANGE_ROWS).bit_length())
+    rows = rows.withColumn("part", F.pmod(F.shiftright("h", 32), F.lit(ranges)))
+    counts = rows.groupBy("name", "part").agg(F.count(F.lit(1)).alias("n"))
+    sofar = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = written(counts.select("name", "part", "n", F.coalesce(F.sum("n").over(sofar), F.lit(0)).alias("before")), "mix-counts")
+    sizes = {r["name"]: r["n"] for r in counts.groupBy("name").agg(F.sum("n").alias("n")).collect()}
     if weights:
         least = min(weights.values())
         share = {s: float(weights.get(s[1:] if s else None, least)) for s in sizes}
@@ -106,22 +135,21 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", so
     by_source: dict[str, list] = {}
     for s, *phase in plan:
         by_source.setdefault(s, []).append(tuple(phase))
-    phases = "array<struct<first:bigint,end:bigint,base:bigint,total:bigint,slots:array<bigint>>>"
-    table = rows.sparkSession.createDataFrame(list(by_source.items()), f"source string, phases {phases}")
+    phases = "array<struct<first:bigint,end:bigint,base:bigint,total:bigint,share:bigint,slots:array<bigint>>>"
+    table = rows.sparkSession.createDataFrame(list(by_source.items()), f"name string, phases {phases}")
 
-    near = Window.partitionBy("source", "part").orderBy("h", "id")
-    ranked = rows.withColumn("r", F.row_number().over(near)).join(counts.select("source", "part", "before"), ["source", "part"])
+    near = Window.partitionBy("name", "part").orderBy("h")
+    ranked = rows.withColumn("r", F.row_number().over(near)).join(counts.select("name", "part", "before"), ["name", "part"])
     rank = F.col("before") + F.col("r") - 1
-    ranked = ranked.select("id", "source", F.floor(rank / block_docs).alias("block"), (rank % block_docs).alias("place"))
+    ranked = ranked.select("id", "source", "name", "h", F.floor(rank / block_docs).alias("block"), (rank % block_docs).cast("long").alias("place"))
     size = 8 * sum(len(p[-1]) for p in plan)
     if size <= BROADCAST_BYTES:
-        ranked = ranked.join(F.broadcast(table), "source")
+        ranked = ranked.join(F.broadcast(table), "name")
     else:
-        ranked = lookup_spread(ranked, table, ["source"], ["id"], how="inner")
+        ranked = lookup_spread(ranked, table, ["name"], ["h"], how="inner")
     ranked = ranked.withColumn("p", F.expr("filter(phases, x -> x.first <= block AND block < x.end)[0]"))
-    slot = F.expr("p.base + (block - p.first) div size(p.slots) * p.total + p.slots[cast((block - p.first) % size(p.slots) AS int)]")
-    source = F.when(F.col("source") != "", F.expr("substring(source, 2)"))
-    return ranked.select(F.col("id").cast(kind).alias(id_col), source.alias("source"), "block", slot.cast("long").alias("slot"), F.col("place").cast("long").alias("place"))
+    slot = F.expr("p.base + (block - p.first) div p.share * p.total + p.slots[cast((block - p.first) % p.share AS int)]")
+    return ranked.select("id", "source", "block", slot.cast("long").alias("slot"), "place")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

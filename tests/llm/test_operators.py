@@ -273,6 +273,51 @@ def test_decontamination_by_blocks_answers_each_row(spark, monkeypatch):
     assert [r[2] for r in whole if r[0] == 7 and r[1]] == [2, 2]
 
 
+def brute_leaks(text, items):
+    """Items of which some stretch of the window's length aligns with a part of the text within the budget."""
+    out, t = set(), np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    for name, item in items:
+        p, size = np.frombuffer(item.encode("utf-32-le"), np.uint32), min(decontaminate.WINDOW, len(item))
+        ramp = np.arange(len(t) + 1)
+        for begin in range(len(p) - size + 1 if len(item) >= decontaminate.LEAST else 0):
+            cost = np.zeros(len(t) + 1, np.int64)  # a part may begin anywhere
+            for c in p[begin : begin + size]:
+                step = np.append(cost[0] + 1, np.minimum(cost[1:] + 1, cost[:-1] + (t != c)))
+                cost = np.minimum.accumulate(step - ramp) + ramp
+            if cost.min() <= int(size * decontaminate.EDITS):
+                out.add(name)
+                break
+    return out
+
+
+def test_decontamination_finds_all_that_alignment_finds(monkeypatch):
+    """Random substitutions, insertions and deletions around the budget, over the borders of pieces too."""
+    rng = np.random.default_rng(15)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    items = [(i, decontaminate.normal(word(n))) for i, n in enumerate((45, 60, 99, 108, 125))]
+    index, hits = decontaminate.Index(items), 0
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        for _ in range(40):
+            p = list(items[rng.integers(5)][1])
+            for _ in range(rng.integers(0, 11)):
+                at = int(rng.integers(0, len(p)))
+                p[at : at + int(rng.integers(2))] = ["x"] * int(rng.integers(2))
+            text = decontaminate.normal(word(rng.integers(0, 90)) + "".join(p) + word(rng.integers(0, 90)))
+            want = brute_leaks(text, items)
+            assert set(index.leaks(text)) == want
+            hits += len(want)
+    assert 20 < hits < 75
+
+
+def test_items_without_identifier(spark):
+    items = ["".join(f"{w}{i} " for i in range(20)) for w in ("alpha", "beta", "gamma")]
+    bench = spark.createDataFrame(list(zip((None, 3, None), items, strict=True)), "item_id long, text string")
+    d = spark.createDataFrame([(1, items[0] + items[1]), (2, items[2])], "doc_id long, text string")
+    got = {r["id"]: [x.split(":")[0] for x in r["items"].split(",")] for r in decontaminate.find_leaks(d, bench).collect()}
+    assert got == {1: ["None", "3"], 2: ["None"]}
+
+
 def test_html_on_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {}
@@ -301,6 +346,36 @@ def test_mixing_deviates_by_less_than_a_block():
     assert sorted(x for at in slots.values() for x in at) == list(range(256))
 
 
+def test_schedule_is_earliest_deadline_first():
+    """Slot by slot, anew from where a source runs out: the phases give the same order and leave nothing out."""
+    rng = np.random.default_rng(8)
+    for _ in range(12):
+        blocks = {f"s{i}": int(rng.integers(0, 900)) for i in range(int(rng.integers(1, 9)))}
+        weights = {s: float(rng.integers(1, 50)) for s in blocks}
+        got = {}
+        for s, first, end, base, total, share, slots in mixing.schedule(blocks, weights):
+            for b in range(first, end):
+                got[base + (b - first) // share * total + slots[(b - first) % share]] = (s, b)
+        left, done, want = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), []
+        while left:
+            shares, j, t = mixing.quanta({s: weights[s] for s in left}, mixing.QUANTA), dict.fromkeys(left, 0), 0
+            total = sum(shares.values())
+            while all(left.values()):
+                s = min((s for s in shares if j[s] * total // shares[s] <= t), key=lambda s: (-(-(j[s] + 1) * total // shares[s]), s))
+                want.append((s, done[s]))
+                j[s], done[s], left[s], t = j[s] + 1, done[s] + 1, left[s] - 1, t + 1
+            left = {s: n for s, n in left.items() if n}
+        assert [got[i] for i in range(len(got))] == want and len(want) == sum(blocks.values())
+
+
+def test_mix_rows_keeps_columns_and_rows(spark):
+    rows = [(None, "a", "s", 1), (None, "b", "s", 2), (None, "b", "s", 2), (7, "c", None, 3), (7, "d", "s", 4), (7, None, None, 5)]
+    got = mixing.mix_rows(spark.createDataFrame(rows, "doc_id long, text string, source string, slot int"), block_docs=1).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "source", "slot", "block", "slot_mix", "place"}
+    assert sorted((r[:4] for r in got), key=str) == sorted(rows, key=str)
+    assert sorted(r["slot_mix"] for r in got) == list(range(6))
+
+
 def test_mixing(spark):
     d = docs(spark, ["t"] * 300).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 7 == 0, None).otherwise("x"))
     got = mixing.mix(d, {"hot": 1, "x": 2}, block_docs=4).toPandas()
@@ -331,6 +406,86 @@ def test_secrets(spark):
     assert [i for i, v in extra.items() if v] == [texts.index(f"bare {key}!")]
 
 
+def test_bare_tokens_beside_base_spans(spark):
+    """Bare tokens that overlap no base span, as by brute force over all pairs; owner-specific values only."""
+    rng, glue = np.random.default_rng(11), [" ", "=", "; ", '"', "token: ", "api_key=", ""]
+    piece = lambda i: ["".join(rng.choice(list("aB3xY9"), 26)), "deadbeef" * 4, f"Qz{i}" * 10, "word", "AKIA" + "Q9" * 8][rng.integers(5)]
+    texts = ["".join(piece(i) + glue[rng.integers(7)] for _ in range(12)) for i in range(30)]
+    d = docs(spark, texts).withColumn("source", F.concat(F.lit("s"), F.col("doc_id").cast("string")))
+    found = secret_scan.scan(d).collect()
+    seen = Counter(v for t in texts for v in {m[0] for m in re.finditer(secret_scan.KINDS["bare"][1], t)})
+    for r in found:
+        t = texts[r["id"]]
+        base = sorted(s for k in secret_scan.BASE for s in spans(t, k))
+        bare = [(m.start(), 3, m.end()) for m in re.finditer(secret_scan.KINDS["bare"][1], t) if re.search(secret_scan.MIXED, m[0]) and seen[m[0]] < secret_scan.SHARED_OWNERS and not re.search(secret_scan.PLACEHOLDER, m[0])]
+        want = base + [x for x in bare if not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+        assert [(s["start"], s["kind"], s["end"]) for s in r["spans"] or []] == sorted(want)
+    assert any(s["kind"] == 3 for r in found for s in r["spans"] or [])
+    assert secret_scan.scan(docs(spark, [])).count() == 0
+
+
+def test_ownership_counts(spark):
+    rows = [("k1", "a", 1), ("k1", "a", 1), ("k1", "a", 2), ("k1", None, 3), ("k2", "b", 9)]
+    got = secret_scan.ownership(spark.createDataFrame(rows, "key string, owner string, repo long")).collect()
+    assert sorted(tuple(r) for r in got) == [("k1", 3, 2), ("k2", 1, 1)]
+
+
+def test_trigrams_cross_pieces(monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = ["".join(rng.choice(list("abé 1-"), 200)) for _ in range(30)] + ["", "a", " a ", "ab", "   ", "a ", "1a1"]
+    whole = [language_id.gram_counts(t) for t in texts]
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(language_id, "PIECE", size)
+        assert all((language_id.gram_counts(t) == w).all() for t, w in zip(texts, whole, strict=True)), size
+
+
+def test_language_held_out(spark):
+    """Text alone decides rows that the models weren't fitted on: their language is hidden, their hosts are one."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(d.where("doc_id % 4 <> 1").select("text", "lang"))
+    hidden = d.where("doc_id % 4 = 1").select("doc_id", "text", "lang")
+    blind = language_id.document_rows(hidden.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("x").alias("source")))
+    got = language_id.identify(blind, model).join(hidden.withColumnRenamed("doc_id", "id").select("id", F.col("lang").alias("true")), "id").toPandas()
+    assert len(got) > 200 and (got["lang"] == got["true"]).mean() > 0.97
+
+
+def test_language_posterior(spark):
+    """Each posterior from scratch: likelihood, evidence tables by text-only decisions, host prior level by level."""
+    rng = np.random.default_rng(13)
+    say = {"en": "the of and that with", "fr": "le la de et les pour", "de": "der die und das nicht", "es": "el los que y para"}
+    labelled = spark.createDataFrame([(w, s) for s, w in say.items()] * 3, "lang string, text string").select(F.col("text").alias("lang"), F.col("lang").alias("text"))
+    model = language_id.fit(labelled)
+    hosts, rows = ["a.x.fr", "b.x.fr", "y.de", "z.com", "", None], []
+    for i in range(60):
+        w = " ".join(rng.choice(say[list(say)[rng.integers(4)]].split(), rng.integers(0, 6)))
+        rows.append(("k", i, w or None, False, [None, "fr", "EN", "xx"][rng.integers(4)], hosts[rng.integers(6)]))
+    got = {r["id"]: r for r in language_id.identify(spark.createDataFrame(rows, "kind string, id long, text string, markup boolean, declared string, host string"), model).collect()}
+    facts = []
+    for _, i, text, _, declared, host in rows:
+        c = language_id.gram_counts(text or "")
+        n = c.sum()
+        scores = model @ c / max(1, n) * n / (1 + n / language_id.EFFECTIVE_GRAMS)
+        labels = (host or "").split(".")
+        suffix = labels[-1] if len(labels) > 1 else ""
+        facts.append((i, n, scores, int(scores.argmax()) if n else 4, language_id._class(declared), language_id._class(language_id.SUFFIXES.get(suffix, "other") if suffix else None), (suffix, ".".join(labels[-2:]), host or "")))
+    tables = [np.ones((4, 6)), np.ones((4, 6))]
+    for f in facts:
+        if f[3] < 4:
+            tables[0][f[3], f[4]] += 1
+            tables[1][f[3], f[5]] += 1
+    tables = [np.log(t / t.sum(axis=1, keepdims=True)) for t in tables]
+    votes = lambda test: np.array([sum(f[3] == k and test(f) for f in facts) for k in range(4)], float)
+    for i, n, scores, _, declared, address, levels in facts:
+        prior = (votes(lambda f: True) + 1) / (votes(lambda f: True) + 1).sum()
+        for at, pull in ((0, 200.0), (1, 50.0), (2, 20.0)):
+            v = votes(lambda f, at=at: f[6][at] == levels[at])
+            prior = (v + pull * prior) / (v.sum() + pull)
+        post = np.append(scores[:4] + np.log(prior) + tables[0][:, declared] + tables[1][:, address], scores[4] + np.log(1e-3) + tables[0].mean(axis=0)[declared] + tables[1].mean(axis=0)[address])
+        post[:4] = post[:4] if n else -np.inf
+        p = np.exp(post - post.max()) / np.exp(post - post.max()).sum()
+        assert (got[i]["lang"], got[i]["probability"]) == ([*say, "und"][int(p.argmax())], pytest.approx(p.max())), i
+
+
 def test_language(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(d.select("text", "lang"))
@@ -354,6 +509,21 @@ def test_warc_round_trip(spark):
     assert all(r["digest"] == r["body_digest"] for r in got.values() if r["record_type"] == "response")
 
 
+def test_warc_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rng = np.random.default_rng(14)
+    rows = [(i, "u", "".join(rng.choice(list("abcdef"), int(4 ** rng.integers(1, 8))))) for i in range(200)] + [(None, "u", None)]
+    folder = warc.scratch(spark, "t")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder).collect()
+    sizes = [(len(x), x.count(b"WARC-Type:")) for x in (gzip.decompress(r["content"]) for r in files)]
+    assert all(n <= 20_000 or records == 1 for n, records in sizes) and max(records for _, records in sizes) > 4
+    back = warc.read_warc(spark, folder).collect()
+    assert len(back) == 201 and sorted(int(r["record_id"]) for r in back if r["record_id"]) == list(range(200))
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), folder + "0")
+    assert warc.read_warc(spark, folder + "0").count() == 0
+
+
 def test_pointer_jumping():
     start = np.array([0, 10, 15, 20, 30])
     assert warc.reachable(start, np.array([10, 20, 99, 30, 40])).tolist() == [True, True, False, True, True]
