@@ -9,7 +9,7 @@ from quillspark.llm.decontaminate import drop_leaks
 from quillspark.llm.exact_dedup import drop_exact_copies
 from quillspark.llm.jaccard_join import drop_near_copies
 from quillspark.llm.language_id import keep_languages
-from quillspark.llm.mixing import mix
+from quillspark.llm.mixing import mix_rows
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +33,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its block, slot and place in the mixed order (slot, place); all columns of documents stay."""
-    places = mix(docs).select("doc_id", "block", "slot", "place")
-    places = places.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id")
-    return docs.drop("block", "slot", "place").join(places, docs["doc_id"].eqNullSafe(places["_id"]), "left").drop("_id")
+    """Every row with its block, slot and place in the mixed order (slot, place); all columns of docs stay, and where docs
+    has a column of such a name ours ends in _mix."""
+    return mix_rows(docs)
 
 
 STAGES = [
