@@ -1,14 +1,16 @@
 """Main-text extraction from HTML by two-pass block rules.
 
-Markup is cut into blocks. Blocks inside navigation, header, footer, sidebar, form, advert, notice or comment
-containers are boilerplate. Pass 1 decides the rest by link density, length and stop-word density; short or
-undecided blocks are then labelled in pass 2 by their nearest decided neighbours, headings by what follows them.
+Markup is cut into blocks. Pass 1 decides blocks by link density, length and stop-word density; what kind of container a
+block sits in is evidence beside them: elements such as nav and footer speak against it, names such as "sidebar" and forms
+do as long as the page has other main text, and outside an article only plain prose counts. Short and undecided blocks
+are then labelled in pass 2 by their nearest decided neighbours, headings by what follows them. Time is linear in the page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,14 +28,23 @@ BLOCK_TAGS = frozenset("address article aside blockquote body button caption cen
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text never belongs to an article.
-SKIP_TAGS = frozenset("head nav footer aside form button select dialog menu iframe object svg noscript audio video canvas map search fieldset".split())
+SKIP_TAGS = frozenset("head nav footer aside button select dialog menu iframe object svg noscript audio video canvas map search".split())
+#: Elements that hold controls, but on some pages everything.
+FORM_TAGS = frozenset("form fieldset".split())
 #: Parts of a class, id or role that name such a container.
 SKIP_NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations widget toolbar pager pagination copyright legal disclaimer contentinfo complementary search skip hidden".split())
+#: Parts that turn a name into a statement about the whole layout ("has-sidebar", "no-comments"), and names of articles' heads.
+STATES = frozenset("has have no not non with without".split())
+HEADS, OWN = frozenset(("header", "banner")), frozenset("article post entry story content headline title".split())
 CONTENT_TAGS = frozenset(("article", "main"))
+#: Elements that are no containers of blocks.
+INNER_TAGS = frozenset("p li hr html body tr td th dt dd option".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|template|textarea|xmp|title)\b(?>[^>]*)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:/?>|\Z)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|xmp|title)\b(?>[^>]*)(?:>|\Z).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:/?>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
+CLOSING = re.compile(r"</([a-zA-Z][a-zA-Z0-9:-]*)")
 WORD = re.compile(r"[^\W\d_]+")
 
 LINKS_BAD, LINKS_OK = 0.5, 0.2
@@ -42,36 +53,63 @@ STOPS_LOW, STOPS_HIGH = 0.15, 0.25
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "inside", "skipped", "label")
+    __slots__ = ("text", "linked", "tag", "inside", "doubt", "label")
 
-    def __init__(self, text: str, linked: int, tag: str, inside: bool, skipped: bool):
-        self.text, self.linked, self.tag, self.inside, self.skipped, self.label = text, linked, tag, inside, skipped, ""
+    def __init__(self, text: str, linked: int, tag: str, inside: bool, doubt: int):
+        """inside: within an article; doubt: 2 in an element that is never content, 1 in a named container or a form."""
+        self.text, self.linked, self.tag, self.inside, self.doubt, self.label = text, linked, tag, inside, doubt, ""
 
 
-def _names_skip(attributes: str) -> bool:
+def _named(attributes: str) -> bool:
+    """Whether class, id or role name a container that is not the article's."""
     if HIDDEN.search(attributes):
         return True
     for m in ATTRIBUTE.finditer(attributes):
-        if SKIP_NAMES.intersection(re.split(r"[^a-z]+", m[2].lower())):
-            return True
+        for name in m[2].strip("\"'").lower().split():
+            parts = set(re.split(r"[^a-z]+", name))
+            found = SKIP_NAMES & parts
+            if found and not STATES & parts and not (found <= HEADS and OWN & parts):
+                return True
     return False
 
 
+def _doubt(name: str, attributes: str, inside: bool) -> int:
+    if name in SKIP_TAGS or (name == "header" and not inside):
+        return 2
+    if name in CONTENT_TAGS or name in HEADINGS:
+        return 0
+    return int(name in FORM_TAGS or (bool(attributes) and _named(attributes)))
+
+
 def blocks_of(page: str) -> list[Block]:
-    """Blocks in page order. An open container that is never closed ends where the main content begins."""
+    """Blocks in page order. An open container that is never closed ends where the main content begins; names and forms
+    around an article say nothing about what is in it."""
     out: list[Block] = []
     parts: list[str] = []
     linked, tag, anchors, at = 0, "", 0, 0
-    stack: list[tuple[str, bool]] = []  # open containers: tag, whether it is skipped
-    skipping = inside = 0
+    #: open containers: tag, doubt, whether it is an article, the named containers that were open around it
+    stack: list[tuple[str, int, bool, int]] = []
+    open_tags: Counter = Counter()
+    last_closing = {m[1].lower(): m.start() for m in CLOSING.finditer(page)}
+    never = named = inside = 0
+    own = ""  # a paragraph or item with a name of its own
 
     def end_block(next_tag: str) -> None:
-        nonlocal linked, tag
+        nonlocal linked, tag, own
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, linked, tag, inside > 0, skipping > 0))
+            out.append(Block(text, linked, tag, inside > 0, 2 if never else int(named > 0 or own != "")))
         parts.clear()
-        linked, tag = 0, next_tag
+        linked, tag, own = 0, next_tag, ""
+
+    def close(since: int) -> None:
+        nonlocal never, named, inside
+        for name, doubt, content, around in reversed(stack[since:]):
+            open_tags[name] -= 1
+            never -= doubt == 2
+            named = around if content else named - (doubt == 1)
+            inside -= content
+        del stack[since:]
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -79,10 +117,9 @@ def blocks_of(page: str) -> list[Block]:
             if anchors:
                 linked += m.start() - at
         at = m.end()
-        name = (m[3] or "").lower()
+        name, attributes, closing = (m[3] or "").lower(), m[4], bool(m[2])
         if not name:
             continue
-        closing = bool(m[2])
         if name == "br":
             parts.append(" ")
         elif name == "a":
@@ -93,73 +130,79 @@ def blocks_of(page: str) -> list[Block]:
             end_block("" if closing else name)
             anchors = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for gone, skip in stack[i:]:
-                        skipping -= skip
-                        inside -= gone in CONTENT_TAGS
-                    del stack[i:]
-                    break
+            if open_tags[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
-        if name in CONTENT_TAGS and skipping and not any(x in CONTENT_TAGS for x, _ in stack) and f"</{stack[-1][0]}" not in page[at:].lower():
-            stack.clear()
-            skipping = 0
-        if name in CONTENT_TAGS or name in SKIP_TAGS or name == "header" or (name in BLOCK_TAGS and name not in ("p", "li", "hr", "html", "body", "tr", "td", "th", "dt", "dd", "option")) or (m[4] and name not in ("p", "li", "td", "th", "tr") and name not in BLOCK_TAGS and "class" in m[4].lower() and _names_skip(m[4])):
-            skip = name in SKIP_TAGS or name == "header" or (name not in CONTENT_TAGS and bool(m[4]) and _names_skip(m[4]))
-            if name == "body" or name in HEADINGS:
-                skip = False
-            stack.append((name, skip))
-            skipping += skip
-            inside += name in CONTENT_TAGS
-        elif m[4] and name in ("p", "li") and _names_skip(m[4]):
-            tag = "skip"
+        content = name in CONTENT_TAGS or bool(attributes and name in BLOCK_TAGS and MAIN_ROLE.search(attributes))
+        if content and never and not inside and last_closing.get(stack[-1][0], -1) < at:
+            close(0)
+        if name in INNER_TAGS:
+            own = name if attributes and name in ("p", "li") and _named(attributes) else ""
+        elif name in BLOCK_TAGS or name in SKIP_TAGS or content or (attributes and "class" in attributes.lower() and _named(attributes)):
+            doubt = 0 if content else _doubt(name, attributes or "", inside > 0)
+            stack.append((name, doubt, content, named))
+            open_tags[name] += 1
+            never += doubt == 2
+            named = 0 if content else named + (doubt == 1)
+            inside += content
     if at < len(page):
         parts.append(page[at:])
     end_block("")
-    for b in out:
-        b.skipped = b.skipped or b.tag == "skip"
     return out
 
 
-def classify(blocks: list[Block]) -> None:
-    """Sets label to good or bad. Where a page has an article or main element, nothing outside it is content."""
-    has_content = any(b.inside and not b.skipped for b in blocks)
+def _decide(b: Block, elsewhere: bool) -> str:
+    """Pass 1: good, bad, or what pass 2 has to settle: short and near. elsewhere: the page has an article without b."""
+    n = len(b.text)
+    links = b.linked / n
+    if links > LINKS_BAD:
+        return "bad"
+    words = WORD.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if elsewhere:
+        return "good" if stops >= STOPS_HIGH and n >= LONG and links <= LINKS_OK and b.tag not in HEADINGS else "bad"
+    if b.tag in HEADINGS or n < SHORT:
+        return "short"
+    return "good" if stops >= STOPS_LOW and links <= LINKS_OK or stops >= STOPS_HIGH and n >= LONG else "near"
+
+
+def _nearest(labels: list[str]) -> list[tuple[int, str]]:
+    """Distance and label of the last decided block before each."""
+    out, last, label = [], -1, ""
+    for i, x in enumerate(labels):
+        out.append((i - last, label))
+        if x in ("good", "bad"):
+            last, label = i, x
+    return out
+
+
+def classify(blocks: list[Block], doubted: int = 1) -> None:
+    """Sets label to good or bad; blocks of so much doubt are bad whatever they say.
+
+    Blocks of an article inherit from the article's blocks only, all others from any; where the nearest blocks on both
+    sides are equally near and differ, or there are none, the container decides.
+    """
     for b in blocks:
-        n = len(b.text)
-        links = b.linked / n
-        if b.skipped or (has_content and not b.inside) or links > LINKS_BAD:
-            b.label = "bad"
-            continue
-        words = WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.tag in HEADINGS or n < SHORT:
-            b.label = "short"
-        elif stops >= STOPS_HIGH and n >= LONG or stops >= STOPS_LOW and links <= LINKS_OK:
-            b.label = "good"
-        else:
-            b.label = "near"
-    decided = [i for i, b in enumerate(blocks) if b.label in ("good", "bad")]
-    before, last = [""] * len(blocks), ""
-    for i, b in enumerate(blocks):
-        before[i] = last
-        last = b.label if b.label in ("good", "bad") else last
-    after, last = [""] * len(blocks), ""
-    for i in range(len(blocks) - 1, -1, -1):
-        after[i] = last
-        last = blocks[i].label if blocks[i].label in ("good", "bad") else last
-    for i, b in enumerate(blocks):
-        if b.label in ("good", "bad"):
-            continue
-        if b.inside:  # an undecided block of the article itself has only its link density against it
-            b.label = "good"
-        elif b.label == "near":
-            b.label = "good" if "good" in (before[i], after[i]) or not decided else "bad"
-        elif b.tag in HEADINGS:
-            b.label = "good" if after[i] == "good" else "bad"
-        elif before[i] == after[i]:
-            b.label = "good" if before[i] == "good" else "bad"
-        else:
-            b.label = (before[i] or after[i]) if not before[i] or not after[i] else "bad"
+        b.label = "bad" if b.doubt >= doubted else "?"
+    article = any(b.inside and b.label != "bad" for b in blocks)
+    for b in blocks:
+        if b.label == "?":
+            b.label = _decide(b, article and not b.inside)
+    for group in ([b for b in blocks if b.inside and b.doubt < doubted], blocks):
+        labels = [b.label for b in group]
+        before, after = _nearest(labels), _nearest(labels[::-1])[::-1]
+        for b, (i, left), (j, right) in zip(group, before, after, strict=True):
+            if b.label in ("good", "bad"):
+                continue
+            default = "good" if b.inside or not (left or right) and b.label == "near" else "bad"
+            if b.label == "near":
+                b.label = "good" if "good" in (left, right) else default
+            elif b.tag in HEADINGS:
+                b.label = right or default
+            elif not left or not right or left == right:
+                b.label = left or right or default
+            else:
+                b.label = left if i < j else right if j < i else default
 
 
 def extract(page: str | None) -> str:
@@ -169,7 +212,10 @@ def extract(page: str | None) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    classify(blocks)
+    for doubted in (1, 2):  # where names and forms leave nothing, they are no evidence
+        classify(blocks, doubted)
+        if any(b.label == "good" for b in blocks):
+            break
     return "\n".join(b.text for b in blocks if b.label == "good")
 
 

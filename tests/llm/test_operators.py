@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -337,6 +338,54 @@ def test_html_rules():
     assert html_extract.extract("<nav>menu<article><p>text") == "text"
 
 
+SAY = ["The of and to in is that for it as was with be by on not he his but at are this have from or had an they.", "Which one you were all her she there would their we him been has when who will no more if out so up said what."]
+LONG = " ".join(SAY)
+
+
+def test_html_by_text_alone():
+    """Pages without an article: unnamed blocks of known kind in random order of sections; prose and what stands in it is kept."""
+    rng = np.random.default_rng(16)
+    for _ in range(60):
+        links = lambda: "<ul>" + "".join(f"<li><a href=/x{i}>Go to page {i} of these</a></li>" for i in range(rng.integers(3, 9))) + "</ul>"
+        prose = [LONG + f" n{i}" for i in range(rng.integers(2, 6))]
+        middle = [f"<p>{prose[0]}</p>"]
+        want = [prose[0]]
+        for x in prose[1:]:
+            if rng.integers(2):
+                middle.append("<h2>A heading</h2>")
+                want.append("A heading")
+            elif rng.integers(2):
+                middle.append("<p>Short one.</p>")
+                want.append("Short one.")
+            middle.append(f"<p>{x}</p>")
+            want.append(x)
+        page = f"<html><body><div>{links()}</div><div><p>Site name</p></div><div>{links()}</div><div>{''.join(middle)}</div><div>{links()}<p>Terms</p>{links()}</div></body></html>"
+        assert html_extract.extract(page) == "\n".join(want)
+
+
+def test_html_names_are_evidence_only():
+    art = f"<article><h1>Head</h1><p>{LONG}</p><p>Bye.</p></article>"
+    want = f"Head\n{LONG}\nBye."
+    for around in ('<div class="layout has-sidebar">%s</div>', '<div class="post no-comments">%s</div>', "<form action=x>%s<input></form>", '<form><div class="page-with-banner">%s</div></form>', '<div class="widget">%s</div>'):
+        assert html_extract.extract(around % art) == want, around
+    assert html_extract.extract(f"<form><p>{LONG}</p><p>{LONG}</p></form>") == f"{LONG}\n{LONG}"
+    assert html_extract.extract(f'{art}<form><p>{LONG}</p></form><div class="sidebar"><p>{LONG}</p></div>') == want
+    assert html_extract.extract(f'<article><header><h1>Top</h1></header><div class="article-header"><h2>Sub</h2></div><p>{LONG}</p><footer>By me</footer></article>') == f"Top\nSub\n{LONG}"
+    assert html_extract.extract(f"<main><p>{LONG}</p></main><p>{LONG} {LONG}</p><p>Short.</p>") == f"{LONG}\n{LONG} {LONG}"
+    assert html_extract.extract(f"<div role=main><p>{LONG}</p><p>x</p></div><p>y</p>") == f"{LONG}\nx"
+
+
+@pytest.mark.parametrize("part", ["<p>word of the day</p>", "<nav>", "<article>", "</nav>", "<div>", "<a href='x", "<!", "<script", "<div></span>", "&amp", "<p class=\"x"])
+def test_html_in_linear_time(part):
+    def took(n):
+        page, began = "<nav><div>" + part * n, time.process_time()
+        html_extract.extract(page)
+        return time.process_time() - began
+
+    few, many = min(took(20_000) for _ in range(3)), took(160_000)
+    assert many < 24 * few + 0.5
+
+
 def test_mixing_deviates_by_less_than_a_block():
     shares = mixing.quanta({"a": 5.0, "b": 3.0, "c": 0.1, "d": 1.0}, 256)
     slots = mixing.period(shares)
