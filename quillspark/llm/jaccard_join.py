@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, discard, keep_ones, lookup_spread, mix, row_key, shingle_set, summed, written
 
-#: Counters of shingle frequencies by hash: 2**SKETCH_BITS of 16 bits that saturate, so the order of lists costs 2 MB
-#: whatever the corpus.
+#: Counters of shingle frequencies by hash: 2**SKETCH_BITS of 32 bits that saturate, so the order of lists costs 4 MB
+#: whatever the corpus. At 2e13 shingles a counter holds 2e7 by chance, give or take what a common shingle exceeds by far.
 SKETCH_BITS = 20
 #: Bits that say which rows' texts are needed; more rows than that cost time, not results.
 WANTED_BITS = 23
@@ -121,7 +121,7 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, s
 
 
 def _saturating(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.minimum(x.astype(np.uint32) + y, 65535).astype(np.uint16)
+    return np.minimum(x.astype(np.uint64) + y, 2**32 - 1).astype(np.uint32)
 
 
 def _row_hash() -> Column:
@@ -142,11 +142,11 @@ def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
                 np.add.at(sketch, (a & np.uint64(width - 1)).astype(np.int64), np.uint32(1))
             yield pd.DataFrame({"id": b["id"], "h": b["h"], "cls": pd.array([class_id(a) if len(a) else None for a in sets], "Int64"), "n": [len(a) for a in sets], "bins": [set_digest(a) if len(a) else None for a in sets], "sketch": None})
         if sketch.any():
-            yield pd.DataFrame({"id": [None], "h": [0], "cls": pd.array([None], "Int64"), "n": [-1], "bins": [None], "sketch": [np.minimum(sketch, 65535).astype(np.uint16).tobytes()]})
+            yield pd.DataFrame({"id": [None], "h": [0], "cls": pd.array([None], "Int64"), "n": [-1], "bins": [None], "sketch": [sketch.tobytes()]})
 
     table = written(docs.mapInPandas(run, "id string, h long, cls long, n int, bins binary, sketch binary"), "sets")
     rows = table.where("n >= 0").select(F.col("id").cast(kind).alias("id"), "h", "cls", "n", "bins")
-    return rows, summed(table.where("n < 0"), "sketch", np.zeros(width, np.uint16), _saturating)
+    return rows, summed(table.where("n < 0"), "sketch", np.zeros(width, np.uint32), _saturating)
 
 
 def light_boundary(sizes: dict[int, int], sketch: np.ndarray, sim: Similarity) -> int:
