@@ -475,6 +475,43 @@ def links_roundtrip(spark, sf):
     return to_catalog(_parsed(c)).links.select("src", "dst", "anchor", "external_url")
 
 
+_NESTED = """> quoted [one](q{k}.md), ![alt [two](i{k}.md)](img.png)
+
+- item
+
+  second paragraph with [three][Ref]
+
+      [no](code.md)
+
+  1. inner [Ref] and [four][]
+
+&lt;[yes](escaped.md)&gt; but not \\[no](x.md) <!-- [no](comment.md) -->
+
+<div>
+[no](html.md)
+</div>
+
+[ref]: r{k}.md "title"
+[Four]: <f {k}.md>
+"""
+
+
+@query("SELECT concat('c/', c_custkey, '.md') AS src, concat('c/', replace(t, '{k}', CAST(c_custkey AS VARCHAR)), '.md') AS dst, CAST(n AS INT) AS pos FROM customer, (VALUES ('q{k}', 1), ('i{k}', 2), ('r{k}', 3), ('r{k}', 4), ('f {k}', 5), ('escaped', 6)) v(t, n)")
+def links_nested(spark, sf):
+    """Links in quotes, images, paragraphs and lists of items, by reference; none in code, comments, HTML or escapes."""
+    c = table(spark, sf, "customer").select(F.concat(F.lit("c/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"), F.replace(F.lit(_NESTED), F.lit("{k}"), F.col("c_custkey").cast("string")).alias("text"))
+    return to_catalog(_parsed(c)).links.select("src", "dst", "pos")
+
+
+@query("""SELECT concat('p/', p_partkey, '.md') AS path, CAST(l AS INT) AS level, CASE l WHEN 1 THEN concat(p_name, ' & more') WHEN 3 THEN concat('q ', p_name) WHEN 4 THEN concat('i ', p_name) ELSE p_name END AS title, CAST(n AS INT) AS pos
+FROM part, (VALUES (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (2, 7)) v(l, n)""")
+def headings_levels(spark, sf):
+    """Levels 1 to 6 in both notations, in quotes and lists, with entities, emphasis and closing signs; none in code."""
+    text_ = F.replace(F.lit("{p} &amp; more\n===\n\n{p}\n---\n> ### q **{p}**\n\n- #### i {p} ####\n\n##### {p} #\n###### _{p}_\n```\n# no\n```\n\n    # no\n\n##\t{p}\n####### no\n#no\n"), F.lit("{p}"), F.col("p_name"))
+    c = table(spark, sf, "part").select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"), text_.alias("text"))
+    return to_catalog(_parsed(c)).headings.select("path", "level", "title", "pos")
+
+
 @query("SELECT concat('customer/', c_custkey, '.md') AS src, concat('nation/', c_nationkey, '.md') AS dst, 'belongs-to' AS relation FROM customer")
 def typed_links(spark, sf):
     k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
@@ -483,12 +520,6 @@ def typed_links(spark, sf):
     return to_catalog(_parsed(c)).links.select("src", "dst", "relation")
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, h AS href FROM (SELECT page_id, html, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages)")
-def html_links(spark, sf):
-    hrefs = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), hrefs.alias("href"))
-
-
 # --- validation -----------------------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,5 @@
 import sqlite3
+import time
 
 import pytest
 from hypothesis import given
@@ -139,3 +140,24 @@ def test_content_hash_covers_whole_long_texts(spark):
     row = spark.range(1).select(F.repeat(F.lit("a"), 1 << 21).alias("t")).select("t", F.concat(F.substring("t", 1, 5000), F.lit("b"), F.substring("t", 5002, 1 << 21)).alias("u"))
     got = row.select(text.content_hash(F.col("t")).alias("t"), text.content_hash(F.col("u")).alias("u"), text.content_hash(F.col("t"), sampled=True).alias("s"), text.content_hash(F.col("u"), sampled=True).alias("v"), F.sha2("t", 256).alias("want")).head()
     assert got["t"] == got["want"] != got["u"] and got["s"] == got["v"]
+
+
+def test_markdown_containers_references_and_html():
+    r = markdown.parse('# A *b* `c` ##\n\n> ## In quote\n> [x](a.md)\nlazy [r][Ref] and [ref] [foo][]\n\n- # Item head\n\n  second [y](b.md "t")\n\n      code\n  1. sub [z](<c d.md>)\n\n[REF]: /r.md \'title\'\n[foo]: <f g.md>\n')
+    assert [(h["level"], h["title"]) for h in r["headings"]] == [(1, "A b c"), (2, "In quote"), (1, "Item head")]
+    assert r["links"] == ["a.md", "/r.md", "/r.md", "f g.md", "b.md", "c d.md"]
+    r = markdown.parse("AT&amp;T &lt;b&gt; &#65; <!-- [no](x.md) --> a<br>b \\*not\\* **bo*ld*** snake_case\n\n<!-- \n# no\n[no](y.md)\n-->\n\n<div>\n[no](z.md)\n</div>\n\n<div>\n\n[yes](w.md)\n\n</div>")
+    assert (r["links"], r["headings"], r["plain_text"]) == (["w.md"], [], "AT&T <b> A a b *not* bold snake_case yes")
+    r = markdown.parse("``x ` y`` ![alt [in](i.md)](img.png) [out ![i](p.png)](o.md) [a [b](c.md) d](e.md) <me@x.org> [f]() [g](a(b(c)).md)")
+    assert r["links"] == ["i.md", "o.md", "c.md", "mailto:me@x.org", "", "a(b(c)).md"]
+
+
+@pytest.mark.parametrize("part", ["*a ", "**a b** ", "[", "[a](", "[a]", "![[", "`", "<a ", "> ", "- ", "_a_*b", '[a](b "', "| a ", "\\", "<!--", "[a]: b\n", "*_", "- a\n  ", "[[", "[a][b]", "<b c='"])
+def test_markdown_takes_linear_time(part):
+    def took(n):
+        began = time.process_time()
+        markdown.parse(part * n)
+        return time.process_time() - began
+
+    few, many = min(took(4_000) for _ in range(3)), took(64_000)
+    assert many < 48 * few + 0.5
