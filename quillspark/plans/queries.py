@@ -377,11 +377,44 @@ def traverse_relation(spark, sf):
     return graph.traverse(c, c.documents.where("parent_path = 'region'").select("path"), 9, 500, ["next-to"])[0].select("start", "path", "depth")
 
 
-@query(LINKS + "SELECT path, 'region/0.md' AS cycle_id FROM nodes WHERE parent_path = 'region'")
+_EDGES = """, st AS (SELECT DISTINCT src AS a, dst AS b FROM links WHERE dst <> src UNION SELECT DISTINCT dst, src FROM links WHERE dst <> src),
+bfs(start, path, depth) AS (SELECT path, path, 0 FROM nodes WHERE path IN ('nation/7.md', 'customer/51.md') UNION SELECT start, b, depth + 1 FROM bfs JOIN st ON a = path WHERE depth < 2),
+n AS (SELECT start, path, depth FROM (SELECT start, path, min(depth) AS depth FROM bfs GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth, path) <= 60)
+SELECT DISTINCT s.start, src AS source, dst AS target, CASE WHEN s.depth < t.depth OR s.depth = t.depth AND src < dst THEN 'links_to' ELSE 'linked_from' END AS label, relation AS link_relation
+FROM links JOIN n s ON s.path = src JOIN n t ON t.path = dst AND t.start = s.start WHERE src <> dst AND least(s.depth, t.depth) < 2"""
+
+
+@query(f"WITH RECURSIVE {SQL_LINKS}" + _EDGES)
+def traverse_edges(spark, sf):
+    c = graph_catalog(spark, sf)
+    return graph.traverse(c, c.documents.where("path IN ('nation/7.md', 'customer/51.md')").select("path"), 2, 60)[1]
+
+
+_CYCLES = """, live AS (SELECT DISTINCT src AS a, dst AS b FROM links WHERE external_url IS NULL AND dst IN (SELECT path FROM nodes)), way(a, b) AS (SELECT a, b FROM live UNION SELECT way.a, live.b FROM way JOIN live ON way.b = live.a)
+SELECT x.a AS path, min(x.b) AS cycle_id FROM way x JOIN way y ON x.a = y.b AND x.b = y.a GROUP BY 1"""
+
+
+@query(f"WITH RECURSIVE {SQL_LINKS}" + _CYCLES)
 def cycle_members(spark, sf):
     return graph.cycle_members(graph_catalog(spark, sf))
 
 
+@query("""WITH RECURSIVE nodes AS (SELECT concat(p_partkey, '.md') AS path FROM part), e AS (SELECT p_partkey AS k, p_size AS z FROM part),
+links AS (SELECT concat(k, '.md') AS src, concat(k // 10 * 10 + (k + 1) % 10, '.md') AS dst, NULL AS external_url FROM e WHERE z % 7 <> 0 UNION ALL SELECT concat(k, '.md'), concat(k // 10 * 10 + (k * 3) % 10, '.md'), NULL FROM e WHERE z % 3 = 0
+  UNION ALL SELECT concat(k, '.md'), concat(k - 10, '.md'), NULL FROM e WHERE k % 40 >= 10 AND z % 2 = 0 UNION ALL SELECT concat(k, '.md'), concat(k // 10 * 10 - 9 + k % 10, '.md'), NULL FROM e WHERE k % 40 >= 30 AND z % 5 = 0)""" + _CYCLES)
+def cycles_many(spark, sf):
+    """Rings of ten with gaps and chords, some of them joined by links in one direction or both: cycles of many sizes."""
+    at = lambda c: F.concat(c.cast("string"), F.lit(".md"))
+    k, z, none = F.col("p_partkey"), F.col("p_size"), F.lit(None).cast("string")
+    ten, digit = F.floor(k / 10) * 10, k % 10
+    p = table(spark, sf, "part")
+    edge = lambda test, dst: p.where(test).select(at(k).alias("src"), at(dst).alias("dst"), none.alias("anchor"), none.alias("external_url"), none.alias("relation"), F.lit(1).alias("pos"))
+    links = edge(z % 7 != 0, ten + (k + 1) % 10).unionByName(edge(z % 3 == 0, ten + (k * 3) % 10)).unionByName(edge((k % 40 >= 10) & (z % 2 == 0), k - 10)).unionByName(edge((k % 40 >= 30) & (z % 5 == 0), ten - 9 + digit))
+    c = graph_catalog(spark, sf)
+    c.documents, c.links = p.select(at(k).alias("path")), links
+    return graph.cycle_members(c)
+
+
 @query(f"WITH RECURSIVE {SQL_LINKS}, r(path) AS (SELECT dst FROM links WHERE src = 'customer/9.md' AND dst IS NOT NULL UNION SELECT dst FROM links JOIN r ON src = path WHERE dst IS NOT NULL) SELECT path FROM r")
 def reachable(spark, sf):
     return graph.reachable(graph_catalog(spark, sf).links, "customer/9.md")
@@ -564,8 +597,8 @@ def val_reserved(spark, sf):
     return validate.check_reserved(_val_catalog(spark, sf)).select("path", "category")
 
 
-@query(f"""WITH {SQL_LINKS} SELECT * FROM (VALUES ('typed_link_conflicts', 'warn', (SELECT count(*) FROM (SELECT src, dst FROM links WHERE dst IS NOT NULL GROUP BY 1, 2 HAVING count(relation) > 0 AND count(relation) < count(*)))),
-('broken_links', 'warn', (SELECT count(*) FROM links WHERE external_url IS NULL AND dst NOT IN (SELECT path FROM nodes))), ('circular_references', 'warn', 1), ('missing_index_files', 'warn', 5)) t("check", status, issue_count)""")
+@query(f"""WITH RECURSIVE {SQL_LINKS}, cyc AS (SELECT * FROM (WITH RECURSIVE {SQL_LINKS}{_CYCLES})) SELECT * FROM (VALUES ('typed_link_conflicts', 'warn', (SELECT count(*) FROM (SELECT src, dst FROM links WHERE dst IS NOT NULL GROUP BY 1, 2 HAVING count(relation) > 0 AND count(relation) < count(*)))),
+('broken_links', 'warn', (SELECT count(*) FROM links WHERE external_url IS NULL AND dst NOT IN (SELECT path FROM nodes))), ('circular_references', 'warn', (SELECT count(DISTINCT cycle_id) FROM cyc)), ('missing_index_files', 'warn', (SELECT count(DISTINCT parent_path) FROM nodes WHERE parent_path NOT IN (SELECT parent_path FROM nodes WHERE path LIKE '%/index.md')))) t("check", status, issue_count)""")
 def val_report(spark, sf):
     c = graph_catalog(spark, sf)
     c.documents = c.documents.withColumns({"has_front_matter": F.lit(True), "parse_status": F.lit("ok"), "description": F.lit(None).cast("string"), "content_hash": F.col("path"), "title": F.col("path")})

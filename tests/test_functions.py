@@ -1,3 +1,4 @@
+import random
 import sqlite3
 import time
 
@@ -15,6 +16,7 @@ from quillspark.operators import graph
 from quillspark.operators.document import fit_budget, unsafe_query
 from quillspark.operators.ftsquery import parse_query
 from quillspark.operators.metadata import check_filters, parse_filters
+from quillspark.schema import Catalog
 from quillspark.sources import markdown
 from quillspark.sources.frontmatter import read_yaml, split_front_matter
 
@@ -161,3 +163,32 @@ def test_markdown_takes_linear_time(part):
 
     few, many = min(took(4_000) for _ in range(3)), took(64_000)
     assert many < 48 * few + 0.5
+
+
+def _links(spark, pairs):
+    rows = [(a, b, None, None, None, 1) for a, b in pairs]
+    links = spark.createDataFrame(rows, "src string, dst string, anchor string, external_url string, relation string, pos int")
+    docs = spark.createDataFrame([(x, x, "t") for x in sorted({x for p in pairs for x in p})], "path string, title string, type string")
+    return Catalog(docs, None, None, links, None, None)
+
+
+def test_cycles_by_labels(spark):
+    """Random graphs against plain reachability."""
+    rng = random.Random(3)
+    between = [("n8", "n9"), ("n9", "n8"), ("n8", "n0"), ("n0", "n5"), ("n5", "n6"), ("n6", "n5")]  # n0 is on no cycle
+    for n, m in ((0, 0), (12, 14), (30, 45)):
+        pairs = between if not n else sorted({(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range(m)})
+        reach = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+        for _ in range(n or 9):
+            reach = {a: bs | {c for b in bs for c in reach.get(b, ())} for a, bs in reach.items()}
+        want = {a: min(b for b in bs if a in reach.get(b, ())) for a, bs in reach.items() if a in bs}
+        assert dict(tuple(r) for r in graph.cycle_members(_links(spark, pairs)).collect()) == want
+
+
+def test_traversal_names_the_linking_document_as_source(spark):
+    c = _links(spark, [("a", "hub"), ("b", "hub"), ("hub", "c"), ("c", "d"), ("d", "d"), ("a", "b")])
+    nodes, edges = graph.traverse(c, c.documents.where("path = 'hub'").select("path"), 1, 10)
+    assert sorted((r["path"], r["depth"]) for r in nodes.collect()) == [("a", 1), ("b", 1), ("c", 1), ("hub", 0)]
+    assert sorted((r["source"], r["target"], r["label"]) for r in edges.collect()) == [("a", "hub", "linked_from"), ("b", "hub", "linked_from"), ("hub", "c", "links_to")]
+    nodes, edges = graph.traverse(c, c.documents.where("path = 'hub'").select("path"), 2, 3)
+    assert sorted(r["path"] for r in nodes.collect()) == ["a", "b", "hub"] and edges.count() == 3
