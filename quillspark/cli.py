@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     add("validate", (("--json",), {"action": "store_true"}))
     add("stats")
     add("export", (("folder",), {}))
+    add("watch", (("checkpoint",), {}), (("--events",), {"help": "folder of Parquet files with ts, path, kind; without it, roots are scanned at intervals"}))
     return p
 
 
@@ -59,6 +60,9 @@ def run(service, args) -> tuple[object, int]:
             return found, found["exit_status"]
         case "stats":
             return service.get_stats(), 0
+        case "watch":
+            events = service.spark.readStream.schema("ts timestamp, path string, kind string").parquet(args.events) if args.events else None
+            return service.watch(args.checkpoint, events).awaitTermination(), 0
         case "export":
             return service.export_to_json(args.folder), 0
 

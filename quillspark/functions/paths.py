@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def glob_pattern(glob: str) -> str:
 
 
 #: Folders and temporary files that a watcher ignores.
-IGNORED = r"(^|/)(\.git|vendor|node_modules|target)/|(^|/)(\.[^/]*|#[^/]*#)$|(~|\.sw[pox]|\.tmp|\.bak|\.crash)$"
+IGNORED = r"(^|/)(\.git|vendor|node_modules|target)/|(^|/)(\.[^/]*|#[^/]*#)$|(~|\.sw[pox]|(?i:\.tmp|\.bak|\.crash))$"
 
 
 def ignored(path: Column, patterns: tuple[str, ...] = ()) -> Column:
@@ -88,3 +90,30 @@ def ignored(path: Column, patterns: tuple[str, ...] = ()) -> Column:
     for p in patterns:
         out = out | path.rlike(glob_pattern(p))
     return out
+
+
+def ignore_rules(text: str | None) -> list[tuple[str, bool]]:
+    """(pattern, whether it takes paths back in) of the lines of a .gitignore file, in order.
+
+    A slash before a pattern's end ties it to the root; a backslash makes a leading # or ! a plain sign.
+    """
+    out = []
+    for line in (text or "").splitlines():
+        line = re.sub(r"(?<!\\) +$", "", line)
+        back = line.startswith("!")
+        glob = line[1:] if back else line
+        if not glob.strip("/") or glob.startswith("#"):
+            continue
+        glob = glob.replace("\\ ", " ").removeprefix("\\") if glob[:2] in ("\\#", "\\!") or "\\ " in glob else glob
+        if "/" in glob.rstrip("/") and not glob.startswith("**/"):
+            glob = "/" + glob.lstrip("/")
+        out.append((glob_pattern(glob), back))
+    return out
+
+
+def gitignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """The last rule that matches a root-relative path decides."""
+    out = F.lit(False)
+    for pattern, back in rules:
+        out = F.when(path.rlike(pattern), F.lit(not back)).otherwise(out)
+    return out

@@ -1,7 +1,7 @@
 """Field-weighted BM25 search over token positions, with filters, a typo fallback, excerpts and outlines.
 
-The index is one table of (path, field, pos, term) in folders by a hash of the term, so a query reads the folders of
-its terms only, plus a one-row table of totals. Any number of queries is answered in the same jobs.
+A stored index is a table of (path, field, pos, term) in folders by a hash of the term and sorted by it, so a query reads
+the row groups of its terms only, with a table of document lengths, the vocabulary and a row of totals.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.porter import stem
@@ -31,6 +31,7 @@ class Index:
     totals: DataFrame  # one row: n, avgdl
     lengths: DataFrame  # path, dl
     stem: bool = True
+    terms: DataFrame | None = None  # term, df, cnt, where the index is stored
 
 
 def searchable(catalog: Catalog) -> DataFrame:
@@ -47,9 +48,41 @@ def build_index(docs: DataFrame, use_stem: bool = True, ascii_only: bool = False
     return Index(tokens, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), lengths, use_stem)
 
 
-def write_index(index: Index, folder: str) -> None:
-    index.tokens.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(TERM_FOLDERS))).repartition("part").sortWithinPartitions("term", "path").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/tokens")
+def _part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
+
+
+def write_index(index: Index, folder: str) -> Index:
+    """The index as stored under folder. Tasks take ranges of (folder, term, path), so a hot term is cut like any other."""
+    rows = index.tokens.select("path", "field", "pos", "term", _part(F.col("term")).alias("part"))
+    order = ("part", "term", "path")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order, "field", "pos").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/tokens")
     index.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    stored = read_index(index.tokens.sparkSession, folder, index.stem, False)
+    term_counts(stored).write.mode("overwrite").parquet(f"{folder}/terms")
+    totals = stored.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    totals.withColumn("stem", F.lit(index.stem)).write.mode("overwrite").parquet(f"{folder}/totals")  # last: the index is whole
+    return read_index(index.tokens.sparkSession, folder, index.stem)
+
+
+def read_index(spark: SparkSession, folder: str, use_stem: bool, whole: bool = True) -> Index:
+    read = lambda name, kind: spark.read.schema(kind).parquet(f"{folder}/{name}")
+    tokens = read("tokens", "path string, field string, pos int, term string, part int")
+    lengths = read("lengths", "path string, dl long")
+    if not whole:
+        return Index(tokens, lengths, lengths, use_stem)
+    return Index(tokens, read("totals", "n long, avgdl double"), lengths, use_stem, read("terms", "term string, df long, cnt long"))
+
+
+def update_index(old: Index, fresh: DataFrame, gone: DataFrame) -> Index:
+    """old without the documents of gone(path) and those that fresh(path, title, ...) has, and fresh. Only fresh is
+    tokenised."""
+    new = build_index(fresh, old.stem)
+    touched = gone.select("path").unionByName(fresh.select("path")).distinct()
+    keep = lambda df, *columns: df.select(*columns).join(touched, "path", "left_anti")
+    tokens = keep(old.tokens, "path", "field", "pos", "term").unionByName(new.tokens)
+    lengths = keep(old.lengths, "path", "dl").unionByName(new.lengths)
+    return Index(tokens, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), lengths, old.stem)
 
 
 def postings(index: Index) -> DataFrame:
@@ -57,10 +90,15 @@ def postings(index: Index) -> DataFrame:
     return index.tokens.groupBy("term", "path", "field").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_counts(index: Index) -> DataFrame:
+    """term, df, cnt"""
+    one = index.tokens.groupBy("term", "path").agg(F.count(F.lit(1)).alias("tf"))
+    return one.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cnt"))
+
+
 def vocabulary(index: Index, limit: int = MOST_VOCABULARY) -> DataFrame:
     """term, df, cnt: the most widespread terms first."""
-    one = index.tokens.groupBy("term", "path").agg(F.count(F.lit(1)).alias("tf"))
-    return one.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cnt")).orderBy(F.desc("df"), "term").limit(limit)
+    return (term_counts(index) if index.terms is None else index.terms).orderBy(F.desc("df"), "term").limit(limit)
 
 
 def _occurrences(index: Index, p: Phrase) -> DataFrame:
@@ -70,6 +108,8 @@ def _occurrences(index: Index, p: Phrase) -> DataFrame:
         return rows.where("false").select("path", "field", F.col("pos").alias("start"))
     last = len(p.terms) - 1
     tests = [(F.col("term").startswith(t) if p.prefix and i == last else F.col("term") == t) for i, t in enumerate(p.terms)]
+    if "part" in rows.columns and not p.prefix:  # folders and row groups of the phrase's terms only
+        rows = rows.where(reduce(Column.__or__, [F.col("part") == _part(F.lit(t)) for t in p.terms]) & F.col("term").isin(*p.terms))
     if last == 0:
         found = rows.where(tests[0]).select("path", "field", F.col("pos").alias("start"))
     else:
@@ -172,7 +212,7 @@ def search(catalog: Catalog, index: Index, text: str, limit: int = 20, max_headi
             corrected = corrected_query(index, text)
             if corrected is None:
                 break
-            plain = Index(index.tokens, index.totals, index.lengths, False)  # its terms are index terms already
+            plain = Index(index.tokens, index.totals, index.lengths, False, index.terms)  # its terms are index terms already
             hits = apply_filters(catalog, score_query(plain, corrected, weights, k1, b), **filters)
         else:
             hits = apply_filters(catalog, score_query(index, attempt, weights, k1, b), **filters)

@@ -105,6 +105,13 @@ def check_concepts(c: Catalog) -> DataFrame:
     return _issues(again, "error", "duplicate_concept", F.concat(F.lit("Same type and title as "), "first"))
 
 
+def content_groups(c: Catalog) -> DataFrame:
+    """content_hash, path of every member of a group of equal contents: who the others are, as rows and not as a list."""
+    docs = _sound(c).where(~reserved(F.col("path")))
+    groups = docs.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return docs.join(groups, "content_hash").select("content_hash", "path")
+
+
 def check_content(c: Catalog) -> DataFrame:
     """Every member of a group of equal contents, with the first other member and the group's size."""
     docs = _sound(c).where(~reserved(F.col("path")))

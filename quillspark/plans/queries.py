@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,23 +228,33 @@ def _term(t: str) -> str:
     return f"SELECT path, field FROM toks WHERE term = '{t}'"
 
 
-def _index(c):
-    return search.build_index(search.searchable(c), use_stem=False, ascii_only=True)
+_INDEXES: dict[tuple, search.Index] = {}
+
+
+def _index(spark, sf):
+    """The index of the document catalog: stored once a session where the session names a shared folder."""
+    index = search.build_index(search.searchable(document_catalog(spark, sf)), use_stem=False, ascii_only=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return index
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.write_index(index, f"{folder}/index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
 
 
 def _scored(spark, sf, q, **kw):
-    c = document_catalog(spark, sf)
-    return search.score_query(_index(c), q, **kw).select("path", F.round("score", 6).alias("score"))
+    return search.score_query(_index(spark, sf), q, **kw).select("path", F.round("score", 6).alias("score"))
 
 
 @query(TOKENS + " SELECT term, path, field, count(*) AS tf FROM toks GROUP BY 1, 2, 3")
 def postings(spark, sf):
-    return search.postings(_index(document_catalog(spark, sf)))
+    return search.postings(_index(spark, sf))
 
 
 @query(TOKENS + " SELECT term, count(DISTINCT path) AS df, count(*) AS cnt FROM toks GROUP BY 1 ORDER BY df DESC, term LIMIT 50000")
 def vocabulary(spark, sf):
-    return search.vocabulary(_index(document_catalog(spark, sf)))
+    return search.vocabulary(_index(spark, sf))
 
 
 @query(_bm25({0: _term("apache")}, "p0"))
@@ -288,17 +300,42 @@ def bm25_weights_title(spark, sf):
 @query(_bm25({0: _term("license")}, "p0", "AND path IN (SELECT path FROM docs WHERE type = 'Metric' AND starts_with(parent_path, 'docs/src1/')) AND path IN (SELECT path FROM tags WHERE tag IN ('en', 'fr'))"))
 def search_filtered(spark, sf):
     c = document_catalog(spark, sf)
-    hits = search.apply_filters(c, search.score_query(_index(c), "license"), "docs/src1/", ["Metric"], ["en", "fr", ""])
+    hits = search.apply_filters(c, search.score_query(_index(spark, sf), "license"), "docs/src1/", ["Metric"], ["en", "fr", ""])
     return hits.select("path", F.round("score", 6).alias("score"))
 
 
 @query("SELECT path, score, split_part(body, '.', 1) AS outline FROM (" + _bm25({0: _term("license")}, "p0") + ") JOIN (WITH " + SQL_DOCS + " SELECT path, body FROM docs) USING (path) ORDER BY score DESC, path LIMIT 20")
 def search_topk_outline(spark, sf):
     c = document_catalog(spark, sf)
-    page = search.score_query(_index(c), "license").select("path", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "path").limit(20)
+    page = search.score_query(_index(spark, sf), "license").select("path", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "path").limit(20)
     return page.join(document.outline(c, 1, 1), "path", "left").select("path", "score", F.array_join("outline", " ").alias("outline"))
 
 
+#: Words and their stems; a search for one finds all of its row.
+STEMS = {"general": ("general", "generals", "generally", "generalized"), "licens": ("license", "licenses", "licensed", "licensing"), "publish": ("publish", "published", "publishing", "publishes")}
+_ACCENTS = ("École Général", "LICENSES of cafés", "naïve publishing", "Über Straßen", "señores publicados")
+
+
+@query("SELECT word, CAST(stem AS VARCHAR) AS term FROM (VALUES " + ", ".join(f"('{w}', '{k}')" for k, ws in {"gener": STEMS["general"], "licens": STEMS["licens"], "publish": STEMS["publish"]}.items() for w in ws) + ") t(word, stem)")
+def stemmed_terms(spark, sf):
+    words = spark.createDataFrame([(w, w) for ws in STEMS.values() for w in ws], "path string, title string").selectExpr("path", "title", "'' AS description", "'' AS headings", "'' AS body", "'' AS type")
+    return search.build_index(words).tokens.select(F.col("path").alias("word"), "term")
+
+
+@query(DOCS + """, w AS (SELECT path, regexp_extract_all(lower(concat(title, ' ', body)), '[a-z0-9]+') AS w FROM docs WHERE regexp_full_match(body, '[\\x00-\\x7F]*')) SELECT path FROM w WHERE list_has_any(w, ['license', 'licenses', 'licensed', 'licensing'])""")
+def search_stemmed(spark, sf):
+    """One form of a word finds all others; over texts of ASCII letters, where folding changes nothing."""
+    c = document_catalog(spark, sf)
+    docs = search.searchable(c).where(F.col("body").rlike(r"^[\x00-\x7F]*$")).withColumn("headings", F.lit(""))
+    return search.score_query(search.build_index(docs), "licensing").select("path")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{w}')" for t, ws in zip(_ACCENTS, (("ecole", "general"), ("licenses", "of", "cafes"), ("naive", "publishing"), ("uber", "straßen"), ("senores", "publicados")), strict=True) for i, w in enumerate(ws)) + ") t(path, pos, term)")
+def folded_terms(spark, sf):
+    docs = spark.createDataFrame([(t, t) for t in _ACCENTS], "path string, title string").selectExpr("path", "title", "'' AS description", "'' AS headings", "'' AS body", "'' AS type")
+    return search.build_index(docs, use_stem=False).tokens.select("path", "pos", "term")
+
+
 WRONG = ("licence", "apachee", "versoin", "publik", "generel")
 
 
@@ -307,13 +344,13 @@ near AS (SELECT token, term, df, levenshtein(token, term) AS d, CASE WHEN length
 SELECT token, term FROM near WHERE d <= most QUALIFY row_number() OVER (PARTITION BY token ORDER BY d, df DESC, term) = 1""")
 def typo_correct(spark, sf):
     words = spark.createDataFrame([(w,) for w in WRONG], "token string")
-    return search.correct_tokens(search.vocabulary(_index(document_catalog(spark, sf))), words)
+    return search.correct_tokens(search.vocabulary(_index(spark, sf)), words)
 
 
 @query(_bm25({0: _term("apache")}, "p0", "ORDER BY score DESC, path LIMIT 10"))
 def typo_search(spark, sf):
     c = document_catalog(spark, sf)
-    found = search.search(c, _index(c), "apachee", limit=10)
+    found = search.search(c, _index(spark, sf), "apachee", limit=10)
     return spark.createDataFrame([(r["path"], round(r["score"], 6)) for r in found["results"]], "path string, score double")
 
 
@@ -322,7 +359,7 @@ def eval_recall_mrr(spark, sf):
     """Benchmark items as queries: do the documents that quote an item's first words come first?"""
     c = document_catalog(spark, sf)
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "path")
-    tokens = _index(c)
+    tokens = _index(spark, sf)
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{9,}"), F.lit(0)), 1, 3)).alias("term")).distinct()
     df = tokens.tokens.groupBy("term").agg(F.count_distinct("path").alias("df"))
     hits = items.join(df, "term").join(tokens.tokens.select("term", "path").distinct(), "term")
@@ -587,6 +624,11 @@ def val_dup_content(spark, sf):
     return validate.check_content(_val_catalog(spark, sf)).select("path", "message")
 
 
+@query(_VAL + " SELECT content_hash, path FROM (SELECT *, count(*) OVER (PARTITION BY content_hash) AS n FROM c) WHERE n > 1")
+def val_dup_members(spark, sf):
+    return validate.content_groups(_val_catalog(spark, sf))
+
+
 @query(_VAL + " SELECT DISTINCT parent_path AS path FROM al WHERE parent_path NOT IN (SELECT parent_path FROM al WHERE path LIKE '%/index.md')")
 def val_missing_index(spark, sf):
     return validate.check_index_files(_val_catalog(spark, sf)).select("path")
@@ -659,6 +701,21 @@ def debounce_batches(spark, sf):
     return watch.debounce(_events(spark, sf))
 
 
+@query("""WITH g AS (SELECT ts, user_id, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 60 SECOND THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT DISTINCT min(ts) OVER (PARTITION BY sid) AS session_start, concat('docs/user', user_id, '.md') AS path FROM s""")
+def debounce_paths(spark, sf):
+    return watch.batches(_events(spark, sf))
+
+
+@query("SELECT event_id, event_id % 6 IN (0, 3) AS ignored FROM events")
+def gitignore_rules(spark, sf):
+    rules = paths.ignore_rules("# build output\n\n/out/\n*.log.md\n!keep.log.md\ndocs/*/tmp\n**/deep/\n!/out/x\n")
+    k = F.col("event_id").cast("string")
+    names = [F.concat(F.lit("out/"), k, F.lit(".md")), F.concat(F.lit("a/out/"), k, F.lit(".md")), F.concat(F.lit("a/"), k, F.lit("/keep.log.md")), F.concat(F.lit("a/"), k, F.lit(".log.md")), F.concat(F.lit("docs/a/b/tmp/"), k), F.concat(F.lit("deep"), k, F.lit("/a.md"))]
+    path = F.get(F.array(*names), (F.col("event_id") % 6).cast("int"))
+    return table(spark, sf, "events").select("event_id", paths.gitignored(path, rules).alias("ignored"))
+
+
 @query("SELECT time_bucket(INTERVAL 600 SECOND, ts, TIMESTAMP '1970-01-01') AS tick, count(*) AS n_events FROM events GROUP BY 1")
 def reconcile_ticks(spark, sf):
     return watch.reconcile_ticks(_events(spark, sf))

@@ -11,8 +11,9 @@ from .config import Config
 from .operators import browse, document, graph, metadata, search, validate
 from .operators.changes import detect_changes, summarize
 from .schema import Catalog
-from .sources.ingest import discover, parse_files, to_catalog, with_existence
+from .sources.ingest import discover, ignore_rules, parse_files, to_catalog, with_existence
 from .sources.snapshot import SnapshotStore, export_json, replace_documents
+from .streaming import watch
 
 
 class CatalogService:
@@ -30,28 +31,68 @@ class CatalogService:
 
     @property
     def index(self) -> search.Index:
+        """The index stored with the current snapshot; built in memory for snapshots that have none."""
         if self._index is None:
-            self._index = search.build_index(search.searchable(self.catalog), self.config.stem)
+            catalog = self.catalog
+            folder = self.store.extra(self._index_name)
+            if folder:
+                self._index = search.read_index(self.spark, folder, self.config.stem)
+            else:
+                self._index = search.build_index(search.searchable(catalog), self.config.stem)
         return self._index
 
-    def scan(self) -> dict:
-        """Reads what is new or changed since the current snapshot, and swaps in a new one."""
-        began = time.time()
+    @property
+    def _index_name(self) -> str:
+        return "index_stemmed" if self.config.stem else "index_plain"
+
+    def _discovered(self):
         files = None
         for root in self.config.roots:
             one = discover(self.spark, root, self.config)
             files = one if files is None else files.unionByName(one)
+        return files
+
+    def scan(self) -> dict:
+        """Reads what is new or changed since the current snapshot, and commits a new one."""
+        return self._apply(self._discovered(), None)
+
+    def apply_paths(self, paths) -> dict:
+        """Brings the documents of paths(path) up to date, as a scan of these alone; others stay as they are."""
+        return self._apply(self._discovered().join(paths, "path", "left_semi"), paths)
+
+    def _apply(self, files, paths) -> dict:
+        began = time.time()
         old = self.catalog
         now = files.select("path", F.col("size").alias("file_size"), "modified_at")
-        changes = detect_changes(now, old.documents).cache()
+        known = old.documents if paths is None else old.documents.join(paths, "path", "left_semi")
+        changes = detect_changes(now, known).cache()
         touched = changes.where(F.col("change").isin("added", "modified")).select("path")
-        fresh = to_catalog(parse_files(files.join(touched, "path", "left_semi"), self.config).cache())
-        merged = replace_documents(old, fresh, changes.where("change = 'deleted'"))
-        self.store.write(merged)
-        self._catalog = None
+        gone = changes.where("change = 'deleted'")
+        parsed = parse_files(files.join(touched, "path", "left_semi"), self.config).persist()
+        fresh = to_catalog(parsed)
+        stored, pages = self.store.extra(self._index_name), search.searchable(fresh)
+        merged = replace_documents(old, fresh, gone)
+        if stored:
+            index = search.update_index(search.read_index(self.spark, stored, self.config.stem), pages, gone)
+        else:
+            index = search.build_index(search.searchable(merged), self.config.stem)
+        self.store.write(merged, **{self._index_name: lambda folder: search.write_index(index, folder)})
+        self._catalog = self._index = None
         out = summarize(changes, fresh.documents, with_existence(fresh.links, self.catalog.documents)).head().asDict()
+        parsed.unpersist()
+        changes.unpersist()
         return out | {"seconds": time.time() - began}
 
+    def watch(self, checkpoint: str, events=None, available_now: bool = False, every: str = "1 second"):
+        """Scans once, then keeps the catalog up to date: by a stream of events(ts, path, kind) whose paths are applied
+        once they are quiet for the debounce time, or without one by scanning every so often (the reconcile time)."""
+        self.scan()
+        if events is None:
+            return watch.ticks(self.spark, self.scan, checkpoint, f"{self.config.reconcile_seconds} seconds")
+        rules = [r for root in self.config.roots for r in ignore_rules(self.spark, root)]
+        gap = None if available_now else f"{self.config.debounce_ms} milliseconds"
+        return watch.watch(events, lambda df, _: self.apply_paths(df), checkpoint, self.config.exclude_patterns, rules, gap, available_now=available_now, every=every)
+
     def browse(self, folder: str = "", depth: int = 1, limit: int = 100) -> dict:
         return browse.browse(self.catalog, folder, depth, limit)
 
@@ -91,9 +132,11 @@ class CatalogService:
     def validate(self):
         return validate.validate(self.catalog, self.config.require_index_files)
 
-    def validate_report(self) -> dict:
+    def validate_report(self, limit: int = 10_000) -> dict:
+        """The checks' counts, and the first issues by path; `validate` has all of them as a table."""
         issues = self.validate().cache()
-        return {"issues": [r.asDict() for r in issues.orderBy("path", "category", "message").collect()], "checks": [r.asDict() for r in validate.report(issues).orderBy("check").collect()], "exit_status": validate.exit_status(issues)}
+        found = [r.asDict() for r in issues.orderBy("path", "category", "message").limit(limit + 1).collect()]
+        return {"issues": found[:limit], "truncated": len(found) > limit, "checks": [r.asDict() for r in validate.report(issues).orderBy("check").collect()], "exit_status": validate.exit_status(issues)}
 
     def get_stats(self) -> dict:
         return browse.stats(self.catalog).head().asDict()

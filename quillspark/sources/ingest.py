@@ -15,6 +15,7 @@ from ..functions.text import content_hash
 from ..schema import Catalog
 from . import markdown
 from .frontmatter import read_yaml, split_front_matter
+from .snapshot import HadoopFolder
 
 ERROR = "array<struct<stage:string,message:string,line:int>>"
 PARSED = (
@@ -24,9 +25,13 @@ PARSED = (
     "md_links array<string>, typed_links array<struct<target:string,relation:string,anchor:string>>"
 )
 
+#: What a file's row keeps beside what is parsed; as text in Python, where numbers beside nulls would be rounded.
+META = ("size", "modified_at", "content_hash")
+
 
 def discover(spark: SparkSession, root: str, config: Config) -> DataFrame:
-    """path (relative to root), size, modified_at (seconds), content of the Markdown files; hidden ones too."""
+    """path (relative to root), size, modified_at (seconds), content of the Markdown files that neither the settings nor
+    the root's .gitignore exclude."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/")
     at = F.length(F.lit(base.split(":", 1)[-1])) + 1
@@ -34,9 +39,15 @@ def discover(spark: SparkSession, root: str, config: Config) -> DataFrame:
     files = files.select(raw.substr(at + 1, F.length("path")).alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_at"), "content")
     for p in config.exclude_patterns:
         files = files.where(~F.col("path").rlike(paths.glob_pattern(p)))
+    if rules := ignore_rules(spark, root):
+        files = files.where(~paths.gitignored(F.col("path"), rules))
     return files
 
 
+def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    return paths.ignore_rules(HadoopFolder(spark, root).text(".gitignore"))
+
+
 def parse_text(path: str, text: str, config: Config) -> dict:
     """One document's record; errors lower its status and never stop the others."""
     errors, front, body = [], None, text
@@ -61,7 +72,9 @@ def parse_files(files: DataFrame, config: Config) -> DataFrame:
     names = [c.split()[0] for c in PARSED.split(", ") if " " in c]
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     fits = F.col("size") <= config.max_file_size
-    slim = files.select("path", F.when(fits & valid, F.col("content").cast("string")).alias("text"), F.when(~fits, F.lit("size")).when(~valid, F.lit("utf8")).alias("bad"))
+    text = F.when(fits & valid, F.col("content").cast("string"))
+    bad = F.when(~fits, F.lit("size")).when(~valid, F.lit("utf8"))
+    slim = files.select("path", text.alias("text"), bad.alias("bad"), F.col("size").cast("string").alias("size"), F.col("modified_at").cast("string").alias("modified_at"), content_hash(F.col("content")).alias("content_hash"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -71,11 +84,10 @@ def parse_files(files: DataFrame, config: Config) -> DataFrame:
                 if bad:
                     record |= {"parse_status": "failed", "errors": [{"stage": bad, "message": "file is too large" if bad == "size" else "file is not valid UTF-8", "line": None}]}
                 out.append(record)
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names).assign(**{c: b[c].to_numpy() for c in META})
 
-    parsed = slim.mapInPandas(run, PARSED)
-    meta = files.select(F.col("path").alias("_path"), "size", "modified_at", content_hash(F.col("content")).alias("content_hash"))
-    return parsed.join(meta, parsed["path"] == meta["_path"]).drop("_path")
+    parsed = slim.mapInPandas(run, PARSED + "".join(f", {c} string" for c in META))
+    return parsed.withColumns({c: F.col(c).cast("long") for c in META[:2]})
 
 
 def edges(parsed: DataFrame) -> DataFrame:

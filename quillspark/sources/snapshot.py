@@ -1,4 +1,4 @@
-"""Catalog tables on disk: a folder per version and a pointer to the current one, swapped when all is written."""
+"""Catalog tables on disk: a folder per version, and a log of commits of which the newest whole one counts."""
 
 from __future__ import annotations
 
@@ -9,38 +9,104 @@ from pyspark.sql import functions as F
 
 from ..schema import OWNER, TABLES, VERSION, Catalog
 
-POINTER = "_CURRENT"
+COMMITS = "_commits"
 
 
-class SnapshotStore:
-    """Readers resolve the pointer once and see one version whole; a failed write leaves the old one."""
+class HadoopFolder:
+    """Small files of a folder on any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _hadoop(self, name: str):
+    def at(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def current(self) -> str | None:
-        fs, path = self._hadoop(POINTER)
+    def exists(self, name: str) -> bool:
+        fs, path = self.at(name)
+        return fs.exists(path)
+
+    def names(self, name: str) -> list[str]:
+        fs, path = self.at(name)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def text(self, name: str) -> str | None:
+        fs, path = self.at(name)
         if not fs.exists(path):
             return None
-        return self.spark.read.text(f"{self.folder}/{POINTER}").head()[0]
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> None:
+        """Writes a new file; fails where one of that name is."""
+        fs, path = self.at(name)
+        stream = fs.create(path, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def delete(self, name: str) -> None:
+        fs, path = self.at(name)
+        fs.delete(path, True)
+
+
+class SnapshotStore:
+    """Readers resolve the newest commit once and see one version whole.
+
+    A commit is a numbered file that names a version, made when all of the version is written; nothing is deleted for
+    it, so whatever write breaks off leaves the last whole commit in force. Of two writers with the same number the
+    second fails. Versions of older schemas are read with null for columns and empty tables for tables that they lack,
+    and are written anew in the present schema by the next commit.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.files = HadoopFolder(spark, folder)
+
+    def commits(self) -> list[tuple[int, str]]:
+        """(number, version) of whole commits, oldest first."""
+        named = [(int(n), (self.files.text(f"{COMMITS}/{n}") or "").strip()) for n in self.files.names(COMMITS) if n.isdigit()]
+        return [(n, text.removesuffix(".")) for n, text in named if text.endswith(".")]  # the last sign tells that it is whole
+
+    def current(self) -> str | None:
+        for n in reversed([x for x in self.files.names(COMMITS) if x.isdigit()]):
+            if (text := (self.files.text(f"{COMMITS}/{n}") or "").strip()).endswith("."):
+                return text.removesuffix(".")
+        return None
 
     def read(self) -> Catalog:
         version = self.current()
-        if version is None:
-            return Catalog(**{name: self.spark.createDataFrame([], kind) for name, kind in TABLES.items()})
-        return Catalog(**{name: self.spark.read.schema(kind).parquet(f"{self.folder}/{version}/{name}") for name, kind in TABLES.items()})
+        return Catalog(**{name: self._table(version, name, kind) for name, kind in TABLES.items()})
+
+    def _table(self, version: str | None, name: str, kind: str) -> DataFrame:
+        if version is None or not self.files.exists(f"{version}/{name}"):
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(f"{self.folder}/{version}/{name}")
 
-    def write(self, catalog: Catalog) -> str:
+    def extra(self, name: str) -> str | None:
+        """Folder of what was written with the current version beside its tables."""
+        version = self.current()
+        return f"{self.folder}/{version}/{name}" if version and self.files.exists(f"{version}/{name}") else None
+
+    def write(self, catalog: Catalog, **extras) -> str:
+        """Writes a version and commits it. extras: name -> function that writes something of its own into a folder."""
+        last = max([int(x) for x in self.files.names(COMMITS) if x.isdigit()], default=0)
         version = f"v{VERSION}-{uuid.uuid4().hex[:12]}"
         for name, table in catalog.each():
             table.select(*[c.split()[0] for c in _columns(TABLES[name])]).write.parquet(f"{self.folder}/{version}/{name}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{POINTER}")
+        for name, write in extras.items():
+            write(f"{self.folder}/{version}/{name}")
+        self.files.create(f"{COMMITS}/{last + 1:010d}", f"{version}.")
         return version
 
+    def prune(self, keep: int = 2) -> None:
+        """Deletes all versions but those of the last commits; none of them may still be read."""
+        for n, version in self.commits()[:-keep]:
+            self.files.delete(f"{COMMITS}/{n:010d}")
+            self.files.delete(version)
+
 
 def _columns(kind: str) -> list[str]:
     out, depth, start = [], 0, 0

@@ -3,32 +3,52 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import ignored
+from ..functions.paths import gitignored, ignored
+from ..sources.snapshot import HadoopFolder
 
 LOG = logging.getLogger(__name__)
+Rules = Sequence[tuple[str, bool]]
 
 
-def accepted(events: DataFrame, patterns: tuple[str, ...] = (), only_md: bool = True) -> DataFrame:
-    """Events of Markdown files that no rule ignores, whatever their kind."""
-    keep = ~ignored(F.col("path"), patterns)
+def accepted(events: DataFrame, patterns: tuple[str, ...] = (), rules: Rules = (), only_md: bool = True) -> DataFrame:
+    """Events of Markdown files that no pattern ignores and no .gitignore rule, whatever their kind."""
+    keep = ~ignored(F.col("path"), patterns) & ~gitignored(F.col("path"), list(rules))
     return events.where(keep & F.col("path").endswith(".md") if only_md else keep)
 
 
-def debounce(events: DataFrame, gap: str = "60 seconds", watermark: str | None = None) -> DataFrame:
-    """session_start, session_end, n_events, n_paths: one batch per quiet period of all events together.
+def sessions(events: DataFrame, gap: int = 60) -> DataFrame:
+    """slot, session_start, session_end, n_events: which quiet-bounded session of all events each slot of gap seconds lies in.
 
-    The session is global by its meaning; partial aggregation merges sessions before the exchange, so what meets is a row
-    per session and input task.
+    Events of one slot are never parted by a gap, so slots are counted first (combined before the shuffle), and only one
+    row per slot in which anything happened meets in a single task: as many as the time span has slots, however many events.
     """
-    if watermark:
-        events = events.withWatermark("ts", watermark)
-    s = events.groupBy(F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n_events"), F.approx_count_distinct("path").alias("n_paths") if events.isStreaming else F.count_distinct("path").alias("n_paths"))
-    return s.select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_events", "n_paths")
+    micros = F.unix_micros("ts")
+    slots = events.select(F.floor(micros / F.lit(gap * 1_000_000)).alias("slot"), micros.alias("at")).where(F.col("at").isNotNull())
+    slots = slots.groupBy("slot").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy("slot")
+    fresh = F.when(F.col("first") - F.lag("last").over(order) <= gap * 1_000_000, 0).otherwise(1)
+    numbered = slots.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("session")
+    at = lambda c: F.timestamp_micros(c)
+    return numbered.select("slot", at(F.min("first").over(whole)).alias("session_start"), at(F.max("last").over(whole) + gap * 1_000_000).alias("session_end"), F.sum("n").over(whole).alias("n_events"))
+
+
+def batches(events: DataFrame, gap: int = 60) -> DataFrame:
+    """session_start, path: the distinct paths of each session."""
+    seen = events.select(F.floor(F.unix_micros("ts") / F.lit(gap * 1_000_000)).alias("slot"), "path").distinct()
+    return seen.join(sessions(events, gap).select("slot", "session_start"), "slot").select("session_start", "path").distinct()
+
+
+def debounce(events: DataFrame, gap: int = 60) -> DataFrame:
+    """session_start, session_end, n_events, n_paths: one batch per quiet period of all events together."""
+    whole = sessions(events, gap).drop("slot").distinct()
+    paths = batches(events, gap).groupBy("session_start").agg(F.count("path").alias("n_paths"))
+    return whole.join(paths, "session_start", "left").select("session_start", "session_end", "n_events", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
 
 
 def reconcile_ticks(events: DataFrame, every: str = "600 seconds") -> DataFrame:
@@ -51,15 +71,60 @@ def classify(changed: DataFrame, on_disk: DataFrame, indexed: DataFrame) -> Data
     return both.select("path", change.alias("change")).where("change IS NOT NULL")
 
 
-def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, patterns: tuple[str, ...] = (), available_now: bool = True, every: str = "1 second"):
-    """A streaming query that hands each micro-batch's distinct changed paths to apply; a failing batch is logged and the
-    stream goes on. Delivery state is checkpointed, so a restart loses nothing."""
+def quiet_paths(events: DataFrame, gap: str, late: str) -> DataFrame:
+    """path, until: paths that no event has touched for gap. Sessions are kept by path, so the state is dealt over all
+    tasks and a busy path holds no other back; late is what events may come late by."""
+    s = events.withWatermark("ts", late).groupBy("path", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return s.select("path", F.col("s.end").alias("until"))
+
+
+def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, patterns: tuple[str, ...] = (), rules: Rules = (), gap: str | None = None, late: str = "0 seconds", tries: int = 3, available_now: bool = True, every: str = "1 second"):
+    """A streaming query that hands each micro-batch's distinct changed paths to apply (with a gap: once they are quiet).
+
+    A batch that fails is tried again, then its paths are kept beside the checkpoint and come again with the next batch,
+    until one succeeds; the stream goes on. Delivery state is checkpointed, so a restart loses nothing; a batch may come
+    twice, and applying it is idempotent.
+    """
+    late_paths = f"{checkpoint.rstrip('/')}-failed"
+    kept = HadoopFolder(events.sparkSession, late_paths)
+    chosen = accepted(events, patterns, rules)
+    chosen = chosen.select("path") if gap is None else quiet_paths(chosen, gap, late).select("path")
 
     def batch(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        left = [n for n in kept.names("") if n.startswith("epoch-")]
+        paths = df.select("path")
+        for n in left:
+            paths = paths.unionByName(spark.read.schema("path string").parquet(f"{late_paths}/{n}"))
+        paths = paths.distinct().persist()
         try:
-            apply(accepted(df, patterns).select("path").distinct(), epoch)
+            for tried in range(1, tries + 1):
+                try:
+                    if not paths.isEmpty():
+                        apply(paths, epoch)
+                    break
+                except Exception:
+                    LOG.exception("batch %s failed, try %s of %s", epoch, tried, tries)
+            else:
+                paths.write.mode("overwrite").parquet(f"{late_paths}/epoch-{epoch}")
+                left = [n for n in left if n != f"epoch-{epoch}"]
+            for n in left:
+                kept.delete(n)
+        finally:
+            paths.unpersist()
+
+    writer = chosen.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+
+
+def ticks(spark: SparkSession, act: Callable[[], object], checkpoint: str, every: str):
+    """A streaming query that acts once every so often; a failure is logged, and the next tick heals it."""
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        try:
+            act()
         except Exception:
-            LOG.exception("batch %s failed", epoch)
+            LOG.exception("tick %s failed", epoch)
 
-    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return rate.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -9,6 +9,7 @@ from quillspark.config import Config
 from quillspark.errors import NotFound
 from quillspark.operators import search
 from quillspark.service import CatalogService
+from quillspark.sources.snapshot import SnapshotStore
 
 FILES = {
     "metrics/revenue.md": "---\ntype: Metric\ntitle: Monthly Revenue\ntags: [finance]\nowner: Ann\n---\n# Definition\n\nRevenue of a month from [orders](../datasets/orders.md#x).\n\n## Calculation\n\nSum.\n",
@@ -41,6 +42,60 @@ def test_rescan_sees_edits(service, spark):
     assert service.catalog.links.count() == 5
 
 
+def test_index_is_stored_and_follows(service, spark):
+    """The stored index of a snapshot that came by steps is that of all its documents."""
+    folder = service.store.extra("index_stemmed")
+    assert folder and service.index.terms is not None
+    rows = lambda i: sorted(tuple(r) for r in i.tokens.select("path", "field", "pos", "term").collect())
+    built = search.build_index(search.searchable(service.catalog))
+    assert rows(service.index) == rows(built) and tuple(service.index.totals.select("n", "avgdl").head()) == tuple(built.totals.head())
+    plan = search.score_query(service.index, "revenue")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [(part" in plan, plan
+
+
+def test_watch_applies_events(service, spark, tmp_path):
+    root = service.config.roots[0]
+    with open(f"{root}/late.md", "w") as f:
+        f.write("---\ntype: Note\n---\nlatecomer [x](index.md)\n")
+    with open(f"{root}/unseen.tmp.md", "w") as f:
+        f.write("x")
+    with open(f"{root}/.gitignore", "w") as f:
+        f.write("unseen*\n")
+    events = spark.createDataFrame([("2024-01-01 00:00:00", "late.md"), ("2024-01-01 00:00:01", "bad.md"), ("2024-01-01 00:00:01", "unseen.tmp.md")], "ts string, path string").selectExpr("CAST(ts AS timestamp) AS ts", "path", "'modify' AS kind")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, path string, kind string").parquet(str(tmp_path / "in"))
+    service.watch(str(tmp_path / "cp"), stream, available_now=True).awaitTermination(100)
+    assert service.document_exists("late.md") and not service.document_exists("unseen.tmp.md")
+    assert service.search("latecomer")["total_matches"] == 1
+    for name in ("late.md", "unseen.tmp.md", ".gitignore"):
+        os.remove(f"{root}/{name}")
+    service.apply_paths(spark.createDataFrame([("late.md",)], "path string"))
+    assert service.search("latecomer")["total_matches"] == 0 and service.get_stats()["document_count"] == 5
+
+
+def test_a_broken_commit_changes_nothing(service, spark):
+    store, before = service.store, service.store.current()
+    store.files.create("_commits/0000009999", "v3-half")
+    assert store.current() == before and store.read().documents.count() == 5
+    with pytest.raises(Exception, match="(?i)exist"):
+        store.files.create("_commits/0000009999", "x.")
+    store.files.delete("_commits/0000009999")
+    store.prune(keep=1)
+    assert store.current() == before and len(store.commits()) == 1 and store.read().documents.count() == 5
+
+
+def test_older_snapshots_are_read(spark, tmp_path):
+    """A version without newer tables and columns: nulls and empty tables."""
+    store = SnapshotStore(spark, str(tmp_path))
+    assert store.read().documents.count() == 0
+    spark.createDataFrame([("a.md", "t")], "path string, title string").write.parquet(f"{tmp_path}/v1-x/documents")
+    store.files.create("_commits/0000000001", "v1-x.")
+    old = store.read()
+    assert old.documents.select("path", "content_hash").collect() == [("a.md", None)] and old.sections.count() == 0
+    store.write(old)
+    assert store.current().startswith("v3-") and store.read().documents.count() == 1
+
+
 def test_answers(service):
     assert service.get_document("metrics/revenue.md", ["metadata", "links", "backlinks", "headings"])["custom"] == {"owner": "Ann"}
     assert service.get_section("metrics/revenue.md", "calc")["content"] == "Sum."

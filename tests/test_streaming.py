@@ -11,3 +11,28 @@ def test_stream_delivers_each_path_once(spark, tmp_path):
     q.awaitTermination(60)
     assert sorted(seen) == ["a.md", "b.md"]
     assert watch.debounce(watch.accepted(events)).count() == 2
+
+
+def test_a_failing_batch_comes_again(spark, tmp_path):
+    row = lambda path, at: spark.createDataFrame([(at, path, "modify")], "ts string, path string, kind string").selectExpr("CAST(ts AS timestamp) AS ts", "path", "kind")
+    source, tries, seen = str(tmp_path / "in"), [], []
+
+    def apply(df, epoch):
+        tries.append(epoch)
+        if len(tries) <= 2:
+            raise OSError("store is away")
+        seen.append(sorted(r[0] for r in df.collect()))
+
+    for path, at in (("a.md", "2024-01-01 00:00:00"), ("b.md", "2024-01-01 00:00:09")):
+        row(path, at).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("ts timestamp, path string, kind string").parquet(source)
+        watch.watch(stream, apply, str(tmp_path / "cp"), tries=2).awaitTermination(60)
+    assert seen == [["a.md", "b.md"]] and len(tries) == 3
+
+
+def test_sessions_meet_as_slots(spark):
+    """Only slots, not events, come together in one task."""
+    events = spark.range(5000).selectExpr("timestamp_seconds(id * 7 + (id div 100) * 1000) AS ts", "concat('p', id % 30, '.md') AS path")
+    got = watch.debounce(events).collect()
+    assert len(got) == 50 and {r["n_events"] for r in got} == {100} and {r["n_paths"] for r in got} == {30}
+    assert watch.debounce(events.where("false")).count() == 0
