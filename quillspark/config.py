@@ -11,6 +11,8 @@ from .errors import ConfigError
 
 @dataclass(frozen=True)
 class Config:
+    """Limits, excluded folders, field weights and BM25's parameters."""
+
     roots: tuple[str, ...] = ()
     store: str = "catalog"
     max_file_size: int = 2 << 20

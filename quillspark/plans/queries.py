@@ -130,7 +130,7 @@ def export_flat(spark, sf):
     return out.select("path", "x.title", "x.type", "x.file_size", F.size("x.tags").cast("long").alias("n_tags"))
 
 
-@query()
+@query(LINKS + "SELECT path, CAST(damerau_levenshtein(path, 'custmoer/12.md') AS INT) AS distance FROM nodes WHERE damerau_levenshtein(path, 'custmoer/12.md') <= 3 AND path <> 'custmoer/12.md' ORDER BY 2, 1 LIMIT 4")
 def suggest_paths(spark, sf):
     return document.suggestions(graph_catalog(spark, sf), "custmoer/12.md")
 
@@ -231,7 +231,7 @@ def _term(t: str) -> str:
 _INDEXES: dict[tuple, search.Index] = {}
 
 
-def _index(spark, sf):
+def document_index(spark, sf):
     """The index of the document catalog: stored once a session where the session names a shared folder."""
     index = search.build_index(search.searchable(document_catalog(spark, sf)), use_stem=False, ascii_only=True)
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -244,17 +244,17 @@ def _index(spark, sf):
 
 
 def _scored(spark, sf, q, **kw):
-    return search.score_query(_index(spark, sf), q, **kw).select("path", F.round("score", 6).alias("score"))
+    return search.score_query(document_index(spark, sf), q, **kw).select("path", F.round("score", 6).alias("score"))
 
 
 @query(TOKENS + " SELECT term, path, field, count(*) AS tf FROM toks GROUP BY 1, 2, 3")
 def postings(spark, sf):
-    return search.postings(_index(spark, sf))
+    return search.postings(document_index(spark, sf))
 
 
 @query(TOKENS + " SELECT term, count(DISTINCT path) AS df, count(*) AS cnt FROM toks GROUP BY 1 ORDER BY df DESC, term LIMIT 50000")
 def vocabulary(spark, sf):
-    return search.vocabulary(_index(spark, sf))
+    return search.vocabulary(document_index(spark, sf))
 
 
 @query(_bm25({0: _term("apache")}, "p0"))
@@ -300,14 +300,14 @@ def bm25_weights_title(spark, sf):
 @query(_bm25({0: _term("license")}, "p0", "AND path IN (SELECT path FROM docs WHERE type = 'Metric' AND starts_with(parent_path, 'docs/src1/')) AND path IN (SELECT path FROM tags WHERE tag IN ('en', 'fr'))"))
 def search_filtered(spark, sf):
     c = document_catalog(spark, sf)
-    hits = search.apply_filters(c, search.score_query(_index(spark, sf), "license"), "docs/src1/", ["Metric"], ["en", "fr", ""])
+    hits = search.apply_filters(c, search.score_query(document_index(spark, sf), "license"), "docs/src1/", ["Metric"], ["en", "fr", ""])
     return hits.select("path", F.round("score", 6).alias("score"))
 
 
 @query("SELECT path, score, split_part(body, '.', 1) AS outline FROM (" + _bm25({0: _term("license")}, "p0") + ") JOIN (WITH " + SQL_DOCS + " SELECT path, body FROM docs) USING (path) ORDER BY score DESC, path LIMIT 20")
 def search_topk_outline(spark, sf):
     c = document_catalog(spark, sf)
-    page = search.score_query(_index(spark, sf), "license").select("path", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "path").limit(20)
+    page = search.score_query(document_index(spark, sf), "license").select("path", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "path").limit(20)
     return page.join(document.outline(c, 1, 1), "path", "left").select("path", "score", F.array_join("outline", " ").alias("outline"))
 
 
@@ -344,29 +344,35 @@ near AS (SELECT token, term, df, levenshtein(token, term) AS d, CASE WHEN length
 SELECT token, term FROM near WHERE d <= most QUALIFY row_number() OVER (PARTITION BY token ORDER BY d, df DESC, term) = 1""")
 def typo_correct(spark, sf):
     words = spark.createDataFrame([(w,) for w in WRONG], "token string")
-    return search.correct_tokens(search.vocabulary(_index(spark, sf)), words)
+    return search.correct_tokens(search.vocabulary(document_index(spark, sf)), words)
 
 
 @query(_bm25({0: _term("apache")}, "p0", "ORDER BY score DESC, path LIMIT 10"))
 def typo_search(spark, sf):
     c = document_catalog(spark, sf)
-    found = search.search(c, _index(spark, sf), "apachee", limit=10)
+    found = search.search(c, document_index(spark, sf), "apachee", limit=10)
     return spark.createDataFrame([(r["path"], round(r["score"], 6)) for r in found["results"]], "path string, score double")
 
 
-@query()
+@query(TOKENS + """, it AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9]{9,}')) AS term FROM benchmark),
+df AS (SELECT term, count(DISTINCT path) AS df FROM toks GROUP BY 1), hit AS (SELECT DISTINCT query, path, term, df FROM it JOIN df USING (term) JOIN toks USING (term)),
+sc AS (SELECT query, path, count(*) AS m, round(sum(ln(n::DOUBLE / df)), 6) AS score FROM hit, tot GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS rank FROM sc),
+need AS (SELECT query, count(*) AS n FROM it GROUP BY 1), judged AS (SELECT query, path, rank FROM rk JOIN need USING (query) WHERE m = n),
+per AS (SELECT query, count(*) AS n, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, min(rank) AS first FROM judged GROUP BY 1)
+SELECT round(avg(h5 / n), 9) AS recall_5, round(avg(h10 / n), 9) AS recall_10, round(avg(CASE WHEN first <= 10 THEN 1 / first ELSE 0 END), 9) AS mrr_10, round(avg((h10 = 0)::INT::DOUBLE), 9) AS zero_evidence_rate FROM per""")
 def eval_recall_mrr(spark, sf):
-    """Benchmark items as queries: do the documents that quote an item's first words come first?"""
-    c = document_catalog(spark, sf)
+    """Benchmark items as queries: do the documents that hold all of an item's long words come first?"""
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "path")
-    tokens = _index(spark, sf)
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{9,}"), F.lit(0)), 1, 3)).alias("term")).distinct()
-    df = tokens.tokens.groupBy("term").agg(F.count_distinct("path").alias("df"))
+    tokens = document_index(spark, sf)
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{9,}"), F.lit(0))).alias("term")).distinct()
+    df = search.term_counts(tokens) if tokens.terms is None else tokens.terms
     hits = items.join(df, "term").join(tokens.tokens.select("term", "path").distinct(), "term")
-    scored = hits.crossJoin(tokens.totals).groupBy("query", "path").agg(F.sum(F.log(F.col("n") / F.col("df"))).alias("score"))
+    scored = hits.crossJoin(tokens.totals).groupBy("query", "path").agg(F.round(F.sum(F.log(F.col("n") / F.col("df"))), 6).alias("score"), F.count(F.lit(1)).alias("m"))
     ranked = scored.withColumn("rank", F.row_number().over(rank)).where("rank <= 10").select("query", "path", "rank")
-    judged = items.groupBy("query").agg(F.count(F.lit(1)).alias("n")).join(hits.groupBy("query", "path").agg(F.count(F.lit(1)).alias("m")), "query").where("m = n").select("query", "path")
-    return evaluate.evaluate(ranked, judged)
+    needed = items.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    judged = scored.join(needed, "query").where("m = n").select("query", "path")
+    found = evaluate.evaluate(ranked, judged)
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
 
 
 # --- graph ----------------------------------------------------------------------------------------------------------
@@ -630,7 +636,7 @@ def val_dup_members(spark, sf):
 
 
 @query(_VAL + " SELECT DISTINCT parent_path AS path FROM al WHERE parent_path NOT IN (SELECT parent_path FROM al WHERE path LIKE '%/index.md')")
-def val_missing_index(spark, sf):
+def val_missingdocument_index(spark, sf):
     return validate.check_index_files(_val_catalog(spark, sf)).select("path")
 
 
@@ -674,11 +680,15 @@ def change_detect(spark, sf):
     return changes.detect_changes(*_snapshots(spark, sf))
 
 
-@query(f"SELECT count(*) FILTER (change = 'added') AS files_added, count(*) FILTER (change = 'modified') AS files_modified, count(*) FILTER (change = 'deleted') AS files_deleted, count(*) FILTER (change = 'unchanged') AS files_unchanged, CAST(0 AS BIGINT) AS parse_failures, CAST(0 AS BIGINT) AS parse_partial, CAST(0 AS BIGINT) AS total_links, CAST(0 AS BIGINT) AS broken_links FROM ({_CHG})")
+@query(f"""SELECT count(*) FILTER (change = 'added') AS files_added, count(*) FILTER (change = 'modified') AS files_modified, count(*) FILTER (change = 'deleted') AS files_deleted, count(*) FILTER (change = 'unchanged') AS files_unchanged,
+count(*) FILTER (hit AND k % 17 = 0) AS parse_failures, count(*) FILTER (hit AND k % 17 = 1) AS parse_partial, CAST(coalesce(sum(k % 4) FILTER (hit), 0) AS BIGINT) AS total_links, CAST(coalesce(sum((k % 4 > 0 AND k % 3 = 0)::INT + (k % 4 > 1 AND (k + 1) % 3 = 0)::INT + (k % 4 > 2 AND (k + 2) % 3 = 0)::INT) FILTER (hit), 0) AS BIGINT) AS broken_links
+FROM (SELECT *, change IN ('added', 'modified') AS hit, CAST(regexp_extract(path, '[0-9]+') AS BIGINT) AS k FROM ({_CHG}))""")
 def change_summary(spark, sf):
-    found = changes.detect_changes(*_snapshots(spark, sf))
-    docs = spark.createDataFrame([], "path string, parse_status string")
-    return changes.summarize(found, docs, spark.createDataFrame([], "src string, exists boolean"))
+    now, before = _snapshots(spark, sf)
+    k = F.regexp_extract("path", "[0-9]+", 0).cast("long")
+    docs = now.select("path", F.when(k % 17 == 0, "failed").when(k % 17 == 1, "partial").otherwise("ok").alias("parse_status"))
+    links = now.select(F.col("path").alias("src"), k.alias("k"), F.explode(F.expr("filter(array(0L, 1L, 2L), i -> i < cast(regexp_extract(path, '[0-9]+', 0) AS long) % 4)")).alias("i"))
+    return changes.summarize(changes.detect_changes(now, before), docs, links.select("src", ((F.col("k") + F.col("i")) % 3 != 0).alias("exists")))
 
 
 @query(DOCS + "SELECT path, CASE WHEN type = 'Policy' THEN 'new' ELSE title END AS title FROM docs WHERE type <> 'Guide'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import gitignored, ignored
@@ -27,20 +27,24 @@ def sessions(events: DataFrame, gap: int = 60) -> DataFrame:
     Events of one slot are never parted by a gap, so slots are counted first (combined before the shuffle), and only one
     row per slot in which anything happened meets in a single task: as many as the time span has slots, however many events.
     """
-    micros = F.unix_micros("ts")
-    slots = events.select(F.floor(micros / F.lit(gap * 1_000_000)).alias("slot"), micros.alias("at")).where(F.col("at").isNotNull())
-    slots = slots.groupBy("slot").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
+    wide = gap * 1_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slots = events.where(F.col("ts").isNotNull()).groupBy(_slot(gap).alias("slot")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
     order = Window.orderBy("slot")
-    fresh = F.when(F.col("first") - F.lag("last").over(order) <= gap * 1_000_000, 0).otherwise(1)
-    numbered = slots.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    slots = slots.withColumn("near", micros("first") - F.lag(micros("last")).over(order) <= wide)
+    numbered = slots.withColumn("session", F.sum(F.when(F.col("near"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("session")
-    at = lambda c: F.timestamp_micros(c)
-    return numbered.select("slot", at(F.min("first").over(whole)).alias("session_start"), at(F.max("last").over(whole) + gap * 1_000_000).alias("session_end"), F.sum("n").over(whole).alias("n_events"))
+    end = F.max("last").over(whole) + F.expr(f"INTERVAL {gap} SECONDS")
+    return numbered.select("slot", F.min("first").over(whole).alias("session_start"), end.alias("session_end"), F.sum("n").over(whole).alias("n_events"))
+
+
+def _slot(gap: int) -> Column:
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(gap * 1_000_000))
 
 
 def batches(events: DataFrame, gap: int = 60) -> DataFrame:
     """session_start, path: the distinct paths of each session."""
-    seen = events.select(F.floor(F.unix_micros("ts") / F.lit(gap * 1_000_000)).alias("slot"), "path").distinct()
+    seen = events.select(_slot(gap).alias("slot"), "path").distinct()
     return seen.join(sessions(events, gap).select("slot", "session_start"), "slot").select("session_start", "path").distinct()
 
 
