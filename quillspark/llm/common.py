@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,17 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORD_CACHE = 400_000
 
 
+#: Scratch tables that this process has written, in order.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a single machine
+    (tests), and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quill-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
@@ -34,9 +42,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path, compression="zstd")
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """written(make()), without the scratch tables that making it took."""
+    before = len(_MADE)
+    out = written(make(), label)
+    spark = out.sparkSession
+    for name in _MADE[before:-1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _MADE[before:-1]
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes scratch tables that no later plan reads."""
     for table in tables:
