@@ -139,7 +139,7 @@ def _placed(rows: DataFrame, weights: dict | None, block_docs: int) -> DataFrame
     table = rows.sparkSession.createDataFrame(list(by_source.items()), f"name string, phases {phases}")
 
     near = Window.partitionBy("name", "part").orderBy("h")
-    ranked = rows.withColumn("r", F.row_number().over(near)).join(counts.select("name", "part", "before"), ["name", "part"])
+    ranked = rows.withColumn("r", F.row_number().over(near)).join(counts.select("name", "part", "before").hint("merge"), ["name", "part"])  # both are dealt by it
     rank = F.col("before") + F.col("r") - 1
     ranked = ranked.select("id", "source", "name", "h", F.floor(rank / block_docs).alias("block"), (rank % block_docs).cast("long").alias("place"))
     size = 8 * sum(len(p[-1]) for p in plan)
