@@ -18,6 +18,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORD_CACHE = 400_000
 
 
+#: Keys of rows (about 100 bytes each) that are broadcast at most.
+BROADCAST_KEYS = 200_000
 #: Scratch tables that this process has written, in order.
 _MADE: list[str] = []
 
@@ -93,12 +95,23 @@ def row_key(docs: DataFrame, *columns: str) -> Column:
     return F.concat(F.coalesce(name, F.lit("\U0010ffff")), *prints)
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """A written table of keys, broadcast where it has so few that each executor can hold them; whole texts are then not
+    shuffled. More keys are joined by merging."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+
+
 def drop_keys(docs: DataFrame, key: Column, gone: DataFrame, again: DataFrame | None = None) -> DataFrame:
     """docs without the rows whose key is in gone(key), and with one row for each key in again(key); all columns stay."""
-    if again is None or again.isEmpty():
-        return docs.join(gone.select(F.col("key").alias("_gone_key")).distinct(), key == F.col("_gone_key"), "left_anti")
-    rest = drop_keys(docs, key, gone.unionByName(again))
-    twice = docs.withColumn("_row_key", key).join(again.select(F.col("key").alias("_row_key")), "_row_key", "left_semi")
+    if again is not None and again.isEmpty():
+        again = None
+    names = gone if again is None else gone.unionByName(again)
+    names = _sized(written(names.select(F.col("key").alias("_gone_key")).distinct(), "gone"))
+    rest = docs.join(names, key == F.col("_gone_key"), "left_anti")
+    if again is None:
+        return rest
+    names = _sized(written(again.select(F.col("key").alias("_row_key")).distinct(), "again"))
+    twice = docs.withColumn("_row_key", key).join(names, "_row_key", "left_semi")
     return rest.unionByName(twice.dropDuplicates(["_row_key"]).drop("_row_key"))
 
 

@@ -1,6 +1,8 @@
 import duckdb
+import pytest
 
 import corpus_pipeline
+from quillspark.llm import common
 from quillspark.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_operators import ODD, SF, brute_groups, docs
 
@@ -23,8 +25,11 @@ def test_stages_survive_odd_rows(spark):
         assert stage(spark, d.where("false"), SF).count() == 0
 
 
-def test_stages_drop_rows_not_ids(spark):
-    """Null and repeated ids: of the rows of one id only those go that have to, and equal rows are copies."""
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_stages_drop_rows_not_ids(spark, monkeypatch, most):
+    """Null and repeated ids: of the rows of one id only those go that have to, and equal rows are copies; the same
+    whether keys are broadcast or merged."""
+    monkeypatch.setattr(common, "BROADCAST_KEYS", most)
     say = lambda seed: " ".join(f"the {seed}{i} of and that with" for i in range(12))
     kind = "doc_id long, text string, lang string, source string"
     left = lambda n, rows: sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.STAGES[n][1](spark, spark.createDataFrame([(i, t, "en", "s") for i, t in rows], kind), SF).collect()), key=str)
