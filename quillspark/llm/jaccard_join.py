@@ -388,11 +388,13 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.min("h").alias("h"))
     classes = written(classes, "classes")
 
-    # a list is worth reading where two classes are in it; m counts a class once a task at most, so 2 means two classes
-    postings = written(_postings(docs, k, light, sim, sketch), "postings")
-    lists = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot <> last").drop("last"), "lists")
-    members = written(postings.join(lists, "key").dropDuplicates(["key", "cls"]), "members")
-    discard(postings, lists)
+    # a list is worth reading where two classes are in it; m counts a class once a task at most, so 2 means two classes.
+    # Entries are dealt by key once: the lists are counted where they lie, and joined from the same exchange, for which
+    # both sides must read all columns.
+    entries = _postings(docs, k, light, sim, sketch).repartition("key")
+    lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("pivot"), F.max("cls").alias("last"), F.max("n").alias("most"))
+    lists = lists.where("pivot <> last AND most > 0").drop("last", "most").hint("merge")
+    members = written(entries.join(lists, "key").dropDuplicates(["key", "cls"]), "members")
 
     # Lists of two are settled by their pair. Else a class first meets the pivot that it has most lists in common with.
     met = members.where("cls <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("m"))
