@@ -18,8 +18,10 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORD_CACHE = 400_000
 
 
-#: Keys of rows (about 100 bytes each) that are broadcast at most.
-BROADCAST_KEYS = 200_000
+#: Bits of the map that says which rows may have to go: 8 MB on each executor, whatever the corpus.
+MAP_BITS = 26
+#: Bits in one piece of the map (what bitmap_construct_agg gives).
+_PIECE = 15
 #: Scratch tables that this process has written, in order.
 _MADE: list[str] = []
 
@@ -95,24 +97,35 @@ def row_key(docs: DataFrame, *columns: str) -> Column:
     return F.concat(F.coalesce(name, F.lit("\U0010ffff")), *prints)
 
 
-def _sized(keys: DataFrame) -> DataFrame:
-    """A written table of keys, broadcast where it has so few that each executor can hold them; whole texts are then not
-    shuffled. More keys are joined by merging."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+def _marked(docs: DataFrame, key: Column, names: DataFrame) -> DataFrame:
+    """docs with _row_key and _may, which is false only where the key is not in names(_row_key)."""
+    at = F.xxhash64("_row_key").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    piece, bit = F.shiftright(at, _PIECE), at.bitwiseAND(F.lit((1 << _PIECE) - 1))
+    bits = names.groupBy(piece.alias("_piece")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    own = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1, F.lit(False))
+    rows = docs.withColumn("_row_key", key).withColumn("_piece", piece)
+    return rows.join(F.broadcast(bits), "_piece", "left").withColumn("_may", own).drop("_piece", "_bits")
 
 
 def drop_keys(docs: DataFrame, key: Column, gone: DataFrame, again: DataFrame | None = None) -> DataFrame:
-    """docs without the rows whose key is in gone(key), and with one row for each key in again(key); all columns stay."""
+    """docs without the rows whose key is in gone(key), and with one row for each key in again(key); all columns stay.
+
+    A map of fixed size, broadcast, says which rows may have to go; only their texts are shuffled, to be joined with
+    the keys themselves. So the same plan serves every size: what is shuffled are the rows that go and those that
+    share their bits, which are few up to some 2**MAP_BITS / 8 keys and in the end all rows.
+    """
     if again is not None and again.isEmpty():
         again = None
     names = gone if again is None else gone.unionByName(again)
-    names = _sized(written(names.select(F.col("key").alias("_gone_key")).distinct(), "gone"))
-    rest = docs.join(names, key == F.col("_gone_key"), "left_anti")
-    if again is None:
-        return rest
-    names = _sized(written(again.select(F.col("key").alias("_row_key")).distinct(), "again"))
-    twice = docs.withColumn("_row_key", key).join(names, "_row_key", "left_semi")
-    return rest.unionByName(twice.dropDuplicates(["_row_key"]).drop("_row_key"))
+    names = written(names.select(F.col("key").alias("_row_key")).distinct(), "gone")
+    rows = _marked(docs, key, names)
+    kept = rows.where("NOT _may").unionByName(rows.where("_may").join(names.hint("merge"), "_row_key", "left_anti"))
+    if again is not None:
+        names = written(again.select(F.col("key").alias("_row_key")).distinct(), "again")
+        one = rows.where("_may").dropDuplicates(["_row_key"])  # before the join, so copies are dropped ahead of the shuffle
+        kept = kept.unionByName(one.join(names.hint("merge"), "_row_key", "left_semi"))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_ones(docs: DataFrame, key: Column, found: DataFrame, label: str) -> DataFrame:

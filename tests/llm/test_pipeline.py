@@ -25,11 +25,11 @@ def test_stages_survive_odd_rows(spark):
         assert stage(spark, d.where("false"), SF).count() == 0
 
 
-@pytest.mark.parametrize("most", [0, 200_000])
-def test_stages_drop_rows_not_ids(spark, monkeypatch, most):
+@pytest.mark.parametrize("bits", [0, 1, common.MAP_BITS])
+def test_stages_drop_rows_not_ids(spark, monkeypatch, bits):
     """Null and repeated ids: of the rows of one id only those go that have to, and equal rows are copies; the same
-    whether keys are broadcast or merged."""
-    monkeypatch.setattr(common, "BROADCAST_KEYS", most)
+    whether the map of rows that may go is full or hardly filled."""
+    monkeypatch.setattr(common, "MAP_BITS", bits)
     say = lambda seed: " ".join(f"the {seed}{i} of and that with" for i in range(12))
     kind = "doc_id long, text string, lang string, source string"
     left = lambda n, rows: sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.STAGES[n][1](spark, spark.createDataFrame([(i, t, "en", "s") for i, t in rows], kind), SF).collect()), key=str)
@@ -43,6 +43,21 @@ def test_stages_drop_rows_not_ids(spark, monkeypatch, most):
     assert left(3, [(None, a), (None, leak), (7, b), (7, leak)]) == want((None, a), (7, b))
 
 
+@pytest.mark.parametrize("bits", [6, 18, common.MAP_BITS])
+def test_drop_keys_against_sets(spark, monkeypatch, bits):
+    """Every bit position and piece of the map is read where it was set: exactly the named rows go."""
+    monkeypatch.setattr(common, "MAP_BITS", bits)
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    key = common.row_key(docs, "text")
+    named = lambda which: docs.where(which).select(key.alias("key"))
+    got = common.drop_keys(docs, key, named("doc_id % 7 = 0"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i in range(20_000) if i % 7]
+    twice = docs.unionByName(docs)
+    got = common.drop_keys(twice, key, named("doc_id % 7 = 0"), named("doc_id % 7 = 1"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted([i for i in range(20_000) if i % 7 > 1] * 2 + [i for i in range(20_000) if i % 7 == 1])
+    assert common.drop_keys(docs, key, named("false")).count() == 20_000
+
+
 def test_oracles(spark):
     con = duckdb.connect()
     for t in ("documents", "pages"):
