@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, discard, keep_ones, lookup_spread, mix, row_key, shingle_set, summed, written
@@ -32,6 +32,8 @@ SKETCH_BITS = 20
 WANTED_BITS = 23
 #: No set larger than this is joined by subsets.
 LIGHT_MOST = 40
+#: List entries that a task hands on at a time.
+ENTRIES = 100_000
 #: Members of a list that meet in one tile.
 TILE = 512
 #: Classes that are verified against one other in one group.
@@ -137,10 +139,14 @@ def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, sketch = WordHash(), np.zeros(width, np.uint32)
         for b in batches:
-            sets = [shingle_set(t, k, seen) for t in b["text"]]
-            for a in sets:
+            classes, sizes, bins = [], [], []
+            for text in b["text"]:  # one set at a time, so a batch's sets are not all held
+                a = shingle_set(text, k, seen)
                 np.add.at(sketch, (a & np.uint64(width - 1)).astype(np.int64), np.uint32(1))
-            yield pd.DataFrame({"id": b["id"], "h": b["h"], "cls": pd.array([class_id(a) if len(a) else None for a in sets], "Int64"), "n": [len(a) for a in sets], "bins": [set_digest(a) if len(a) else None for a in sets], "sketch": None})
+                classes.append(class_id(a) if len(a) else None)
+                sizes.append(len(a))
+                bins.append(set_digest(a) if len(a) else None)
+            yield pd.DataFrame({"id": b["id"], "h": b["h"], "cls": pd.array(classes, "Int64"), "n": sizes, "bins": bins, "sketch": None})
         if sketch.any():
             yield pd.DataFrame({"id": [None], "h": [0], "cls": pd.array([None], "Int64"), "n": [-1], "bins": [None], "sketch": [sketch.tobytes()]})
 
@@ -171,8 +177,12 @@ def light_boundary(sizes: dict[int, int], sketch: np.ndarray, sim: Similarity) -
 def _postings(docs: DataFrame, k: int, light: int, sim: Similarity, sketch: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, done = WordHash(), {}
+
+        def table(keys: list, classes: list, sizes: list) -> pd.DataFrame:
+            return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "cls": np.concatenate(classes), "n": np.concatenate(sizes)})
+
         for b in batches:
-            keys, classes, sizes = [np.zeros(0, np.uint64)], [], []
+            keys, classes, sizes, held = [], [], [], 0
             for text in b["text"]:
                 a = shingle_set(text, k, seen)
                 if not len(a) or (c := class_id(a)) in done:
@@ -184,8 +194,12 @@ def _postings(docs: DataFrame, k: int, light: int, sim: Similarity, sketch: np.n
                 keys.append(own)
                 classes.append(np.full(len(own), c, np.int64))
                 sizes.append(np.full(len(own), len(a), np.int32))
+                held += len(own)
+                if held >= ENTRIES:
+                    yield table(keys, classes, sizes)
+                    keys, classes, sizes, held = [], [], [], 0
             if classes:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "cls": np.concatenate(classes), "n": np.concatenate(sizes)})
+                yield table(keys, classes, sizes)
 
     return docs.select("text").mapInPandas(run, "key long, cls long, n int")
 
@@ -389,12 +403,10 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     classes = written(classes, "classes")
 
     # a list is worth reading where two classes are in it; m counts a class once a task at most, so 2 means two classes.
-    # Entries are dealt by key once: the lists are counted where they lie, and joined from the same exchange, for which
-    # both sides must read all columns.
-    entries = _postings(docs, k, light, sim, sketch).repartition("key")
-    lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("pivot"), F.max("cls").alias("last"), F.max("n").alias("most"))
-    lists = lists.where("pivot <> last AND most > 0").drop("last", "most").hint("merge")
-    members = written(entries.join(lists, "key").dropDuplicates(["key", "cls"]), "members")
+    # Entries are dealt by key once, sorted once and counted as they come by; a long list spills.
+    entries, own = _postings(docs, k, light, sim, sketch), Window.partitionBy("key")
+    lists = entries.select("*", F.count(F.lit(1)).over(own).alias("m"), F.min("cls").over(own).alias("pivot"), F.max("cls").over(own).alias("last"))
+    members = written(lists.where("pivot <> last").drop("last").dropDuplicates(["key", "cls"]), "members")
 
     # Lists of two are settled by their pair. Else a class first meets the pivot that it has most lists in common with.
     met = members.where("cls <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("m"))
