@@ -375,6 +375,48 @@ def test_html_names_are_evidence_only():
     assert html_extract.extract(f"<div role=main><p>{LONG}</p><p>x</p></div><p>y</p>") == f"{LONG}\nx"
 
 
+RUSSIAN = "Вчера вечером над городом прошёл сильный дождь, и улицы опустели. Люди ждали под крышами, пока вода не ушла. Сегодня утром снова светит солнце, и рынок открыт. Торговцы говорят, что такого ливня не было много лет."
+
+
+def test_html_loses_nothing_of_an_article():
+    """Names that only contain a telling word, links as content, named paragraphs of prose, short and foreign pages."""
+    inside = lambda part: html_extract.extract(f"<body><nav><a href=/>Home</a></nav><article><h1>Head</h1><p>{LONG}</p>{part}</article><footer>end</footer>")
+    for part, text in (
+        ("<p><a href=x>A report that all of this is about</a></p>", "A report that all of this is about"),
+        ("<ol><li><a href=a>First source of these facts, in full</a></li><li><a href=b>Second one</a></li></ol>", "First source of these facts, in full\nSecond one"),
+        ('<div class="share-price"><p>The share fell by two.</p></div>', "The share fell by two."),
+        ('<section class="legal-analysis"><p>The court may well say no.</p></section>', "The court may well say no."),
+        ('<div id="search-engines"><p>Some engines.</p></div>', "Some engines."),
+        (f'<p class="notice">{LONG} So.</p>', f"{LONG} So."),
+    ):
+        assert inside(part) == f"Head\n{LONG}\n{text}", part
+    assert html_extract.extract("<p>Rain today.</p>") == html_extract.extract("<nav><a href=/>Home</a></nav><p>Rain today.</p><footer>us</footer>") == "Rain today."
+    assert html_extract.extract(f"<nav>menu<p>{LONG}</p><p>More of it.</p>") == f"{LONG}\nMore of it."
+    assert html_extract.extract(f"<div><p>{RUSSIAN}</p></div><div><a href=/>Назад</a></div>") == RUSSIAN
+    assert html_extract.extract(f"<nav><a href=/>x</a></nav><article><p>{RUSSIAN}</p><p>Да.</p></article>") == f"{RUSSIAN}\nДа."
+
+
+def test_html_leaves_comments_and_notices():
+    art = f"<article><h1>Head</h1><p>{LONG}</p></article>"
+    want = f"Head\n{LONG}"
+    for after in (
+        f"<section class=comments><article><p>{LONG}</p></article></section>",
+        f'<div id="comments"><h3>2 comments</h3><div class="comment-body"><p>{LONG}</p></div></div>',
+        f"<div><h3>3 Comments</h3><div><p>{LONG}</p></div><div><p>{LONG} {LONG}</p></div></div>",
+        "<div><p>We use cookies to make the site better. By going on you accept our policy on the use of these.</p></div>",
+        '<div class="site-footer"><p>Some text of ours.</p></div>', '<div class="cookie-notice bottom"><p>We care.</p></div>',
+    ):
+        assert html_extract.extract(art + after) == want, after
+    assert html_extract.extract(f"<div><p>{LONG}</p></div><div><h2>Comments</h2><p>{LONG}</p></div>") == LONG
+    assert html_extract.extract(f"<div class=comments><p>{LONG}</p></div>") == LONG  # there is nothing else
+
+
+def test_html_without_rows(spark):
+    pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>Rain today.</p>")], "page_id long, url string, html string")
+    assert html_extract.extract_pages(pages.where("false")).count() == 0
+    assert {(r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_pages(pages).collect()} == {(1, "", 0), (None, "Rain today.", 11)}
+
+
 @pytest.mark.parametrize("part", ["<p>word of the day</p>", "<nav>", "<article>", "</nav>", "<div>", "<a href='x", "<!", "<script", "<div></span>", "&amp", "<p class=\"x"])
 def test_html_in_linear_time(part):
     def took(n):
