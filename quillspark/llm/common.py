@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,8 @@ WORD_CACHE = 400_000
 MAP_BITS = 26
 #: Bits in one piece of the map (what bitmap_construct_agg gives).
 _PIECE = 15
-#: Scratch tables that this process has written, in order.
-_MADE: list[str] = []
+#: Scratch tables written within the innermost written_alone of this thread.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,19 +47,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path, compression="zstd")
-    _MADE.append(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
     """written(make()), without the scratch tables that making it took."""
-    before = len(_MADE)
-    out = written(make(), label)
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        out = written(make(), label)
+    finally:
+        _MADE.reset(token)
+    if (outer := _MADE.get()) is not None:
+        outer.append(made[-1])
     spark = out.sparkSession
-    for name in _MADE[before:-1]:
+    for name in made[:-1]:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del _MADE[before:-1]
     return out
 
 
@@ -97,7 +104,7 @@ def row_key(docs: DataFrame, *columns: str) -> Column:
     return F.concat(F.coalesce(name, F.lit("\U0010ffff")), *prints)
 
 
-def _marked(docs: DataFrame, key: Column, names: DataFrame) -> DataFrame:
+def may_be_in(docs: DataFrame, key: Column, names: DataFrame) -> DataFrame:
     """docs with _row_key and _may, which is false only where the key is not in names(_row_key)."""
     at = F.xxhash64("_row_key").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
     piece, bit = F.shiftright(at, _PIECE), at.bitwiseAND(F.lit((1 << _PIECE) - 1))
@@ -119,7 +126,7 @@ def drop_keys(docs: DataFrame, key: Column, gone: DataFrame, again: DataFrame |
         again = None
     names = gone if again is None else gone.unionByName(again)
     names = written(names.select(F.col("key").alias("_row_key")).distinct(), "gone")
-    rows = _marked(docs, key, names)
+    rows = may_be_in(docs, key, names)
     kept = rows.where("NOT _may").unionByName(rows.where("_may").join(names.hint("merge"), "_row_key", "left_anti"))
     if again is not None:
         names = written(again.select(F.col("key").alias("_row_key")).distinct(), "again")

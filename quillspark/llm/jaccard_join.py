@@ -421,10 +421,11 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     for single in (True, False):
         tagged = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         tagged = written(tagged.select("key", "cls", "n", "m", "label"), "tagged")
-        h = F.xxhash64("cls")
-        prints = [F.sum(p).alias(f"p{i}") for i, p in enumerate((F.shiftrightunsigned(h, 34), F.pmod(h, F.lit(1 << 30))))]
+        # lists are told apart by sums of four hashes of 32 bits: 128 bits, so that none is taken for another by chance
+        halves = [part for h in (F.xxhash64("cls"), F.xxhash64("cls", F.lit("other"))) for part in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))]
+        prints = [F.sum(p).alias(f"p{i}") for i, p in enumerate(halves)]
         mixed = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), *prints).where("x <> y")
-        mixed = mixed.groupBy("x", "y", "c", "p0", "p1").agg(F.min("key").alias("key")).select("key")  # of lists with the same members one is read
+        mixed = mixed.groupBy("x", "y", "c", "p0", "p1", "p2", "p3").agg(F.min("key").alias("key")).select("key")  # of lists with the same members one is read
         open_ = tagged.join(mixed, "key", "left_semi").join(classes.select("cls", "bins"), "cls")
         tiles = written(_tiled(open_, sim, single), "tiles")
         discard(tagged)

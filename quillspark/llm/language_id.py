@@ -69,14 +69,15 @@ def _gram_buckets(data: bytes) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, langs: tuple[str, ...] = LANGS) -> np.ndarray:
-    """Log probabilities [language, bucket] from labelled(text, lang); the last row is the flat model of no language.
+    """Log probabilities [language, bucket] from labelled(key, text, lang); the last row is the flat model of no language.
 
-    SAMPLE_ROWS rows in expectation, drawn by a hash of their place, so of a text that many rows hold a share is drawn.
+    SAMPLE_ROWS rows in expectation, drawn by a hash of all three and counted once if repeated, so the answer depends on
+    the rows alone, not on the files and tasks in which they lie, and a hot row does not swell the sample.
     """
     n = labelled.count()
     if n > SAMPLE_ROWS:
         share = int(SAMPLE_ROWS / n * (1 << 20))
-        labelled = labelled.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) < share)
+        labelled = labelled.where(F.pmod(F.xxhash64("key", "text", "lang"), F.lit(1 << 20)) < share).select("key", "text", "lang").distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((len(langs), BUCKETS), np.int64)
@@ -191,6 +192,10 @@ def document_rows(docs: DataFrame, key: Column | None = None) -> DataFrame:
     return docs.select(F.lit("document").alias("kind"), own.alias("id"), "text", F.lit(False).alias("markup"), F.col("lang").alias("declared"), F.col("source").cast("string").alias("host"))
 
 
+def labelled_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("string").alias("key"), "text", "lang")
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)
     return pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("id"), F.col("html").alias("text"), F.lit(True).alias("markup"), F.lit(None).cast("string").alias("declared"), host.alias("host"))
@@ -199,12 +204,12 @@ def page_rows(pages: DataFrame) -> DataFrame:
 def keep_languages(docs: DataFrame) -> DataFrame:
     """docs without the rows that have no identified language; all columns stay."""
     key = row_key(docs, "text", "lang", "source")  # all that the decision on a row depends on
-    found = identify(document_rows(docs, key), fit(docs.select("text", "lang")))
+    found = identify(document_rows(docs, key), fit(labelled_rows(docs)))
     return drop_keys(docs, key, found.where(F.col("lang") == "und").select(F.col("id").alias("key")))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     docs, pages = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/pages.parquet")
-    found = identify(document_rows(docs).unionByName(page_rows(pages)), fit(docs.select("text", "lang")))
+    found = identify(document_rows(docs).unionByName(page_rows(pages)), fit(labelled_rows(docs)))
     own = lambda kind: F.when(F.col("kind") == kind, F.col("id"))
     return found.select(own("document").alias("doc_id"), own("page").alias("page_id"), "lang", "probability", "text_lang", "declared", (F.col("lang") != "und").alias("kept"))

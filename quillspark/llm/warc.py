@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_spread, scratch, written
+from .common import lookup_spread, may_be_in, scratch, written
 
 CRLF = "\r\n"
 HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[A-Za-z0-9-]+:[^\r\n]*\r\n)+)\r\n")
@@ -40,25 +40,32 @@ def base32_sha1(text: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, html, digest, bytes, first (smallest id of equal payloads; itself where the payload is too small).
+    """id, url, html, digest, bytes, first: of a revisit the smallest id of its payload, else null.
 
-    The hot payload of a group of copies is counted before the shuffle and looked up with salt.
+    A row's own payload decides, so an identifier that stands for several payloads does not confuse them. Pages whose
+    payload no other row has are not shuffled: payloads are counted by digest, and a map of fixed size says which rows may
+    be copies. These are looked up with salt, so the hot payload of a large group of copies is spread.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    slim = written(rows.select("id", "digest", "bytes"), "payloads")
-    first = slim.where(F.col("bytes") >= REVISIT_FROM).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
-    slim = lookup_spread(slim, first, ["digest", "bytes"], ["id"], how="left")
-    others = slim.where(F.col("first") != F.col("id")).select(F.col("id").alias("_id"), "first").distinct()
-    return rows.join(others, rows["id"] == others["_id"], "left").drop("_id")
+    payload = F.concat("digest", F.lit(":"), F.col("bytes").cast("string"))
+    groups = rows.where(F.col("bytes") >= REVISIT_FROM).groupBy(payload.alias("_row_key")).agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups.where("n > 1").drop("n"), "payloads")
+    marked = may_be_in(rows, payload, groups.select("_row_key"))
+    alone = marked.where("NOT _may").withColumn("_first", F.lit(None).cast(dict(groups.dtypes)["_first"]))
+    copies = lookup_spread(marked.where("_may"), groups, ["_row_key"], ["id", "url"], how="left")
+    first = F.when(F.col("_first").isNotNull() & ~F.col("id").eqNullSafe(F.col("_first")), F.col("_first"))
+    both = alone.unionByName(copies.select(*alone.columns))
+    return both.select("id", "url", "html", "digest", "bytes", first.alias("first"))
 
 
 def write_warc(pages: DataFrame, folder: str, **columns: str) -> None:
     """One record per row of pages into gzip files under folder, by Spark's committed writer.
 
-    Null html is an empty payload, null url an empty target. Repeated identifiers with equal payloads are all
-    responses. A null identifier is written as an empty record id. An empty table writes a folder without records.
+    Null html is an empty payload, null url an empty target. Of equal payloads, rows with the smallest
+    identifier are responses, all of them if it is repeated; rows without an identifier revisit it, and are responses where
+    no row of the payload has one. A null identifier is written as an empty record id. An empty table writes a folder without records.
 
     Records are dealt to files by size class (powers of 4) and by their row in the task, so many that even if all were
     as large as their class allows a file has FILE_BYTES at most.

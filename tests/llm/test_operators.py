@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy, with nulls, empty tables, ties and clashes."""
 
+import base64
 import gzip
 import hashlib
 import html
@@ -533,7 +534,7 @@ def test_trigrams_cross_pieces(monkeypatch):
 def test_language_held_out(spark):
     """Text alone decides rows that the models weren't fitted on: their language is hidden, their hosts are one."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = language_id.fit(d.where("doc_id % 4 <> 1").select("text", "lang"))
+    model = language_id.fit(language_id.labelled_rows(d.where("doc_id % 4 <> 1")))
     hidden = d.where("doc_id % 4 = 1").select("doc_id", "text", "lang")
     blind = language_id.document_rows(hidden.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("x").alias("source")))
     got = language_id.identify(blind, model).join(hidden.withColumnRenamed("doc_id", "id").select("id", F.col("lang").alias("true")), "id").toPandas()
@@ -545,7 +546,7 @@ def test_language_posterior(spark):
     rng = np.random.default_rng(13)
     say = {"en": "the of and that with", "fr": "le la de et les pour", "de": "der die und das nicht", "es": "el los que y para"}
     labelled = spark.createDataFrame([(w, s) for s, w in say.items()] * 3, "lang string, text string").select(F.col("text").alias("lang"), F.col("lang").alias("text"))
-    model = language_id.fit(labelled)
+    model = language_id.fit(labelled.withColumn("key", F.lit("k")))
     hosts, rows = ["a.x.fr", "b.x.fr", "y.de", "z.com", "", None], []
     for i in range(60):
         w = " ".join(rng.choice(say[list(say)[rng.integers(4)]].split(), rng.integers(0, 6)))
@@ -579,7 +580,7 @@ def test_language_posterior(spark):
 
 def test_language(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
-    model = language_id.fit(d.select("text", "lang"))
+    model = language_id.fit(language_id.labelled_rows(d))
     got = language_id.identify(language_id.document_rows(d), model).join(d.withColumnRenamed("doc_id", "id").select("id", F.col("lang").alias("true")), "id")
     assert got.where("lang <> `true`").count() <= 0.01 * d.count()
     odd = {r["id"]: r["lang"] for r in language_id.identify(language_id.document_rows(docs(spark, [None, "", "123 %%", "the of and that with"])), model).collect()}
@@ -600,6 +601,57 @@ def test_warc_round_trip(spark):
     assert all(r["digest"] == r["body_digest"] for r in got.values() if r["record_type"] == "response")
 
 
+def test_language_sample_is_free_of_layout(spark, monkeypatch):
+    """However the rows lie in tasks the model is one, and a row that fills a third of the table counts once."""
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 150)
+    d = language_id.labelled_rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    hot = spark.range(500).select(F.lit("7").alias("key"), F.lit("the of and to " * 50).alias("text"), F.lit("en").alias("lang"))
+    d = d.unionByName(hot)
+    one, many = language_id.fit(d.coalesce(1)), language_id.fit(d.repartition(7, "text"))
+    assert (one == many).all() and np.unique(one).size > 100
+
+
+def test_scratch_of_two_threads(spark):
+    """Each deletes its own scratch tables only."""
+    from threading import Barrier, Thread
+
+    from quillspark.llm.common import written, written_alone
+
+    both, found = Barrier(2), {}
+
+    def run(name):
+        def make():
+            inner = written(spark.range(5), name)
+            both.wait(60)
+            return inner.select((F.col("id") + 1).alias("id"))
+
+        out = written_alone(make, f"{name}-out")
+        both.wait(60)
+        found[name] = sorted(r["id"] for r in out.collect())
+
+    threads = [Thread(target=run, args=(n,)) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert found == {"a": [1, 2, 3, 4, 5], "b": [1, 2, 3, 4, 5]}
+
+
+def test_warc_with_repeated_ids(spark):
+    """No payload is lost where identifiers stand for several payloads or for none; every row gives one record."""
+    rng = np.random.default_rng(10)
+    rows = [(1, "A"), (5, "A"), (5, "B"), (8, "C"), (9, "C"), (9, "A"), (9, "Z"), (None, "A"), (None, "N"), (None, "N"), (4, "R"), (4, "R"), (6, "R")]
+    rows += [(int(rng.integers(20, 40)), f"p{rng.integers(25)}") for _ in range(150)]
+    pages = spark.createDataFrame([(i, "u", h, 1) for i, h in rows], "page_id long, url string, html string, first int").repartition(3)
+    folder = warc.scratch(spark, "t")
+    warc.write_warc(pages, folder)
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    least = {h: min((i for i, x in rows if x == h and i is not None), default=None) for _, h in rows}
+    want = Counter((str(i or ""), digest(h), *(("response", "") if i == least[h] else ("revisit", str(least[h])))) for i, h in rows)
+    got = Counter((r["record_id"] or "", r["digest"], r["record_type"], r["refers_to"] or "") for r in warc.read_warc(spark, folder).collect())
+    assert got == want and {d for _, d, kind, _ in got if kind == "response"} == {digest(h) for _, h in rows}
+
+
 def test_warc_files_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
     rng = np.random.default_rng(14)
