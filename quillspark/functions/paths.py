@@ -92,10 +92,11 @@ def ignored(path: Column, patterns: tuple[str, ...] = ()) -> Column:
     return out
 
 
-def ignore_rules(text: str | None) -> list[tuple[str, bool]]:
-    """(pattern, whether it takes paths back in) of the lines of a .gitignore file, in order.
+def ignore_rules(text: str | None, folder: str = "") -> list[tuple[str, bool]]:
+    """(pattern, whether it takes paths back in) of the lines of the .gitignore file of a folder, in order.
 
-    A slash before a pattern's end ties it to the root; a backslash makes a leading # or ! a plain sign.
+    A slash before a pattern's end ties it to the folder; a backslash makes a leading # or ! a plain sign. Rules of a
+    folder hold below it only; those of folders further down come after those above, as the last one that matches decides.
     """
     out = []
     for line in (text or "").splitlines():
@@ -107,7 +108,11 @@ def ignore_rules(text: str | None) -> list[tuple[str, bool]]:
         glob = glob.replace("\\ ", " ").removeprefix("\\") if glob[:2] in ("\\#", "\\!") or "\\ " in glob else glob
         if "/" in glob.rstrip("/") and not glob.startswith("**/"):
             glob = "/" + glob.lstrip("/")
-        out.append((glob_pattern(glob), back))
+        pattern = glob_pattern(glob)
+        if folder:
+            below = "^" + re.sub(r"([\\.^$+{}\[\]|()*?])", r"\\\1", folder.strip("/")) + "/"
+            pattern = below + (pattern[1:] if pattern.startswith("^") else "(?:.*/)?" + pattern.removeprefix("(?:^|/)"))
+        out.append((pattern, back))
     return out
 
 

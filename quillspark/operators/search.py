@@ -1,11 +1,13 @@
 """Field-weighted BM25 search over token positions, with filters, a typo fallback, excerpts and outlines.
 
-A stored index is a table of (path, field, pos, term) in folders by a hash of the term and sorted by it, so a query reads
-the row groups of its terms only, with a table of document lengths, the vocabulary and a row of totals.
+A stored index is a log of segments. A segment is a table of (path, field, pos, term) in folders by a hash of the term and
+sorted by it, so a query reads the row groups of its terms only, with the documents that it replaces or deletes, and by
+how much it changes the counts of terms and the totals. Changes add a segment; segments of one size are merged.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -23,6 +25,10 @@ from .tokens import FIELDS, stem_rows, token_rows
 WEIGHTS = {"title": 10.0, "description": 5.0, "headings": 2.0, "body": 1.0, "type": 0.0}
 MOST_TOKENS, MOST_VOCABULARY, SHORTEST = 8, 50_000, 5
 TERM_FOLDERS = 64
+#: Parts by path into which tasks cut a folder of terms, and segments of one size that are merged.
+PATH_CUTS, MERGE_FAN = 16, 8
+#: By what factor counts and lengths of postings of one step may differ.
+LEVEL = 1.4
 
 
 @dataclass
@@ -32,6 +38,8 @@ class Index:
     lengths: DataFrame  # path, dl
     stem: bool = True
     terms: DataFrame | None = None  # term, df, cnt, where the index is stored
+    postings: DataFrame | None = None  # term, part, impact, path, dl, and the term's count in each field, where it is stored
+    bounds: DataFrame | None = None  # term, impact, n, and what no posting of that impact exceeds
 
 
 def searchable(catalog: Catalog) -> DataFrame:
@@ -52,37 +60,128 @@ def _part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
 
 
+TOKENS = "path string, dl long, field string, pos int, term string, part int"
+COUNTS = ", ".join(f"in_{f} int" for f in FIELDS)
+SEGMENT = {
+    "tokens": TOKENS, "docs": "path string, dl long, gone boolean", "terms": "term string, df long, cnt long", "totals": "n long, dl long",
+    "postings": f"term string, part int, impact int, path string, dl long, {COUNTS}", "bounds": f"term string, impact int, n long, dl long, {COUNTS}",
+}
+
+
 def write_index(index: Index, folder: str) -> Index:
-    """The index as stored under folder. Tasks take ranges of (folder, term, path), so a hot term is cut like any other."""
-    rows = index.tokens.select("path", "field", "pos", "term", _part(F.col("term")).alias("part"))
-    order = ("part", "term", "path")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order, "field", "pos").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/tokens")
-    index.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
-    stored = read_index(index.tokens.sparkSession, folder, index.stem, False)
-    term_counts(stored).write.mode("overwrite").parquet(f"{folder}/terms")
-    totals = stored.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    totals.withColumn("stem", F.lit(index.stem)).write.mode("overwrite").parquet(f"{folder}/totals")  # last: the index is whole
-    return read_index(index.tokens.sparkSession, folder, index.stem)
-
-
-def read_index(spark: SparkSession, folder: str, use_stem: bool, whole: bool = True) -> Index:
-    read = lambda name, kind: spark.read.schema(kind).parquet(f"{folder}/{name}")
-    tokens = read("tokens", "path string, field string, pos int, term string, part int")
-    lengths = read("lengths", "path string, dl long")
-    if not whole:
-        return Index(tokens, lengths, lengths, use_stem)
-    return Index(tokens, read("totals", "n long, avgdl double"), lengths, use_stem, read("terms", "term string, df long, cnt long"))
-
-
-def update_index(old: Index, fresh: DataFrame, gone: DataFrame) -> Index:
-    """old without the documents of gone(path) and those that fresh(path, title, ...) has, and fresh. Only fresh is
-    tokenised."""
-    new = build_index(fresh, old.stem)
-    touched = gone.select("path").unionByName(fresh.select("path")).distinct()
-    keep = lambda df, *columns: df.select(*columns).join(touched, "path", "left_anti")
-    tokens = keep(old.tokens, "path", "field", "pos", "term").unionByName(new.tokens)
-    lengths = keep(old.lengths, "path", "dl").unionByName(new.lengths)
-    return Index(tokens, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), lengths, old.stem)
+    """The index as stored under folder, as one segment."""
+    spark = index.tokens.sparkSession
+    _write_tokens(index.tokens, folder)
+    index.lengths.select("path", F.col("dl").cast("long").alias("dl"), F.lit(False).alias("gone")).write.mode("overwrite").parquet(f"{folder}/docs")
+    _write_counts(spark, folder, None)
+    return read_index(spark, folder, index.stem)
+
+
+def _write_tokens(tokens: DataFrame, folder: str, cut: bool = True) -> None:
+    """Tokens sorted by term, cut into folders by term unless they are few. Each folder is dealt by a hash of the path too,
+    so a hot term is spread like any other, and no range has to be sampled: the texts are tokenised once."""
+    rows = tokens.select("path", "dl", "field", "pos", "term", _part(F.col("term")).alias("part"))
+
+    def write(rows: DataFrame, name: str, *order: str) -> None:
+        dealt = rows.withColumn("cut", F.pmod(F.xxhash64("path"), F.lit(PATH_CUTS))).hint("rebalance", "part", "cut")
+        writer = dealt.sortWithinPartitions("part", "term", *order).drop("cut").write.mode("overwrite")
+        (writer.partitionBy("part") if cut else writer).parquet(f"{folder}/{name}")
+
+    write(rows, "tokens", "path", "field", "pos")
+    spark = tokens.sparkSession
+    written = _segment(spark, folder, "tokens")["tokens"]
+    counts = [F.count_if(F.col("field") == f).cast("int").alias(f"in_{f}") for f in FIELDS]
+    one = written.groupBy("term", "part", "path", "dl").agg(*counts)
+    write(one.withColumn("impact", _impact()), "postings", "impact", "path")
+    most = [F.max(f"in_{f}").alias(f"in_{f}") for f in FIELDS]
+    held = _segment(spark, folder, "postings")["postings"].groupBy("term", "impact").agg(F.count(F.lit(1)).alias("n"), F.min("dl").alias("dl"), *most)
+    held.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/bounds")
+
+
+def _impact() -> Column:
+    """The step of a posting: its weighted count and its document's length, each within a factor of LEVEL, so that the
+    largest count and the least length of a step bound its postings closely."""
+    f = sum((F.col(f"in_{name}") * F.lit(w) for name, w in WEIGHTS.items()), F.lit(0.0))
+    level = lambda x: F.floor(F.log(LEVEL, x)).cast("int")
+    return level(f + 1) * F.lit(1000) + level(F.col("dl") + 1)
+
+
+def _write_counts(spark: SparkSession, folder: str, before: Index | None) -> None:
+    """By how much a segment changes the counts of terms and the totals: what its documents hold, less what they held."""
+    now = _segment(spark, folder, "tokens", "docs")
+    new = Index(now["tokens"], now["docs"], now["docs"].where("NOT gone"))
+    counts = lambda index, sign: term_counts(index).select("term", *[(F.col(c) * sign).alias(c) for c in ("df", "cnt")])
+    totals = lambda index, sign: index.lengths.agg((F.count(F.lit(1)) * sign).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) * sign).cast("long").alias("dl"))
+    terms, whole = counts(new, 1), totals(new, 1)
+    if before is not None:
+        terms = terms.unionByName(counts(before, -1)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cnt").alias("cnt")).where("df <> 0 OR cnt <> 0")
+        whole = whole.unionByName(totals(before, -1)).agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
+    terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+    whole.write.mode("overwrite").parquet(f"{folder}/totals")  # last: the segment is whole
+
+
+def _segment(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    return {name: spark.read.schema(SEGMENT[name]).parquet(f"{folder}/{name}") for name in names or SEGMENT}
+
+
+def read_index(spark: SparkSession, folders: str | list[str], use_stem: bool) -> Index:
+    """The index of segments, oldest first: a document's rows are those of the last segment that names it.
+
+    What later segments name is little beside what they leave standing, so it is joined away from each older one; terms
+    and totals are sums of the segments' changes.
+    """
+    folders = [folders] if isinstance(folders, str) else folders
+    parts = [_segment(spark, f) for f in folders]
+    tokens = lengths = postings = later = None
+    for part in reversed(parts):
+        own_tokens, own, own_postings = part["tokens"], part["docs"], part["postings"]
+        if later is not None:
+            own_tokens, own, own_postings = (x.join(later, "path", "left_anti") for x in (own_tokens, own, own_postings))
+        live = own.where("NOT gone").select("path", "dl")
+        tokens = own_tokens if tokens is None else tokens.unionByName(own_tokens)
+        lengths = live if lengths is None else lengths.unionByName(live)
+        postings = own_postings if postings is None else postings.unionByName(own_postings)
+        names = part["docs"].select("path")
+        later = names if later is None else later.unionByName(names)
+    terms, totals, bounds = (reduce(DataFrame.unionByName, [p[name] for p in parts]) for name in ("terms", "totals", "bounds"))
+    if len(parts) > 1:
+        terms = terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cnt").alias("cnt")).where("df > 0")
+        totals = totals.agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
+    return Index(tokens, totals.select("n", F.when(F.col("n") > 0, F.col("dl") / F.col("n")).alias("avgdl")), lengths, use_stem, terms, postings, bounds)
+
+
+def add_segment(spark: SparkSession, folder: str, fresh: DataFrame, gone: DataFrame, before: DataFrame, use_stem: bool) -> None:
+    """Writes a segment for the documents of fresh(path, title, ...) and the deletions of gone(path). before has the same
+    documents as they were (those that were), so that counts follow without reading the index. Only these are tokenised."""
+    index = build_index(fresh, use_stem)
+    _write_tokens(index.tokens, folder, cut=False)
+    own = _segment(spark, folder, "tokens")["tokens"].groupBy("path").agg(F.count(F.lit(1)).alias("dl"))
+    docs = fresh.select("path").distinct().join(own, "path", "left").select("path", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"), F.lit(False).alias("gone"))
+    left = gone.select("path").distinct().join(fresh.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("dl"), F.lit(True).alias("gone"))
+    docs.unionByName(left).write.mode("overwrite").parquet(f"{folder}/docs")
+    _write_counts(spark, folder, build_index(before, use_stem))
+
+
+def merge_segments(spark: SparkSession, folders: list[str], target: str, oldest: bool) -> None:
+    """Writes neighbouring segments as one. Deletions are kept unless the oldest segment is among them."""
+    index, parts = read_index(spark, folders, True), [_segment(spark, f) for f in folders]
+    _write_tokens(index.tokens, target)
+    every = reduce(DataFrame.unionByName, [p["docs"].withColumn("at", F.lit(i)) for i, p in enumerate(parts)])
+    last = every.groupBy("path").agg(F.max_by(F.struct("dl", "gone"), "at").alias("x")).select("path", "x.dl", "x.gone")
+    (last.where("NOT gone") if oldest else last).write.mode("overwrite").parquet(f"{target}/docs")
+    terms = reduce(DataFrame.unionByName, [p["terms"] for p in parts]).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cnt").alias("cnt"))
+    terms.where("df <> 0 OR cnt <> 0").write.mode("overwrite").parquet(f"{target}/terms")
+    totals = reduce(DataFrame.unionByName, [p["totals"] for p in parts]).agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
+    totals.coalesce(1).write.mode("overwrite").parquet(f"{target}/totals")
+
+
+def tail_to_merge(sizes: list[int], fan: int = MERGE_FAN) -> int:
+    """How many of the last segments are to become one: those of the last one's tier or below, once they are fan."""
+    tier = lambda n: int(math.log(max(1, n), fan))
+    top, k = tier(sizes[-1]) if sizes else 0, 0
+    while k < len(sizes) and tier(sizes[-1 - k]) <= top:
+        k += 1
+    return k if k >= fan else 0
 
 
 def postings(index: Index) -> DataFrame:
@@ -101,21 +200,31 @@ def vocabulary(index: Index, limit: int = MOST_VOCABULARY) -> DataFrame:
     return (term_counts(index) if index.terms is None else index.terms).orderBy(F.desc("df"), "term").limit(limit)
 
 
+def _starts(prefix: str) -> Column:
+    """A range of terms, which the statistics of a sorted table can rule out."""
+    end = prefix[:-1] + chr(ord(prefix[-1]) + 1) if ord(prefix[-1]) < 0xD7FF else None
+    inside = (F.col("term") >= prefix) & (F.col("term") < end) if end else F.col("term") >= prefix
+    return inside & F.col("term").startswith(prefix)
+
+
 def _occurrences(index: Index, p: Phrase) -> DataFrame:
     """path, field, start of each place where the phrase stands."""
     rows = index.tokens.where(F.col("field").isin(*p.fields) if p.fields else F.lit(False))
     if not p.terms:
-        return rows.where("false").select("path", "field", F.col("pos").alias("start"))
+        return rows.where("false").select("path", "dl", "field", F.col("pos").alias("start"))
     last = len(p.terms) - 1
-    tests = [(F.col("term").startswith(t) if p.prefix and i == last else F.col("term") == t) for i, t in enumerate(p.terms)]
-    if "part" in rows.columns and not p.prefix:  # folders and row groups of the phrase's terms only
-        rows = rows.where(reduce(Column.__or__, [F.col("part") == _part(F.lit(t)) for t in p.terms]) & F.col("term").isin(*p.terms))
+    tests = [(_starts(p.terms[i]) if p.prefix and i == last else F.col("term") == t) for i, t in enumerate(p.terms)]
+    if "part" in rows.columns:  # folders and row groups of the phrase's terms only
+        named = [F.col("part") == _part(F.lit(t)) for t in (p.terms[:last] if p.prefix else p.terms)]
+        if p.prefix:  # the dictionary names the folders of the range's terms: TERM_FOLDERS numbers at most
+            named.append(F.col("part").isin(*[r[0] for r in index.terms.where(_starts(p.terms[last])).select(_part(F.col("term"))).distinct().collect()]))
+        rows = rows.where(reduce(Column.__or__, named) & reduce(Column.__or__, tests))
     if last == 0:
-        found = rows.where(tests[0]).select("path", "field", F.col("pos").alias("start"))
+        found = rows.where(tests[0]).select("path", "dl", "field", F.col("pos").alias("start"))
     else:
         offsets = F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))
-        found = rows.select("path", "field", "pos", F.explode(offsets).alias("o")).withColumn("start", F.col("pos") - F.col("o"))
-        found = found.groupBy("path", "field", "start").agg(F.count_distinct("o").alias("n")).where(F.col("n") == last + 1).drop("n")
+        found = rows.select("path", "dl", "field", "pos", F.explode(offsets).alias("o")).withColumn("start", F.col("pos") - F.col("o"))
+        found = found.groupBy("path", "dl", "field", "start").agg(F.count_distinct("o").alias("n")).where(F.col("n") == last + 1).drop("n")
     return found.where("start = 0") if p.first else found
 
 
@@ -152,9 +261,9 @@ def score_query(index: Index, text: str, weights: dict | None = None, k1: float
         weight = F.when(F.col("field") == f, F.lit(float(w))).otherwise(weight)
     parts = None
     for i, df in enumerate(found):
-        one = df.select("path", F.lit(i).alias("i"), weight.alias("w"))
+        one = df.select("path", "dl", F.lit(i).alias("i"), weight.alias("w"))
         parts = one if parts is None else parts.unionByName(one)
-    hits = parts.groupBy("path", "i").agg(F.sum("w").alias("f"))
+    hits = parts.groupBy("path", "dl", "i").agg(F.sum("w").alias("f"))
     seen = hits.groupBy("i").agg(F.count(F.lit(1)).alias("n_i"))
     if any(p.near > 0 for p in phrases):
         every = [df.select("path", F.lit(i).alias("i")) for i, df in enumerate(alone)]
@@ -162,7 +271,7 @@ def score_query(index: Index, text: str, weights: dict | None = None, k1: float
     idf = F.log((F.col("n") - F.col("n_i") + 0.5) / (F.col("n_i") + 0.5))
     seen = seen.crossJoin(index.totals).withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf))  # one row a phrase
     part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(seen), "i").join(index.lengths, "path")
+    scored = hits.join(F.broadcast(seen), "i")
     scored = scored.groupBy("path").agg(F.sum(part).alias("score"), F.collect_set("i").alias("found"))
 
     def test(t: tuple) -> Column:

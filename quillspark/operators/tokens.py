@@ -32,15 +32,18 @@ def stemmed(terms: pd.Series) -> pd.Series:
 
 
 def token_rows(docs: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """path, field, pos, term of docs(path, *FIELDS): positions from 0 in each field, unstemmed."""
+    """path, dl, field, pos, term of docs(path, *FIELDS): positions from 0 in each field, unstemmed; dl is the document's
+    number of tokens, which each row has, so that no score has to look it up."""
     pattern = "[a-z0-9]+" if ascii_only else r"[\p{L}\p{N}\p{Co}]+"
     text = (lambda c: F.lower(c)) if ascii_only else fold
-    fields = [F.struct(F.lit(f).alias("field"), F.regexp_extract_all(text(F.coalesce(F.col(f), F.lit(""))), F.lit(pattern), F.lit(0)).alias("terms")) for f in FIELDS]
-    rows = docs.select("path", F.explode(F.array(*fields)).alias("x"))
-    return rows.select("path", "x.field", F.posexplode("x.terms").alias("pos", "term"))
+    terms = [F.regexp_extract_all(text(F.coalesce(F.col(f), F.lit(""))), F.lit(pattern), F.lit(0)).alias(f) for f in FIELDS]
+    fields = [F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in FIELDS]
+    rows = docs.select("path", *terms).select("path", sum(F.size(f) for f in FIELDS).cast("long").alias("dl"), F.array(*fields).alias("x"))
+    rows = rows.select("path", "dl", F.explode_outer("x").alias("x"))  # not explode, for which Spark tests sizes below and makes the terms again
+    return rows.select("path", "dl", "x.field", F.posexplode_outer("x.terms").alias("pos", "term")).where("term IS NOT NULL")
 
 
 def stem_rows(tokens: DataFrame) -> DataFrame:
     """Terms stemmed: Python sees each distinct term once."""
     table = tokens.select("term").distinct().withColumn("stem", stemmed("term"))
-    return tokens.join(table, "term").select("path", "field", "pos", F.col("stem").alias("term"))
+    return tokens.join(table, "term").select("path", "dl", "field", "pos", F.col("stem").alias("term"))

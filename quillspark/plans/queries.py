@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import paths, text
-from ..operators import browse, changes, document, evaluate, graph, metadata, search, validate
+from ..operators import browse, changes, document, evaluate, graph, metadata, search, topk, validate
+from ..operators.tokens import FIELDS, stemmed, token_rows
 from ..sources.ingest import parse_files, to_catalog, with_existence
 from ..sources.snapshot import export_json, replace_documents
 from ..streaming import watch
@@ -297,10 +298,10 @@ def bm25_weights_title(spark, sf):
     return _scored(spark, sf, "the", weights={"title": 50.0, "body": 1.0})
 
 
-@query(_bm25({0: _term("license")}, "p0", "AND path IN (SELECT path FROM docs WHERE type = 'Metric' AND starts_with(parent_path, 'docs/src1/')) AND path IN (SELECT path FROM tags WHERE tag IN ('en', 'fr'))"))
+@query(_bm25({0: _term("license")}, "p0", "AND path IN (SELECT path FROM docs WHERE type IN ('Metric', 'Dataset') AND starts_with(parent_path, 'docs/src5/')) AND path IN (SELECT path FROM tags WHERE tag IN ('en', 'fr', 'P1'))"))
 def search_filtered(spark, sf):
     c = document_catalog(spark, sf)
-    hits = search.apply_filters(c, search.score_query(document_index(spark, sf), "license"), "docs/src1/", ["Metric"], ["en", "fr", ""])
+    hits = search.apply_filters(c, search.score_query(document_index(spark, sf), "license"), "docs/src5/", ["Metric", "Dataset"], ["en", "fr", "P1", ""])
     return hits.select("path", F.round("score", 6).alias("score"))
 
 
@@ -311,15 +312,21 @@ def search_topk_outline(spark, sf):
     return page.join(document.outline(c, 1, 1), "path", "left").select("path", "score", F.array_join("outline", " ").alias("outline"))
 
 
+@query("SELECT * FROM (" + _bm25({0: _term("license"), 1: _term("gnu")}, "p0 OR p1") + ") ORDER BY score DESC, path LIMIT 20")
+def bm25_topk(spark, sf):
+    return topk.top_k(document_index(spark, sf), "license OR gnu", 20).rows.select("path", F.round("score", 6).alias("score"))
+
+
 #: Words and their stems; a search for one finds all of its row.
 STEMS = {"general": ("general", "generals", "generally", "generalized"), "licens": ("license", "licenses", "licensed", "licensing"), "publish": ("publish", "published", "publishing", "publishes")}
-_ACCENTS = ("École Général", "LICENSES of cafés", "naïve publishing", "Über Straßen", "señores publicados")
 
 
-@query("SELECT word, CAST(stem AS VARCHAR) AS term FROM (VALUES " + ", ".join(f"('{w}', '{k}')" for k, ws in {"gener": STEMS["general"], "licens": STEMS["licens"], "publish": STEMS["publish"]}.items() for w in ws) + ") t(word, stem)")
+@query("SELECT DISTINCT word, CAST(stem AS VARCHAR) AS term FROM (VALUES " + ", ".join(f"('{w}', '{k}')" for k, ws in {"gener": STEMS["general"], "licens": STEMS["licens"], "publish": STEMS["publish"]}.items() for w in ws) + ") t(word, stem) JOIN (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) USING (word)")
 def stemmed_terms(spark, sf):
-    words = spark.createDataFrame([(w, w) for ws in STEMS.values() for w in ws], "path string, title string").selectExpr("path", "title", "'' AS description", "'' AS headings", "'' AS body", "'' AS type")
-    return search.build_index(words).tokens.select(F.col("path").alias("word"), "term")
+    """The stems of those words of all documents of which the stem is known."""
+    words = token_rows(search.searchable(document_catalog(spark, sf)), ascii_only=True).where(F.col("field") == "body").select(F.col("term").alias("word")).distinct()
+    known = words.where(F.col("word").isin(*[w for ws in STEMS.values() for w in ws]))
+    return known.select("word", stemmed("word").alias("term"))
 
 
 @query(DOCS + """, w AS (SELECT path, regexp_extract_all(lower(concat(title, ' ', body)), '[a-z0-9]+') AS w FROM docs WHERE regexp_full_match(body, '[\\x00-\\x7F]*')) SELECT path FROM w WHERE list_has_any(w, ['license', 'licenses', 'licensed', 'licensing'])""")
@@ -330,10 +337,11 @@ def search_stemmed(spark, sf):
     return search.score_query(search.build_index(docs), "licensing").select("path")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{w}')" for t, ws in zip(_ACCENTS, (("ecole", "general"), ("licenses", "of", "cafes"), ("naive", "publishing"), ("uber", "straßen"), ("senores", "publicados")), strict=True) for i, w in enumerate(ws)) + ") t(path, pos, term)")
+@query("SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cnt FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}\\p{Co}]+')) AS term FROM documents) GROUP BY 1")
 def folded_terms(spark, sf):
-    docs = spark.createDataFrame([(t, t) for t in _ACCENTS], "path string, title string").selectExpr("path", "title", "'' AS description", "'' AS headings", "'' AS body", "'' AS type")
-    return search.build_index(docs, use_stem=False).tokens.select("path", "pos", "term")
+    """Every term of all documents without its accents."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), *[F.lit("").alias(f) for f in FIELDS if f != "body"], F.col("text").alias("body"))
+    return search.term_counts(search.build_index(docs, use_stem=False))
 
 
 WRONG = ("licence", "apachee", "versoin", "publik", "generel")
@@ -635,6 +643,28 @@ def val_dup_members(spark, sf):
     return validate.content_groups(_val_catalog(spark, sf))
 
 
+#: A file of each document by its number: sound, no UTF-8, broken YAML, front matter that is too large.
+_FILES = """CASE doc_id % 4 WHEN 1 THEN 'unsupported_encoding' WHEN 2 THEN 'invalid_yaml' WHEN 3 THEN 'oversized_frontmatter' END"""
+
+
+@query(f"SELECT concat(doc_id, '.md') AS path, {_FILES} AS category, 'error' AS severity FROM documents WHERE doc_id % 4 > 0")
+def val_parse_checks(spark, sf):
+    """What reading files finds, by the checks of encoding, front matter and YAML, over one file per document."""
+    text_ = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).cast("binary")
+    k, body = F.col("doc_id") % 4, F.col("text")
+    content = F.when(k == 0, text_("---\ntype: Note\n---\n", body)).when(k == 1, F.concat(F.unhex(F.lit("FFFE")), body.cast("binary"))).when(k == 2, text_("---\ntype: [x\n---\n", body))
+    content = content.otherwise(text_("---\ntitle: ", F.repeat(F.lit("x"), 70_000), "\n---\n", body))
+    files = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), content.alias("content"), F.lit(1).cast("long").alias("modified_at"))
+    parsed = to_catalog(parse_files(files.withColumn("size", F.octet_length("content").cast("long")), Config()))
+    found = [check(parsed).select("path", "category", "severity") for check in (validate.check_encoding, validate.check_front_matter, validate.check_yaml)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(DOCS + "SELECT path, 'yaml' AS category, 'bad mapping' AS message FROM docs WHERE parse_status <> 'ok'")
+def val_scan_errors(spark, sf):
+    return validate.check_errors(document_catalog(spark, sf)).select("path", "category", "message")
+
+
 @query(_VAL + " SELECT DISTINCT parent_path AS path FROM al WHERE parent_path NOT IN (SELECT parent_path FROM al WHERE path LIKE '%/index.md')")
 def val_missingdocument_index(spark, sf):
     return validate.check_index_files(_val_catalog(spark, sf)).select("path")
@@ -726,6 +756,16 @@ def gitignore_rules(spark, sf):
     return table(spark, sf, "events").select("event_id", paths.gitignored(path, rules).alias("ignored"))
 
 
+@query("SELECT event_id, event_id % 5 IN (0, 2, 4) AS ignored FROM events")
+def gitignore_nested(spark, sf):
+    """Rules of a folder beside those of the root: they hold below it, and decide there."""
+    rules = paths.ignore_rules("*.draft.md\n") + paths.ignore_rules("!special.draft.md\n/local\n", "docs")
+    k = F.col("event_id").cast("string")
+    names = [F.concat(k, F.lit(".draft.md")), F.concat(F.lit("docs/"), k, F.lit("/special.draft.md")), F.concat(F.lit("docs/local/"), k), F.concat(F.lit("local/"), k, F.lit(".md")), F.concat(F.lit("docs/"), k, F.lit(".draft.md"))]
+    path = F.get(F.array(*names), (F.col("event_id") % 5).cast("int"))
+    return table(spark, sf, "events").select("event_id", paths.gitignored(path, rules).alias("ignored"))
+
+
 @query("SELECT time_bucket(INTERVAL 600 SECOND, ts, TIMESTAMP '1970-01-01') AS tick, count(*) AS n_events FROM events GROUP BY 1")
 def reconcile_ticks(spark, sf):
     return watch.reconcile_ticks(_events(spark, sf))

@@ -20,7 +20,7 @@ TABLES = {
 }
 #: The column of each table that names the document that a row belongs to.
 OWNER = {name: "src" if name == "links" else "path" for name in TABLES}
-VERSION = 3
+VERSION = 4
 
 
 @dataclass

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,15 @@ from .config import Config
 from .operators import browse, document, graph, metadata, search, validate
 from .operators.changes import detect_changes, summarize
 from .schema import Catalog
-from .sources.ingest import discover, ignore_rules, parse_files, to_catalog, with_existence
+from .sources.ingest import discover, folder_depth, ignore_rules, parse_files, to_catalog, with_existence
 from .sources.snapshot import SnapshotStore, export_json, replace_documents
 from .streaming import watch
 
 
+#: Files that are opened by name when they have changed.
+MOST_NAMED = 2000
+
+
 class CatalogService:
     def __init__(self, spark: SparkSession, config: Config, store: str | None = None):
         self.spark, self.config = spark, config
@@ -34,9 +39,8 @@ class CatalogService:
         """The index stored with the current snapshot; built in memory for snapshots that have none."""
         if self._index is None:
             catalog = self.catalog
-            folder = self.store.extra(self._index_name)
-            if folder:
-                self._index = search.read_index(self.spark, folder, self.config.stem)
+            if segments := self.store.extra(self._index_name):
+                self._index = search.read_index(self.spark, segments, self.config.stem)
             else:
                 self._index = search.build_index(search.searchable(catalog), self.config.stem)
         return self._index
@@ -45,10 +49,10 @@ class CatalogService:
     def _index_name(self) -> str:
         return "index_stemmed" if self.config.stem else "index_plain"
 
-    def _discovered(self):
+    def _discovered(self, named: list[str] | None = None):
         files = None
         for root in self.config.roots:
-            one = discover(self.spark, root, self.config)
+            one = discover(self.spark, root, self.config, named)
             files = one if files is None else files.unionByName(one)
         return files
 
@@ -60,38 +64,69 @@ class CatalogService:
         """Brings the documents of paths(path) up to date, as a scan of these alone; others stay as they are."""
         return self._apply(self._discovered().join(paths, "path", "left_semi"), paths)
 
+    def _files_of(self, files, paths):
+        """files of paths(path). Up to MOST_NAMED paths are opened by name; beyond, the roots are read and joined."""
+        named = [r[0] for r in paths.limit(MOST_NAMED + 1).collect()]
+        if len(named) > MOST_NAMED:
+            return files.join(paths, "path", "left_semi")
+        return self._discovered(named)
+
     def _apply(self, files, paths) -> dict:
         began = time.time()
         old = self.catalog
-        now = files.select("path", F.col("size").alias("file_size"), "modified_at")
+        now = files.select("path", F.col("size").alias("file_size"), "modified_at")  # a listing: contents are not read
         known = old.documents if paths is None else old.documents.join(paths, "path", "left_semi")
         changes = detect_changes(now, known).cache()
         touched = changes.where(F.col("change").isin("added", "modified")).select("path")
-        gone = changes.where("change = 'deleted'")
-        parsed = parse_files(files.join(touched, "path", "left_semi"), self.config).persist()
+        gone = changes.where("change = 'deleted'").select("path")
+        parsed = parse_files(self._files_of(files, touched), self.config).persist()
         fresh = to_catalog(parsed)
-        stored, pages = self.store.extra(self._index_name), search.searchable(fresh)
-        merged = replace_documents(old, fresh, gone)
-        if stored:
-            index = search.update_index(search.read_index(self.spark, stored, self.config.stem), pages, gone)
-        else:
-            index = search.build_index(search.searchable(merged), self.config.stem)
-        self.store.write(merged, **{self._index_name: lambda folder: search.write_index(index, folder)})
-        self._catalog = self._index = None
-        out = summarize(changes, fresh.documents, with_existence(fresh.links, self.catalog.documents)).head().asDict()
-        parsed.unpersist()
-        changes.unpersist()
+        try:
+            if not changes.where("change <> 'unchanged'").isEmpty() or self.store.manifest() is None:
+                self.store.update(fresh, gone, **{self._index_name: self._indexed(old, fresh, gone, touched)})
+                self._catalog = self._index = None
+            out = summarize(changes, fresh.documents, with_existence(fresh.links, self.catalog.documents)).head().asDict()
+        finally:
+            parsed.unpersist()
+            changes.unpersist()
         return out | {"seconds": time.time() - began}
 
-    def watch(self, checkpoint: str, events=None, available_now: bool = False, every: str = "1 second"):
-        """Scans once, then keeps the catalog up to date: by a stream of events(ts, path, kind) whose paths are applied
-        once they are quiet for the debounce time, or without one by scanning every so often (the reconcile time)."""
+    def _indexed(self, old: Catalog, fresh: Catalog, gone, touched) -> list[str]:
+        """The segments of the index that follow the change: one more, or fewer where some were due to be merged."""
+        prefix, stem = f"extras/{self._index_name}", self.config.stem
+        held = [f.removeprefix(f"{self.store.folder}/") for f in self.store.extra(self._index_name)]
+        name = lambda rows: f"{prefix}/{rows}-{uuid.uuid4().hex}"
+        at = lambda folder: f"{self.store.folder}/{folder}"
+        rows_in = lambda folder: max(1, self.spark.read.parquet(f"{at(folder)}/docs").count())
+        if not held:
+            one = name(0)
+            search.write_index(search.build_index(search.searchable(replace_documents(old, fresh, gone)), stem), at(one))
+            return [one]
+        before = self.store.read(self.store.buckets_of(gone.unionByName(touched)))
+        before = search.searchable(before).join(gone.unionByName(touched), "path", "left_semi")
+        one = name(1)
+        search.add_segment(self.spark, at(one), search.searchable(fresh), gone, before, stem)
+        held.append(one)
+        if k := search.tail_to_merge([rows_in(f) for f in held]):
+            one = name(k)
+            search.merge_segments(self.spark, [at(f) for f in held[-k:]], at(one), k == len(held))
+            held[-k:] = [one]
+        return held
+
+    def watch(self, checkpoint: str, events=None, available_now: bool = False, every: float = 1.0, poll_seconds: float | None = None):
+        """Scans once, then keeps the catalog up to date: paths of a stream of events(ts, path, kind), or without one of
+        a listing every poll_seconds, are applied once nothing has changed for the debounce time. Beside either, all is
+        scanned anew every so often (the reconcile time)."""
         self.scan()
-        if events is None:
-            return watch.ticks(self.spark, self.scan, checkpoint, f"{self.config.reconcile_seconds} seconds")
-        rules = [r for root in self.config.roots for r in ignore_rules(self.spark, root)]
-        gap = None if available_now else f"{self.config.debounce_ms} milliseconds"
-        return watch.watch(events, lambda df, _: self.apply_paths(df), checkpoint, self.config.exclude_patterns, rules, gap, available_now=available_now, every=every)
+        c = self.config
+        # as far as folders go now; what is ignored further down is left out when it is read
+        rules = [r for root in c.roots for r in ignore_rules(self.spark, root, folder_depth(self.catalog.documents))]
+        listing = None if events is not None else lambda: self._discovered().select("path", "size", "modified_at")
+        known = lambda: self.catalog.documents.select("path", F.col("file_size").alias("size"), "modified_at")
+        return watch.watch(
+            events, lambda df, _: self.apply_paths(df), checkpoint, c.exclude_patterns, rules, c.debounce_ms / 1000, available_now=available_now, every=every,
+            listing=listing, known=known, poll_seconds=poll_seconds, reconcile=None if available_now else self.scan, reconcile_seconds=c.reconcile_seconds, spark=self.spark,
+        )
 
     def browse(self, folder: str = "", depth: int = 1, limit: int = 100) -> dict:
         return browse.browse(self.catalog, folder, depth, limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,23 +30,40 @@ PARSED = (
 META = ("size", "modified_at", "content_hash")
 
 
-def discover(spark: SparkSession, root: str, config: Config) -> DataFrame:
+def discover(spark: SparkSession, root: str, config: Config, named: list[str] | None = None) -> DataFrame:
     """path (relative to root), size, modified_at (seconds), content of the Markdown files that neither the settings nor
-    the root's .gitignore exclude."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
+    a .gitignore of the root or a folder below exclude; with named, of those among these paths that exist, without listing the rest."""
     base = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md")
+    if named is None:
+        files = files.option("recursiveFileLookup", "true").load(root)
+    else:
+        folder = HadoopFolder(spark, base)
+        there = [f"{base}/{p}" for p in named if folder.is_file(p)]
+        files = files.load([re.sub(r"([{}\[\]*?\\,])", r"\\\1", p) for p in there]) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     at = F.length(F.lit(base.split(":", 1)[-1])) + 1
     raw = paths.percent_decode(F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", ""))
     files = files.select(raw.substr(at + 1, F.length("path")).alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_at"), "content")
     for p in config.exclude_patterns:
         files = files.where(~F.col("path").rlike(paths.glob_pattern(p)))
-    if rules := ignore_rules(spark, root):
+    deepest = folder_depth(files) if named is None else max((p.count("/") for p in named), default=0)
+    if rules := ignore_rules(spark, root, deepest):
         files = files.where(~paths.gitignored(F.col("path"), rules))
     return files
 
 
-def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
-    return paths.ignore_rules(HadoopFolder(spark, root).text(".gitignore"))
+def ignore_rules(spark: SparkSession, root: str, depth: int = 0) -> list[tuple[str, bool]]:
+    """The rules of all .gitignore files in folders down to depth, those above first."""
+    folder, out = HadoopFolder(spark, root), []
+    for d in range(depth + 1):
+        for name in folder.matching("*/" * d + ".gitignore"):
+            out += paths.ignore_rules(folder.text(name), name.rpartition("/")[0])
+    return out
+
+
+def folder_depth(files: DataFrame) -> int:
+    """How many folders the deepest of files(path) lies in."""
+    return files.agg(F.max(F.size(F.split("path", "/")) - 1)).head()[0] or 0
 
 
 def parse_text(path: str, text: str, config: Config) -> dict:

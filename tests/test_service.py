@@ -9,6 +9,7 @@ from quillspark.config import Config
 from quillspark.errors import NotFound
 from quillspark.operators import search
 from quillspark.service import CatalogService
+from quillspark.sources.ingest import discover
 from quillspark.sources.snapshot import SnapshotStore
 
 FILES = {
@@ -82,6 +83,7 @@ def test_a_broken_commit_changes_nothing(service, spark):
     store.files.delete("_commits/0000009999")
     store.prune(keep=1)
     assert store.current() == before and len(store.commits()) == 1 and store.read().documents.count() == 5
+    assert service.index.tokens.count() and service.search("revenue")["total_matches"] == 2
 
 
 def test_older_snapshots_are_read(spark, tmp_path):
@@ -93,7 +95,7 @@ def test_older_snapshots_are_read(spark, tmp_path):
     old = store.read()
     assert old.documents.select("path", "content_hash").collect() == [("a.md", None)] and old.sections.count() == 0
     store.write(old)
-    assert store.current().startswith("v3-") and store.read().documents.count() == 1
+    assert store.current().startswith("v4-") and store.read().documents.count() == 1
 
 
 def test_answers(service):
@@ -134,3 +136,31 @@ def test_ranks_as_fts5(spark, text):
     docs = spark.createDataFrame(ROWS, "path string, title string, description string, headings string, body string, type string")
     got = search.score_query(search.build_index(docs), text).collect()
     assert sorted((r["path"], pytest.approx(r["score"], rel=1e-9)) for r in got) == sorted(want)
+
+
+def test_folds_accents(spark):
+    rows = [(t, t, "", "", "", "") for t in ("École Général", "LICENSES of cafés", "naïve publishing", "Über Straßen", "señores publicados", "", "?!")]
+    docs = spark.createDataFrame(rows, "path string, title string, description string, headings string, body string, type string")
+    index = search.build_index(docs, use_stem=False)
+    got = sorted((r["path"], r["pos"], r["term"], r["dl"]) for r in index.tokens.collect())
+    want = {"École Général": "ecole general", "LICENSES of cafés": "licenses of cafes", "naïve publishing": "naive publishing", "Über Straßen": "uber straßen", "señores publicados": "senores publicados"}
+    assert got == sorted((t, i, w, len(ws.split())) for t, ws in want.items() for i, w in enumerate(ws.split()))
+    assert {r["path"]: r["dl"] for r in index.lengths.collect()} == {t: len(want.get(t, "").split()) for t, *_ in rows}
+
+
+#: Files of nested ignore rules, and what they leave of the files below.
+IGNORES = {"": "*.draft.md\n/build\n!keep.draft.md\n", "docs": "/local\n!special.draft.md\ntmp/\n", "docs/deep": "*.md\n!only.md\n", "a+b": "x.md\n"}
+LEFT = {"a.md": True, "a.draft.md": False, "keep.draft.md": True, "build/x.md": False, "docs/build/x.md": True, "docs/local/x.md": False, "local/x.md": True, "docs/special.draft.md": True, "docs/other.draft.md": False,
+        "docs/sub/special.draft.md": True, "special.draft.md": False, "docs/tmp/x.md": False, "tmp/x.md": True, "docs/deep/x.md": False, "docs/deep/only.md": True, "docs/deep/er/x.md": False, "docs/deep/er/only.md": True, "a+b/x.md": False, "aab/x.md": True}
+
+
+def test_nested_ignore_files(spark, tmp_path):
+    for path in LEFT:
+        os.makedirs(tmp_path / os.path.dirname(path), exist_ok=True)
+        (tmp_path / path).write_text("x")
+    for folder, rules in IGNORES.items():
+        (tmp_path / folder / ".gitignore").write_text(rules)
+    found = {r["path"] for r in discover(spark, str(tmp_path), Config()).select("path").collect()}
+    assert found == {p for p, left in LEFT.items() if left}
+    named = {r["path"] for r in discover(spark, str(tmp_path), Config(), [*LEFT, "none.md"]).select("path", "content").collect()}
+    assert named == found
