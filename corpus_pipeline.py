@@ -18,17 +18,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space runs count as one space) the row with the smallest doc_id stays."""
+    """Of equal texts (white space runs count as one space; null counts as empty) the row with the smallest doc_id stays,
+    null last; of repeated rows one. An empty table stays one."""
     return drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays,
+    null last; of repeated rows with words one. Null and empty texts and texts of white space are copies of nothing and
+    stay. Fewer than five words make one shingle. An empty table stays one."""
     return drop_near_copies(docs, k=5, num=8, den=10)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a passage of the benchmark go."""
+    """Rows that hold a passage of the benchmark go, repeated rows alike. Null and empty texts hold none and stay. An empty
+    table, or a benchmark without texts, changes nothing."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
