@@ -59,17 +59,23 @@ def check_index_files(c: Catalog) -> DataFrame:
     return _issues(missing, "warning", "missing_index_files", F.concat(F.lit("No index.md in "), "parent_path"), "parent_path")
 
 
+def check_files(c: Catalog) -> DataFrame:
+    """What is wrong with files' encoding, front matter and YAML, in one pass over the errors."""
+    kind = F.when(F.col("stage") == "utf8", "unsupported_encoding").when(F.col("stage") == "yaml", "invalid_yaml")
+    kind = kind.when(F.col("message").contains("exceed"), "oversized_frontmatter").otherwise("invalid_frontmatter")
+    return _issues(c.errors.where("stage IN ('utf8', 'frontmatter', 'yaml')"), "error", kind, F.col("message"))
+
+
 def check_encoding(c: Catalog) -> DataFrame:
-    return _issues(c.errors.where("stage = 'utf8'"), "error", "unsupported_encoding", F.col("message"))
+    return check_files(c).where("category = 'unsupported_encoding'")
 
 
 def check_front_matter(c: Catalog) -> DataFrame:
-    kind = F.when(F.col("message").contains("exceed"), "oversized_frontmatter").otherwise("invalid_frontmatter")
-    return _issues(c.errors.where("stage = 'frontmatter'"), "error", kind, F.col("message"))
+    return check_files(c).where("category IN ('oversized_frontmatter', 'invalid_frontmatter')")
 
 
 def check_yaml(c: Catalog) -> DataFrame:
-    return _issues(c.errors.where("stage = 'yaml'"), "error", "invalid_yaml", F.col("message"))
+    return check_files(c).where("category = 'invalid_yaml'")
 
 
 def _sound(c: Catalog) -> DataFrame:
@@ -126,7 +132,7 @@ def check_cycles(c: Catalog) -> DataFrame:
 
 
 def validate(catalog: Catalog, require_index_files: bool = False, cycles: bool = True) -> DataFrame:
-    parts = [check_broken_links, check_conflicts, check_errors, check_encoding, check_front_matter, check_yaml, check_reserved, check_type, check_concepts, check_content]
+    parts = [check_broken_links, check_conflicts, check_errors, check_files, check_reserved, check_type, check_concepts, check_content]
     parts += [check_index_files] * require_index_files + [check_cycles] * cycles
     return reduce(DataFrame.unionByName, [p(catalog) for p in parts])
 

@@ -11,7 +11,8 @@ from ..config import Config
 from ..functions import paths, text
 from ..operators import browse, changes, document, evaluate, graph, metadata, search, topk, validate
 from ..operators.tokens import FIELDS, stemmed, token_rows
-from ..sources.ingest import parse_files, to_catalog, with_existence
+from ..schema import TABLES, Catalog
+from ..sources.ingest import parse_files, read_errors, to_catalog, with_existence
 from ..sources.snapshot import export_json, replace_documents
 from ..streaming import watch
 from .virtual import SQL_DOCS, SQL_LINKS, document_catalog, graph_catalog, table
@@ -651,13 +652,13 @@ _FILES = """CASE doc_id % 4 WHEN 1 THEN 'unsupported_encoding' WHEN 2 THEN 'inva
 def val_parse_checks(spark, sf):
     """What reading files finds, by the checks of encoding, front matter and YAML, over one file per document."""
     text_ = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).cast("binary")
-    k, body = F.col("doc_id") % 4, F.col("text")
+    k, body = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
     content = F.when(k == 0, text_("---\ntype: Note\n---\n", body)).when(k == 1, F.concat(F.unhex(F.lit("FFFE")), body.cast("binary"))).when(k == 2, text_("---\ntype: [x\n---\n", body))
     content = content.otherwise(text_("---\ntitle: ", F.repeat(F.lit("x"), 70_000), "\n---\n", body))
     files = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), content.alias("content"), F.lit(1).cast("long").alias("modified_at"))
-    parsed = to_catalog(parse_files(files.withColumn("size", F.octet_length("content").cast("long")), Config()))
-    found = [check(parsed).select("path", "category", "severity") for check in (validate.check_encoding, validate.check_front_matter, validate.check_yaml)]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    errors = read_errors(files.withColumn("size", F.octet_length("content").cast("long")), Config())
+    found = Catalog(**{name: spark.createDataFrame([], kind) for name, kind in TABLES.items()} | {"errors": errors})
+    return validate.check_files(found).select("path", "category", "severity")
 
 
 @query(DOCS + "SELECT path, 'yaml' AS category, 'bad mapping' AS message FROM docs WHERE parse_status <> 'ok'")

@@ -15,7 +15,7 @@ from ..functions import paths
 from ..functions.text import content_hash
 from ..schema import Catalog
 from . import markdown
-from .frontmatter import read_yaml, split_front_matter
+from .frontmatter import read_yaml, split_front_matter, too_large
 from .snapshot import HadoopFolder
 
 ERROR = "array<struct<stage:string,message:string,line:int>>"
@@ -66,15 +66,33 @@ def folder_depth(files: DataFrame) -> int:
     return files.agg(F.max(F.size(F.split("path", "/")) - 1)).head()[0] or 0
 
 
-def parse_text(path: str, text: str, config: Config) -> dict:
-    """One document's record; errors lower its status and never stop the others."""
-    errors, front, body = [], None, text
+def _read_front(text: str, config: Config) -> tuple[dict | None, str, list[dict]]:
+    """The front matter, the body and the errors of a text."""
+    front, body = None, text
     try:
         if found := split_front_matter(text, config.max_front_matter_size):
             body = found[1]
             front = read_yaml(found[0], config.max_yaml_input_size)
     except ParseError as e:
-        errors.append({"stage": e.stage, "message": e.message, "line": e.line})
+        return front, body, [{"stage": e.stage, "message": e.message, "line": e.line}]
+    return front, body, []
+
+
+def front_errors(head: str | None, size: float, config: Config) -> list[dict]:
+    """The errors of a front matter, of which head is None where its size alone rules it out."""
+    if head is None:
+        e = too_large(config.max_front_matter_size, int(size))
+        return [{"stage": e.stage, "message": e.message, "line": e.line}]
+    return _read_front(head, config)[2]
+
+
+def bad_file(stage: str) -> list[dict]:
+    return [{"stage": stage, "message": "file is too large" if stage == "size" else "file is not valid UTF-8", "line": None}]
+
+
+def parse_text(path: str, text: str, config: Config) -> dict:
+    """One document's record; errors lower its status and never stop the others."""
+    front, body, errors = _read_front(text, config)
     body = body.lstrip()
     record = markdown.parse(body)
     front = front or {}
@@ -100,7 +118,7 @@ def parse_files(files: DataFrame, config: Config) -> DataFrame:
             for path, text, bad in zip(b["path"], b["text"], b["bad"], strict=True):
                 record = parse_text(path, text or "", config)
                 if bad:
-                    record |= {"parse_status": "failed", "errors": [{"stage": bad, "message": "file is too large" if bad == "size" else "file is not valid UTF-8", "line": None}]}
+                    record |= {"parse_status": "failed", "errors": bad_file(bad)}
                 out.append(record)
             yield pd.DataFrame(out, columns=names).assign(**{c: b[c].to_numpy() for c in META})
 
@@ -108,6 +126,38 @@ def parse_files(files: DataFrame, config: Config) -> DataFrame:
     return parsed.withColumns({c: F.col(c).cast("long") for c in META[:2]})
 
 
+def read_errors(files: DataFrame, config: Config) -> DataFrame:
+    """path, stage, message, line: the errors that parse_files finds, for checks of files whose contents nobody asks for.
+
+    All of them come from sizes, encoding and front matter, so bodies stay in Spark and no Markdown is read: Python gets the
+    beginning of a file in which split_front_matter finds what it finds in all of it, or the size of front matter that is
+    too large. Each step is a projection of its own, so that Spark makes what several columns use once.
+    """
+    fits = F.col("size") <= config.max_file_size
+    slim = files.select("path", fits.alias("fits"), F.when(fits, F.col("content").cast("string")).alias("text"))
+    slim = slim.select("path", "fits", "text", F.is_valid_utf8("text").alias("valid"))
+    bad = F.when(~F.col("fits"), F.lit("size")).when(~F.col("valid"), F.lit("utf8"))
+    bare = F.when(F.col("text").startswith("\ufeff"), F.substring("text", 2, 2**31 - 1)).otherwise(F.col("text"))
+    slim = slim.select("path", bad.alias("bad"), F.when(F.col("valid"), bare).alias("bare"))
+    opened = F.col("bare").startswith("---") & (F.length(F.substring("bare", 1, 6)) == 6)
+    short = F.col("bare").startswith("------")
+    slim = slim.select("path", "bad", "bare", F.when(opened & ~short, F.locate("\n---", F.col("bare"), 4)).when(opened, 0).alias("end"))  # null: no front matter
+    found = F.when(F.col("end") > 0, F.substring(F.col("bare"), F.lit(1), F.col("end") + 3)).when(F.col("end") == 0, F.substring("bare", 1, 6))
+    slim = slim.select("path", "bad", found.alias("found"), F.when(F.col("end") > 0, F.octet_length(found).cast("long") - 7).alias("front"))  # less two marks and a line break
+    most = config.max_front_matter_size
+    slim = slim.select("path", "bad", F.when(F.coalesce("front", F.lit(0)) <= most, F.col("found")).alias("head"), F.when(F.col("front") > most, F.col("front")).alias("front"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, bad, head, size in zip(b["path"], b["bad"], b["head"], b["front"].astype(float), strict=True):
+                errors = bad_file(bad) if bad else front_errors(head, size, config) if head or size > 0 else []
+                out += [(path, e["stage"], e["message"], e["line"]) for e in errors]
+            yield pd.DataFrame(out, columns=["path", "stage", "message", "line"]).astype({"line": "Int32"})  # numbers beside nulls
+
+    return slim.mapInPandas(run, "path string, stage string, message string, line int")
+
+
 def edges(parsed: DataFrame) -> DataFrame:
     """Markdown and wiki links resolved, then typed links (a leading slash means the root)."""
     own = F.posexplode("md_links").alias("pos", "target")

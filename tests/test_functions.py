@@ -16,9 +16,11 @@ from quillspark.operators import graph
 from quillspark.operators.document import fit_budget, unsafe_query
 from quillspark.operators.ftsquery import parse_query
 from quillspark.operators.metadata import check_filters, parse_filters
+from quillspark.plans.queries import QUERIES
 from quillspark.schema import Catalog
 from quillspark.sources import markdown
 from quillspark.sources.frontmatter import read_yaml, split_front_matter
+from quillspark.sources.ingest import parse_files, read_errors, to_catalog
 
 
 def one(spark, column, **values):
@@ -192,3 +194,29 @@ def test_traversal_names_the_linking_document_as_source(spark):
     assert sorted((r["source"], r["target"], r["label"]) for r in edges.collect()) == [("a", "hub", "linked_from"), ("b", "hub", "linked_from"), ("hub", "c", "links_to")]
     nodes, edges = graph.traverse(c, c.documents.where("path = 'hub'").select("path"), 2, 3)
     assert sorted(r["path"] for r in nodes.collect()) == ["a", "b", "hub"] and edges.count() == 3
+
+
+def _odd_files():
+    """Files with front matter of every kind, and how large they are."""
+    sound, long = "---\ntype: A\n---\nbody\n---\nmore", "---\ntitle: " + "é" * 40_000 + "\n---\nx"
+    texts = ["", "no", "---", "-----", "------", "------x", "---\n---", "---\n---\nb", sound, "﻿" + sound, "﻿﻿" + sound, long, long + "\n---\ny", "---\nno end", "---x: 1\n---", "---\n[a\n---\nb", "---\n%\n---\n", "---\ntype: é\n---é", "---\r\ntype: A\r\n---\r\nb"]
+    rows = [(f"{i}.md", len(t.encode()), bytearray(t.encode())) for i, t in enumerate(texts)]
+    return [*rows, ("bad.md", 5, bytearray(b"\xff\xfe---")), ("big.md", 9 << 20, bytearray(b"x")), ("none.md", None, None)]
+
+
+def test_errors_without_bodies_are_those_of_parsing(spark):
+    files = spark.createDataFrame(_odd_files(), "path string, size long, content binary").withColumn("modified_at", F.lit(1).cast("long"))
+    rows = lambda df: sorted(map(repr, df.select("path", "stage", "message", "line").collect()))
+    got, want = rows(read_errors(files, Config())), rows(to_catalog(parse_files(files, Config())).errors)
+    assert got == want and len(got) > 8
+
+
+def test_parse_checks_read_each_file_once(spark, tmp_path):
+    """One scan and one Python step, and an answer for null texts too."""
+    rows = [(i, None if i < 4 else "some *text*") for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["val_parse_checks"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("FileScan") == 1, plan
+    kinds = {1: "unsupported_encoding", 2: "invalid_yaml", 3: "oversized_frontmatter"}
+    assert sorted(map(tuple, found.collect())) == [(f"{i}.md", kinds[i % 4], "error") for i in range(8) if i % 4]
