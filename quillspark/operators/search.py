@@ -1,8 +1,9 @@
 """Field-weighted BM25 search over token positions, with filters, a typo fallback, excerpts and outlines.
 
-A stored index is a log of segments. A segment is a table of (path, field, pos, term) in folders by a hash of the term and
-sorted by it, so a query reads the row groups of its terms only, with the documents that it replaces or deletes, and by
-how much it changes the counts of terms and the totals. Changes add a segment; segments of one size are merged.
+A stored index is a log of segments. A segment is a table of entries (term, path, field, positions) in folders by a hash
+of the term and sorted by it, so a query reads the row groups of its terms only, with the documents that it replaces or
+deletes, and by how much it changes the counts of terms and the totals. Unstemmed terms are gathered within a document and
+sorted within a task, so writing them shuffles nothing. Changes add a segment; segments of one size are merged.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from ..functions.text import display_title, excerpt
 from ..schema import Catalog
 from .document import outline
 from .ftsquery import Phrase, parse_query
-from .tokens import FIELDS, stem_rows, token_rows
+from .tokens import FIELDS, entries_of, entry_rows, lengths_of, stem_rows, token_rows
 
 WEIGHTS = {"title": 10.0, "description": 5.0, "headings": 2.0, "body": 1.0, "type": 0.0}
 MOST_TOKENS, MOST_VOCABULARY, SHORTEST = 8, 50_000, 5
@@ -40,6 +41,11 @@ class Index:
     terms: DataFrame | None = None  # term, df, cnt, where the index is stored
     postings: DataFrame | None = None  # term, part, impact, path, dl, and the term's count in each field, where it is stored
     bounds: DataFrame | None = None  # term, impact, n, and what no posting of that impact exceeds
+    entries: DataFrame | None = None  # path, dl, term, counts, field, at, lead: where it is stored or its terms are not stemmed
+
+    def repeats(self) -> bool:
+        """Whether documents share a path, so that entries of a term have to be brought together."""
+        return not self.lengths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
 def searchable(catalog: Catalog) -> DataFrame:
@@ -50,54 +56,58 @@ def searchable(catalog: Catalog) -> DataFrame:
 
 def build_index(docs: DataFrame, use_stem: bool = True, ascii_only: bool = False) -> Index:
     """docs(path, title, description, headings, body, type). Re-indexing a path replaces it, as the index follows docs."""
-    tokens = token_rows(docs, ascii_only)
+    tokens, lengths = token_rows(docs, ascii_only), lengths_of(docs, ascii_only)
     tokens = stem_rows(tokens) if use_stem else tokens
-    lengths = docs.select("path").join(tokens.groupBy("path").agg(F.count(F.lit(1)).alias("dl")), "path", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
-    return Index(tokens, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), lengths, use_stem)
+    entries = None if use_stem else entry_rows(docs, ascii_only)
+    return Index(tokens, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), lengths, use_stem, entries=entries)
 
 
 def _part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
 
 
-TOKENS = "path string, dl long, field string, pos int, term string, part int"
 COUNTS = ", ".join(f"in_{f} int" for f in FIELDS)
 SEGMENT = {
-    "tokens": TOKENS, "docs": "path string, dl long, gone boolean", "terms": "term string, df long, cnt long", "totals": "n long, dl long",
-    "postings": f"term string, part int, impact int, path string, dl long, {COUNTS}", "bounds": f"term string, impact int, n long, dl long, {COUNTS}",
+    "entries": f"path string, dl long, field string, at array<int>, term string, part int, impact int, lead boolean, {COUNTS}",
+    "docs": "path string, dl long, gone boolean", "terms": "term string, df long, cnt long", "totals": "n long, dl long",
+    "bounds": f"term string, impact int, n long, dl long, {COUNTS}",
 }
 
 
 def write_index(index: Index, folder: str) -> Index:
     """The index as stored under folder, as one segment."""
     spark = index.tokens.sparkSession
-    _write_tokens(index.tokens, folder)
+    _write_entries(index, folder)
     index.lengths.select("path", F.col("dl").cast("long").alias("dl"), F.lit(False).alias("gone")).write.mode("overwrite").parquet(f"{folder}/docs")
     _write_counts(spark, folder, None)
     return read_index(spark, folder, index.stem)
 
 
-def _write_tokens(tokens: DataFrame, folder: str, cut: bool = True) -> None:
-    """Tokens sorted by term, cut into folders by term unless they are few. Each folder is dealt by a hash of the path too,
-    so a hot term is spread like any other, and no range has to be sampled: the texts are tokenised once."""
-    rows = tokens.select("path", "dl", "field", "pos", "term", _part(F.col("term")).alias("part"))
-
-    def write(rows: DataFrame, name: str, *order: str) -> None:
-        dealt = rows.withColumn("cut", F.pmod(F.xxhash64("path"), F.lit(PATH_CUTS))).hint("rebalance", "part", "cut")
-        writer = dealt.sortWithinPartitions("part", "term", *order).drop("cut").write.mode("overwrite")
-        (writer.partitionBy("part") if cut else writer).parquet(f"{folder}/{name}")
+def _write_entries(index: Index, folder: str, cut: bool = True) -> None:
+    """Entries sorted by term, cut into folders by term unless they are few.
 
-    write(rows, "tokens", "path", "field", "pos")
-    spark = tokens.sparkSession
-    written = _segment(spark, folder, "tokens")["tokens"]
-    counts = [F.count_if(F.col("field") == f).cast("int").alias(f"in_{f}") for f in FIELDS]
-    one = written.groupBy("term", "part", "path", "dl").agg(*counts)
-    write(one.withColumn("impact", _impact()), "postings", "impact", "path")
+    Entries that are made row by row stay in their tasks, each of which sorts its own: a folder has a file of each task.
+    Else they are dealt to folders by a hash of the path too, so a hot term is spread like any other, and no range has to
+    be sampled.
+    """
+    own = index.entries is not None and not index.repeats()
+    rows = index.entries if own else entries_of(index.tokens)
+    rows = rows.withColumn("part", _part(F.col("term"))).withColumn("impact", _impact())
+    rows = rows.select(*[c.split()[0] for c in SEGMENT["entries"].split(", ")])
+    if not own:
+        rows = rows.withColumn("cut", F.pmod(F.xxhash64("path"), F.lit(PATH_CUTS))).hint("rebalance", "part", "cut").drop("cut")
+    writer = rows.sortWithinPartitions("part", "term", "impact", "path", "field").write.mode("overwrite").option("compression", "zstd")
+    (writer.partitionBy("part") if cut else writer).parquet(f"{folder}/entries")
     most = [F.max(f"in_{f}").alias(f"in_{f}") for f in FIELDS]
-    held = _segment(spark, folder, "postings")["postings"].groupBy("term", "impact").agg(F.count(F.lit(1)).alias("n"), F.min("dl").alias("dl"), *most)
+    written = _segment(index.tokens.sparkSession, folder, "entries")["entries"]
+    held = written.where("lead").groupBy("term", "impact").agg(F.count(F.lit(1)).alias("n"), F.min("dl").alias("dl"), *most)
     held.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/bounds")
 
 
+def _tokens(entries: DataFrame) -> DataFrame:
+    return entries.select("path", "dl", "field", F.explode("at").alias("pos"), "term", "part")
+
+
 def _impact() -> Column:
     """The step of a posting: its weighted count and its document's length, each within a factor of LEVEL, so that the
     largest count and the least length of a step bound its postings closely."""
@@ -108,8 +118,8 @@ def _impact() -> Column:
 
 def _write_counts(spark: SparkSession, folder: str, before: Index | None) -> None:
     """By how much a segment changes the counts of terms and the totals: what its documents hold, less what they held."""
-    now = _segment(spark, folder, "tokens", "docs")
-    new = Index(now["tokens"], now["docs"], now["docs"].where("NOT gone"))
+    now = _segment(spark, folder, "entries", "docs")
+    new = Index(_tokens(now["entries"]), now["docs"], now["docs"].where("NOT gone"), entries=now["entries"])
     counts = lambda index, sign: term_counts(index).select("term", *[(F.col(c) * sign).alias(c) for c in ("df", "cnt")])
     totals = lambda index, sign: index.lengths.agg((F.count(F.lit(1)) * sign).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) * sign).cast("long").alias("dl"))
     terms, whole = counts(new, 1), totals(new, 1)
@@ -132,30 +142,30 @@ def read_index(spark: SparkSession, folders: str | list[str], use_stem: bool) ->
     """
     folders = [folders] if isinstance(folders, str) else folders
     parts = [_segment(spark, f) for f in folders]
-    tokens = lengths = postings = later = None
+    entries = lengths = later = None
     for part in reversed(parts):
-        own_tokens, own, own_postings = part["tokens"], part["docs"], part["postings"]
+        own_entries, own = part["entries"], part["docs"]
         if later is not None:
-            own_tokens, own, own_postings = (x.join(later, "path", "left_anti") for x in (own_tokens, own, own_postings))
+            own_entries, own = (x.join(later, "path", "left_anti") for x in (own_entries, own))
         live = own.where("NOT gone").select("path", "dl")
-        tokens = own_tokens if tokens is None else tokens.unionByName(own_tokens)
+        entries = own_entries if entries is None else entries.unionByName(own_entries)
         lengths = live if lengths is None else lengths.unionByName(live)
-        postings = own_postings if postings is None else postings.unionByName(own_postings)
         names = part["docs"].select("path")
         later = names if later is None else later.unionByName(names)
     terms, totals, bounds = (reduce(DataFrame.unionByName, [p[name] for p in parts]) for name in ("terms", "totals", "bounds"))
     if len(parts) > 1:
         terms = terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cnt").alias("cnt")).where("df > 0")
         totals = totals.agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
-    return Index(tokens, totals.select("n", F.when(F.col("n") > 0, F.col("dl") / F.col("n")).alias("avgdl")), lengths, use_stem, terms, postings, bounds)
+    postings = entries.where("lead").select("term", "part", "impact", "path", "dl", *[f"in_{f}" for f in FIELDS])
+    return Index(_tokens(entries), totals.select("n", F.when(F.col("n") > 0, F.col("dl") / F.col("n")).alias("avgdl")), lengths, use_stem, terms, postings, bounds, entries)
 
 
 def add_segment(spark: SparkSession, folder: str, fresh: DataFrame, gone: DataFrame, before: DataFrame, use_stem: bool) -> None:
     """Writes a segment for the documents of fresh(path, title, ...) and the deletions of gone(path). before has the same
     documents as they were (those that were), so that counts follow without reading the index. Only these are tokenised."""
     index = build_index(fresh, use_stem)
-    _write_tokens(index.tokens, folder, cut=False)
-    own = _segment(spark, folder, "tokens")["tokens"].groupBy("path").agg(F.count(F.lit(1)).alias("dl"))
+    _write_entries(index, folder, cut=False)
+    own = _segment(spark, folder, "entries")["entries"].groupBy("path").agg(F.sum(F.size("at")).alias("dl"))
     docs = fresh.select("path").distinct().join(own, "path", "left").select("path", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"), F.lit(False).alias("gone"))
     left = gone.select("path").distinct().join(fresh.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("dl"), F.lit(True).alias("gone"))
     docs.unionByName(left).write.mode("overwrite").parquet(f"{folder}/docs")
@@ -165,7 +175,7 @@ def add_segment(spark: SparkSession, folder: str, fresh: DataFrame, gone: DataFr
 def merge_segments(spark: SparkSession, folders: list[str], target: str, oldest: bool) -> None:
     """Writes neighbouring segments as one. Deletions are kept unless the oldest segment is among them."""
     index, parts = read_index(spark, folders, True), [_segment(spark, f) for f in folders]
-    _write_tokens(index.tokens, target)
+    _write_entries(index, target)
     every = reduce(DataFrame.unionByName, [p["docs"].withColumn("at", F.lit(i)) for i, p in enumerate(parts)])
     last = every.groupBy("path").agg(F.max_by(F.struct("dl", "gone"), "at").alias("x")).select("path", "x.dl", "x.gone")
     (last.where("NOT gone") if oldest else last).write.mode("overwrite").parquet(f"{target}/docs")
@@ -185,12 +195,16 @@ def tail_to_merge(sizes: list[int], fan: int = MERGE_FAN) -> int:
 
 
 def postings(index: Index) -> DataFrame:
-    """term, path, field, tf"""
-    return index.tokens.groupBy("term", "path", "field").agg(F.count(F.lit(1)).alias("tf"))
+    """term, path, field, tf: entries as they stand, and where documents share a path their sums."""
+    if index.entries is None or index.repeats():
+        return index.tokens.groupBy("term", "path", "field").agg(F.count(F.lit(1)).alias("tf"))
+    return index.entries.select("term", "path", "field", F.size("at").cast("long").alias("tf"))
 
 
 def term_counts(index: Index) -> DataFrame:
     """term, df, cnt"""
+    if index.entries is not None and not index.repeats():
+        return index.entries.groupBy("term").agg(F.count_if("lead").alias("df"), F.sum(F.size("at")).alias("cnt"))
     one = index.tokens.groupBy("term", "path").agg(F.count(F.lit(1)).alias("tf"))
     return one.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cnt"))
 
@@ -207,9 +221,9 @@ def _starts(prefix: str) -> Column:
     return inside & F.col("term").startswith(prefix)
 
 
-def _occurrences(index: Index, p: Phrase) -> DataFrame:
-    """path, field, start of each place where the phrase stands."""
-    rows = index.tokens.where(F.col("field").isin(*p.fields) if p.fields else F.lit(False))
+def _occurrences(index: Index, p: Phrase, counted: bool = False) -> DataFrame:
+    """path, field, start of each place where the phrase stands; counted: path, field, n of a single term, from stored entries."""
+    rows = (index.entries if counted else index.tokens).where(F.col("field").isin(*p.fields) if p.fields else F.lit(False))
     if not p.terms:
         return rows.where("false").select("path", "dl", "field", F.col("pos").alias("start"))
     last = len(p.terms) - 1
@@ -219,6 +233,8 @@ def _occurrences(index: Index, p: Phrase) -> DataFrame:
         if p.prefix:  # the dictionary names the folders of the range's terms: TERM_FOLDERS numbers at most
             named.append(F.col("part").isin(*[r[0] for r in index.terms.where(_starts(p.terms[last])).select(_part(F.col("term"))).distinct().collect()]))
         rows = rows.where(reduce(Column.__or__, named) & reduce(Column.__or__, tests))
+    if counted:
+        return rows.where(tests[0]).select("path", "dl", "field", F.size("at").alias("n"))
     if last == 0:
         found = rows.where(tests[0]).select("path", "dl", "field", F.col("pos").alias("start"))
     else:
@@ -249,7 +265,8 @@ def score_query(index: Index, text: str, weights: dict | None = None, k1: float
     """path, score of the documents that match; idf and average length are those of the whole index."""
     weights = weights or WEIGHTS
     phrases, tree = parse_query(text, stem if index.stem else lambda t: t)
-    found = [_occurrences(index, p) for p in phrases]
+    plain = [index.terms is not None and index.entries is not None and len(p.terms) == 1 and not p.first and p.near <= 0 for p in phrases]
+    found = [_occurrences(index, p, c) for p, c in zip(phrases, plain, strict=True)]
     alone = list(found)  # a phrase's document count doesn't depend on its neighbours
     for g in {p.near for p in phrases if p.near > 0}:
         at = [i for i, p in enumerate(phrases) if p.near == g]
@@ -261,7 +278,7 @@ def score_query(index: Index, text: str, weights: dict | None = None, k1: float
         weight = F.when(F.col("field") == f, F.lit(float(w))).otherwise(weight)
     parts = None
     for i, df in enumerate(found):
-        one = df.select("path", "dl", F.lit(i).alias("i"), weight.alias("w"))
+        one = df.select("path", "dl", F.lit(i).alias("i"), (weight * F.col("n") if plain[i] else weight).alias("w"))
         parts = one if parts is None else parts.unionByName(one)
     hits = parts.groupBy("path", "dl", "i").agg(F.sum("w").alias("f"))
     seen = hits.groupBy("i").agg(F.count(F.lit(1)).alias("n_i"))

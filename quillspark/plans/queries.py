@@ -15,7 +15,7 @@ from ..schema import TABLES, Catalog
 from ..sources.ingest import parse_files, read_errors, to_catalog, with_existence
 from ..sources.snapshot import export_json, replace_documents
 from ..streaming import watch
-from .virtual import SQL_DOCS, SQL_LINKS, document_catalog, graph_catalog, table
+from .virtual import SQL_DOCS, SQL_LINKS, document_catalog, document_pages, graph_catalog, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -233,13 +233,14 @@ def _term(t: str) -> str:
 _INDEXES: dict[tuple, search.Index] = {}
 
 
-def document_index(spark, sf):
-    """The index of the document catalog: stored once a session where the session names a shared folder."""
-    index = search.build_index(search.searchable(document_catalog(spark, sf)), use_stem=False, ascii_only=True)
+def document_index(spark, sf, store=True):
+    """The index of the document catalog: stored once a session where the session names a shared folder. store: False for
+    what reads all of it once, which takes a stored one only where there is one."""
+    index = search.build_index(document_pages(spark, sf), use_stem=False, ascii_only=True)
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return index
     key = (spark.sparkContext.applicationId, sf)
+    if not folder or (not store and key not in _INDEXES):
+        return index
     if key not in _INDEXES:
         _INDEXES[key] = search.write_index(index, f"{folder}/index-{uuid.uuid4().hex}")
     return _INDEXES[key]
@@ -251,7 +252,7 @@ def _scored(spark, sf, q, **kw):
 
 @query(TOKENS + " SELECT term, path, field, count(*) AS tf FROM toks GROUP BY 1, 2, 3")
 def postings(spark, sf):
-    return search.postings(document_index(spark, sf))
+    return search.postings(document_index(spark, sf, store=False))
 
 
 @query(TOKENS + " SELECT term, count(DISTINCT path) AS df, count(*) AS cnt FROM toks GROUP BY 1 ORDER BY df DESC, term LIMIT 50000")

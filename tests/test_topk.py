@@ -68,3 +68,39 @@ def test_a_prefix_is_a_range(index):
     scans = [x for x in plan.split("\n\n") if "Scan parquet" in x and "term:string" in x and "field:string" in x]
     assert scans and all("GreaterThanOrEqual(term,w5), LessThan(term,w6)" in x for x in scans), plan
     assert any("PartitionFilters" in x and "part" in x.split("PartitionFilters")[1].split("\n")[0] for x in scans), plan
+
+
+def _shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("REBALANCE")
+
+
+def test_unstemmed_postings_shuffle_nothing(spark, tmp_path):
+    """Entries are made within a document and sorted within a task; where documents share a path they are summed."""
+    rows = [("a.md", "Alpha", None, "beta", "alpha beta alpha", "Note"), ("b.md", "", None, None, None, "Note"), ("c.md", None, "x", "", "beta", "")]
+    kind = lambda df: sorted(map(tuple, df.select("term", "path", "field", "tf").collect()))
+    built = search.build_index(spark.createDataFrame(rows, KIND), use_stem=False)
+    found = search.postings(built)
+    want = sorted(map(tuple, built.tokens.groupBy("term", "path", "field").count().collect()))
+    assert kind(found) == want and ("alpha", "a.md", "body", 2) in want and _shuffles(found) == 0
+    assert _shuffles(built.entries.sortWithinPartitions("term")) == 0
+    stored = search.write_index(built, f"{tmp_path}/one")
+    assert kind(search.postings(stored)) == want and _shuffles(search.postings(stored)) == 0
+    again = search.build_index(spark.createDataFrame([*rows, rows[0]], KIND), use_stem=False)
+    want = sorted(map(tuple, again.tokens.groupBy("term", "path", "field").count().collect()))
+    assert kind(search.postings(again)) == want and ("alpha", "a.md", "body", 4) in want
+    assert kind(search.postings(search.write_index(again, f"{tmp_path}/two"))) == want
+
+
+def test_an_unstemmed_index_is_written_once(spark, tmp_path):
+    """One table of entries, from which tokens, postings and single terms' scores follow."""
+    rng = random.Random(5)
+    rows = [(f"{i}.md", rng.choice("abc"), "", "b" * (i % 3), " ".join(rng.choices("abcdef", k=rng.randrange(40))), "Note") for i in range(200)]
+    built = search.build_index(spark.createDataFrame(rows, KIND), use_stem=False)
+    stored = search.write_index(built, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bounds", "docs", "entries", "terms", "totals"]
+    part = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    assert part(stored.tokens, "path", "dl", "field", "pos", "term") == part(built.tokens, "path", "dl", "field", "pos", "term")
+    assert part(stored.terms, "term", "df", "cnt") == part(search.term_counts(built), "term", "df", "cnt")
+    for text in ("a b", "a OR f", "b*", '"a b"', "title:a NOT c", "a NEAR b"):
+        assert pages(stored, text, 500)[:2] == (pages(built, text, 500)[1],) * 2
