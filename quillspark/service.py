@@ -39,12 +39,17 @@ class CatalogService:
         """The index stored with the current snapshot; built in memory for snapshots that have none."""
         if self._index is None:
             catalog = self.catalog
-            if segments := self.store.extra(self._index_name):
+            if segments := self._segments():
                 self._index = search.read_index(self.spark, segments, self.config.stem)
             else:
                 self._index = search.build_index(search.searchable(catalog), self.config.stem)
         return self._index
 
+    def _segments(self) -> list[str]:
+        """The folders of the stored index; none where it was written in an older form, so that it is built anew."""
+        held = self.store.extra(self._index_name)
+        return held if all(self.store.files.exists(f"{f.removeprefix(f'{self.store.folder}/')}/entries") for f in held) else []
+
     @property
     def _index_name(self) -> str:
         return "index_stemmed" if self.config.stem else "index_plain"
@@ -94,7 +99,7 @@ class CatalogService:
     def _indexed(self, old: Catalog, fresh: Catalog, gone, touched) -> list[str]:
         """The segments of the index that follow the change: one more, or fewer where some were due to be merged."""
         prefix, stem = f"extras/{self._index_name}", self.config.stem
-        held = [f.removeprefix(f"{self.store.folder}/") for f in self.store.extra(self._index_name)]
+        held = [f.removeprefix(f"{self.store.folder}/") for f in self._segments()]
         name = lambda rows: f"{prefix}/{rows}-{uuid.uuid4().hex}"
         at = lambda folder: f"{self.store.folder}/{folder}"
         rows_in = lambda folder: max(1, self.spark.read.parquet(f"{at(folder)}/docs").count())
