@@ -164,3 +164,17 @@ def test_nested_ignore_files(spark, tmp_path):
     assert found == {p for p, left in LEFT.items() if left}
     named = {r["path"] for r in discover(spark, str(tmp_path), Config(), [*LEFT, "none.md"]).select("path", "content").collect()}
     assert named == found
+
+
+def test_an_index_of_an_older_form_is_built_anew(service):
+    folders = service.store.extra("index_stemmed")
+    assert folders and service._segments() == folders
+    for f in folders:
+        os.rename(f"{f}/entries", f"{f}/tokens")
+    try:
+        service._index = None
+        assert service._segments() == [] and service.index.terms is None
+    finally:
+        for f in folders:
+            os.rename(f"{f}/tokens", f"{f}/entries")
+        service._index = None
