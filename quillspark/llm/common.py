@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
@@ -21,6 +22,9 @@ WORD_CACHE = 400_000
 
 #: Bits of the map that says which rows may have to go: 8 MB on each executor, whatever the corpus.
 MAP_BITS = 26
+#: Bytes of one Arrow batch within small_batches. The executor's JVM and Python hold a batch in several copies each.
+BATCH_BYTES = 2 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bits in one piece of the map (what bitmap_construct_agg gives).
 _PIECE = 15
 #: Scratch tables written within the innermost written_alone of this thread.
@@ -39,6 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within hands Python batches of about BATCH_BYTES, instead of up to 64 MB; a larger row is a batch of its own.
+
+    Only the size of batches differs, never a result. The setting is the session's, and is put back.
+    """
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
 

@@ -361,7 +361,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     left = written(links.where("a <> b").distinct(), "links")
-    total = spark.createDataFrame([], "node long, label long")
+    total = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("label"))  # no Python rows: they keep workers of their own
     while not left.isEmpty():
         both = left.union(left.select("b", "a")).toDF("node", "near")
         parent = both.groupBy("node").agg(F.least(F.min("near"), F.min("node")).alias("label"))

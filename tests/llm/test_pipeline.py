@@ -1,8 +1,10 @@
 import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import common
+from quillspark.llm import common, jaccard_join, language_id
 from quillspark.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_operators import ODD, SF, brute_groups, docs
 
@@ -68,3 +70,45 @@ def test_oracles(spark):
         assert sorted(got.columns) == columns
         a, b = (x.sort_values(key).reset_index(drop=True)[columns].astype(object) for x in (got, want))
         assert a.where(a.notna(), None).equals(b.where(b.notna(), None)), name
+
+
+def test_small_batches(spark, monkeypatch):
+    """Maps get batches of a few rows of text, behind a shuffle too; a row beyond the bound still comes whole, and the
+    session's own setting is back afterwards, also after an error."""
+    monkeypatch.setattr(common, "BATCH_BYTES", 100_000)
+    rows = spark.range(3000).select(F.expr("repeat('x', IF(id = 7, 400000, 1000))").alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"rows": [len(b)], "chars": [int(b["text"].str.len().sum())]})
+
+    for table in (rows, rows.repartition(3, "text")):
+        with common.small_batches(spark):
+            got = common.written(table.mapInPandas(sizes, "rows long, chars long"), "sizes").collect()
+        assert sum(r["rows"] for r in got) == 3000 and sum(r["chars"] for r in got) == 2999 * 1000 + 400_000
+        assert sum(r["chars"] > 110_000 for r in got) == 1 and max(r["rows"] for r in got) <= 110
+    before = spark.conf.get(common._BATCH_CONF)
+    with pytest.raises(ZeroDivisionError), common.small_batches(spark):
+        raise ZeroDivisionError
+    assert spark.conf.get(common._BATCH_CONF) == before != "100000"
+
+
+def test_stages_map_texts_in_small_batches(spark, monkeypatch):
+    """The maps over texts run while a stage is made, so what it gives has none left that a caller would run otherwise."""
+    ran, real = [], common.written
+    seen = lambda df, label: ran.append((label, int(spark.conf.get(common._BATCH_CONF).rstrip("b")), "MapInPandas" in df._jdf.queryExecution().toString())) or real(df, label)
+    for module in (common, jaccard_join, language_id):
+        monkeypatch.setattr(module, "written", seen)
+    d = docs(spark, ["the cat and the dog of that house with a hat", "one two three four five six seven"])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, d, SF)
+        assert "MapInPandas" not in out._jdf.queryExecution().toString(), name
+    maps = [(label, most) for label, most, mapped in ran if mapped]
+    assert {"language", "gone", "sets", "members"} <= {label for label, _ in maps}
+    assert all(most == common.BATCH_BYTES for _, most in maps), maps
+
+
+def test_components_without_links_take_no_python_workers(spark):
+    none = jaccard_join.components(spark.range(3).selectExpr("id AS a", "id AS b"))
+    assert none.count() == 0 and none.dtypes == [("node", "bigint"), ("label", "bigint")]
+    assert "ExistingRDD" not in none._jdf.queryExecution().toString()
