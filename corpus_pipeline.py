@@ -1,14 +1,15 @@
 """From raw documents to a mixed training corpus: five stages, each written as Parquet and read as the next one's input.
 
 Stages run their maps over texts while they are made, within small_batches: with batches of any size, these and the
-Python workers between them took an executor to its limit of memory.
+Python workers between them took an executor to its limit of memory. Stages of many joins make them within
+no_late_broadcasts: the driver's memory grew with each small side that was sent there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import discard, small_batches, written_alone
+from quillspark.llm.common import discard, no_late_broadcasts, small_batches, written_alone
 from quillspark.llm.decontaminate import drop_leaks
 from quillspark.llm.exact_dedup import drop_exact_copies
 from quillspark.llm.jaccard_join import drop_near_copies
@@ -18,28 +19,29 @@ from quillspark.llm.mixing import mix_rows
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without an identified language go (null and empty texts among them)."""
-    with small_batches(spark):
+    with small_batches(spark), no_late_broadcasts(spark):
         return keep_languages(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (white space runs count as one space; null counts as empty) the row with the smallest doc_id stays,
     null last; of repeated rows one. An empty table stays one."""
-    return drop_exact_copies(docs)
+    with no_late_broadcasts(spark):
+        return drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays,
     null last; of repeated rows with words one. Null and empty texts and texts of white space are copies of nothing and
     stay. Fewer than five words make one shingle. An empty table stays one."""
-    with small_batches(spark):
+    with small_batches(spark), no_late_broadcasts(spark):
         return drop_near_copies(docs, k=5, num=8, den=10)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a passage of the benchmark go, repeated rows alike. Null and empty texts hold none and stay. An empty
     table, or a benchmark without texts, changes nothing."""
-    with small_batches(spark):
+    with small_batches(spark), no_late_broadcasts(spark):
         return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -25,6 +25,9 @@ MAP_BITS = 26
 #: Bytes of one Arrow batch within small_batches. The executor's JVM and Python hold a batch in several copies each.
 BATCH_BYTES = 2 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_LATE_CONF = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+#: Groups, and so tasks, in which summed brings arrays together ahead of the driver.
+SUM_GROUPS = 8
 #: Bits in one piece of the map (what bitmap_construct_agg gives).
 _PIECE = 15
 #: Scratch tables written within the innermost written_alone of this thread.
@@ -44,17 +47,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def _with_conf(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting `name` is value within, and what it was, or unset, after."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def small_batches(spark: SparkSession):
     """What runs within hands Python batches of about BATCH_BYTES, instead of up to 64 MB; a larger row is a batch of its own.
 
     Only the size of batches differs, never a result. The setting is the session's, and is put back.
     """
-    before = spark.conf.get(_BATCH_CONF)
-    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_CONF, before)
+    return _with_conf(spark, _BATCH_CONF, str(BATCH_BYTES))
+
+
+def no_late_broadcasts(spark: SparkSession):
+    """What runs within joins shuffled sides where they lie, however small one turns out.
+
+    Adaptive execution would collect that side to the driver, after both were shuffled: each time a hash table, its blocks
+    and a thread there, for a sort that is spared. Sides known to be small beforehand are still broadcast, unshuffled.
+    """
+    return _with_conf(spark, _LATE_CONF, "-1")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -161,7 +181,8 @@ def keep_ones(docs: DataFrame, key: Column, found: DataFrame, label: str) -> Dat
 
 
 def summed(parts: DataFrame, column: str, start: np.ndarray, how) -> np.ndarray:
-    """The arrays that tasks give in a binary column, brought together by `how`: in groups first, so 8 reach the driver."""
+    """The arrays that tasks give in a binary column, brought together by `how`: in groups first, so SUM_GROUPS reach the
+    driver, one at a time. They come from as many tasks: an iterator runs a job for each partition, empty ones too."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = start.copy()
@@ -170,8 +191,8 @@ def summed(parts: DataFrame, column: str, start: np.ndarray, how) -> np.ndarray:
         return pd.DataFrame({column: [total.tobytes()]})
 
     total = start.copy()
-    grouped = parts.select(column).groupBy(F.pmod(F.xxhash64(column), F.lit(8))).applyInPandas(add, f"{column} binary")
-    for r in grouped.toLocalIterator():
+    grouped = parts.select(column).groupBy(F.pmod(F.xxhash64(column), F.lit(SUM_GROUPS))).applyInPandas(add, f"{column} binary")
+    for r in grouped.coalesce(SUM_GROUPS).toLocalIterator():
         total = how(total, np.frombuffer(r[column], start.dtype).reshape(start.shape))
     return total
 

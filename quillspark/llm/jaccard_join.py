@@ -352,16 +352,25 @@ def _tiled(members: DataFrame, sim: Similarity, single: bool) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long, unsettled boolean").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _renamed(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """links(a, b) between labels(node, label), each once, as a table; a node without a label keeps its name."""
+    at = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"to_{s}"))
+    moved = lookup_spread(links, at("a"), ["a"], ["b"], fan=64, how="left")
+    moved = lookup_spread(moved, at("b"), ["b"], ["a"], fan=64, how="left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+    return written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+
+
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node -> label (the smallest node that links reach) for links(a, b), by rounds of hooking and contraction.
 
+    known: what an earlier call gave for other links, which count too; only what the new links join is worked on.
+
     Each node hooks to its smallest neighbour if that is smaller; pointers are doubled until every tree is flat; links
     are renamed to roots, and those inside a tree vanish. A round at least halves what is left in practice. A node
     with very many links is counted before the shuffle and looked up with salt.
     """
-    spark = links.sparkSession
-    left = written(links.where("a <> b").distinct(), "links")
-    total = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("label"))  # no Python rows: they keep workers of their own
+    spark, total = links.sparkSession, known
+    left = written(links.where("a <> b").distinct(), "links") if known is None else _renamed(links, known)
     while not left.isEmpty():
         both = left.union(left.select("b", "a")).toDF("node", "near")
         parent = both.groupBy("node").agg(F.least(F.min("near"), F.min("node")).alias("label"))
@@ -373,16 +382,18 @@ def components(links: DataFrame) -> DataFrame:
             parent = hop.select("node", "label")
             if not hop.where("moved").head(1):
                 break
-        named = parent.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        older = lookup_spread(total, named, ["label"], ["node"], fan=64, how="left").select("node", F.coalesce("root", "label").alias("label"))
-        fresh = parent.join(total.select("node"), "node", "left_anti")
-        merged = written(older.unionByName(fresh), "labels")
-        at = lambda s: parent.select(F.col("node").alias(s), F.col("label").alias(f"to_{s}"))
-        moved = lookup_spread(left, at("a"), ["a"], ["b"], fan=64, how="inner")
-        moved = lookup_spread(moved, at("b"), ["b"], ["a"], fan=64, how="inner")
-        rest = written(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct(), "links")
-        discard(left, parent)
-        left, total = rest, merged
+        rest = _renamed(left, parent)
+        discard(left)
+        if total is None:
+            total = parent
+        else:
+            named = parent.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            older = lookup_spread(total, named, ["label"], ["node"], fan=64, how="left").select("node", F.coalesce("root", "label").alias("label"))
+            total = written(older.unionByName(parent.join(total.select("node"), "node", "left_anti")), "labels")
+            discard(parent)
+        left = rest
+    if total is None:
+        total = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("label"))  # no Python rows: they keep workers of their own
     return total
 
 
@@ -412,8 +423,7 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     met = members.where("cls <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("m"))
     best = met.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
     best = best.unionByName(met.where("m = 2").select("a", "b")).distinct()
-    found = _verified(_pruned(best, classes, sim), classes, docs, k, sim)
-    labels = components(found)
+    labels = components(_verified(_pruned(best, classes, sim), classes, docs, k, sim))
     # Lists whose members are not all in one component yet: first each class meets one likely member of another component
     # in each tile, which joins most of what belongs together; then, in lists of which that left out pairs, all pairs
     # that are still apart are settled.
@@ -431,8 +441,7 @@ def jaccard_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
         discard(tagged)
         more = _verified(tiles.where("NOT unsettled").select("a", "b"), classes, docs, k, sim)
         if not more.isEmpty():
-            found = found.unionByName(more)
-            labels = components(found)
+            labels = components(more, labels)
         unsettled = tiles.where("unsettled").select(F.col("a").alias("key"))
         if unsettled.isEmpty():
             break

@@ -1,10 +1,11 @@
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import common, jaccard_join, language_id
+from quillspark.llm import common, exact_dedup, jaccard_join, language_id
 from quillspark.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_operators import ODD, SF, brute_groups, docs
 
@@ -112,3 +113,49 @@ def test_components_without_links_take_no_python_workers(spark):
     none = jaccard_join.components(spark.range(3).selectExpr("id AS a", "id AS b"))
     assert none.count() == 0 and none.dtypes == [("node", "bigint"), ("label", "bigint")]
     assert "ExistingRDD" not in none._jdf.queryExecution().toString()
+
+
+def test_components_add_to_known_ones(spark):
+    """Links that come later, between known components, within them and to nodes not seen before, give what all links at
+    once would give; where nothing new is joined, known labels stay."""
+    rng = np.random.default_rng(3)
+    parts = [[(int(a), int(b)) for a, b in rng.integers(0, 400, (n, 2))] for n in (150, 80, 60)]
+    parts.append([(7, 7)])
+    labels, root, up = None, {}, lambda x: x if root.setdefault(x, x) == x else up(root[x])
+    for part in parts:
+        for a, b in part:
+            if a != b:
+                x, y = sorted((up(a), up(b)))
+                root[y] = x
+        labels = jaccard_join.components(spark.createDataFrame(part, "a long, b long"), labels)
+        got = {r["node"]: r["label"] for r in labels.collect()}
+        assert len(got) == labels.count() and got == {n: up(n) for n in root}
+
+
+def test_arrays_are_summed_in_few_jobs(spark):
+    """The driver runs a job for each group at most, not for each of the many partitions without one."""
+    parts = spark.range(100, numPartitions=2).select(F.expr("unhex(lpad(hex(id), 2, '0'))").alias("x"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("summed", "summed")
+    try:
+        total = common.summed(parts, "x", np.zeros(1, np.uint8), np.add)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert total.tolist() == [sum(range(100)) % 256]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("summed")) <= common.SUM_GROUPS + 2
+
+
+def test_stages_send_no_late_broadcasts(spark, monkeypatch):
+    """Scratch tables of the stages are made while a shuffled side is not sent to the driver; the setting is unset after."""
+    ran, real = [], common.written
+    for module in (common, exact_dedup, jaccard_join, language_id):
+        monkeypatch.setattr(module, "written", lambda df, label: ran.append((label, spark.conf.get(common._LATE_CONF, None))) or real(df, label))
+    d = docs(spark, ["the cat and the dog of that house with a hat", "one two three four five six seven"])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, d, SF)
+        assert spark.conf.get(common._LATE_CONF, None) is None
+    assert {"language", "digests", "members", "gone"} <= {label for label, _ in ran} and all(most == "-1" for _, most in ran), ran
